@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from framewright.llm import exact_dedup
+from framewright.llm import exact_dedup, token_output
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op8_token_output": token_output.op8_token_output,
 }
 
 ORACLE_SQL = {
