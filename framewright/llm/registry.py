@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from framewright.llm import exact_dedup, token_output
+from framewright.llm import bpe_stream, exact_dedup, token_output
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_bpe_stream": bpe_stream.op4_bpe_stream,
     "op8_token_output": token_output.op8_token_output,
 }
 
