@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from framewright.llm import bpe_stream, exact_dedup, secret_scan, token_output
+from framewright.llm import bpe_stream, exact_dedup, mixing, secret_scan, token_output
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_bpe_stream": bpe_stream.op4_bpe_stream,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_token_output": token_output.op8_token_output,
+    "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op7_secret_scan": secret_scan.SQL,
+    "op9_mixing": mixing.SQL,
 }
