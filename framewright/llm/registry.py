@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from framewright.llm import bpe_stream, exact_dedup, mixing, secret_scan, token_output
+from framewright.llm import bpe_stream, exact_dedup, mixing, secret_scan, simhash, token_output
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_simhash": simhash.op3_simhash,
     "op4_bpe_stream": bpe_stream.op4_bpe_stream,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_token_output": token_output.op8_token_output,
