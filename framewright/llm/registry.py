@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from framewright.llm import bpe_stream, exact_dedup, mixing, secret_scan, simhash, token_output
+from framewright.llm import bpe_stream, exact_dedup, mixing, ogg_media, secret_scan, simhash, token_output
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_bpe_stream": bpe_stream.op4_bpe_stream,
+    "op6_ogg_media": ogg_media.op6_ogg_media,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_token_output": token_output.op8_token_output,
     "op9_mixing": mixing.op9_mixing,
