@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from framewright.llm import bpe_stream, exact_dedup, mixing, ogg_media, secret_scan, simhash, token_output
+from framewright.llm import bpe_stream, exact_dedup, html_extract, mixing, ogg_media, secret_scan, simhash, token_output
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_bpe_stream": bpe_stream.op4_bpe_stream,
