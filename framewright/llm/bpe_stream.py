@@ -30,6 +30,7 @@ import heapq
 import json
 import sys
 import unicodedata
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.llm._worker import Recent, once_per_worker
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable characters that stand for bytes in a byte-level vocabulary."""
@@ -172,22 +175,22 @@ def _unassigned_letters() -> str:
 class StreamEncoder:
     """Texts to ids: streaming pre-tokenizer, piece store, transducer.
 
-    ``feed``/``finish`` take a text in slices of any size. The store keeps at
-    most ``entries`` short pieces and starts anew when full.
+    ``feed``/``finish`` take a text in slices of any size. The store of short
+    pieces is bounded (see :class:`Recent`).
     """
 
     FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, table: MergeTable, entries: int = 250_000, longest: int = 32, slice_chars: int = 1 << 16):
+    def __init__(self, table: MergeTable, entries: int = 300_000, longest: int = 32, slice_chars: int = 1 << 16):
         self.table, self.entries, self.longest, self.slice_chars = table, entries, longest, slice_chars
         self.fast = regex.compile(self.FAST)
         self.exact = None
         self.added = regex.compile("|".join(map(regex.escape, sorted(table.added, key=len, reverse=True)))) if table.added else None
         self.holdback = max(map(len, table.added), default=1) - 1
-        self.known: dict[str, bytes] = {}
-        self._reset()
+        self.known = Recent(entries)
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
         self.rest = ""  # characters whose piece, or added token, is not settled
         self.stream: PieceStream | None = None  # an open long piece
         self.kind = ""  # its class: S (white space), L, N or O (other)
@@ -216,21 +219,18 @@ class StreamEncoder:
 
     def pieces(self, found: list[str]) -> bytes:
         """Ids of whole pieces, as little-endian 32-bit integers."""
-        known = self.known
         try:
-            return b"".join(map(known.__getitem__, found))
+            return b"".join(map(self.known.young.__getitem__, found))
         except KeyError:
             pass
-        new = set(found).difference(known)
-        if len(known) + len(new) > self.entries:
-            known.clear()
-            new = set(found)
         long = {}
+        new = self.known.missing(set(found))
+        young = self.known.young
         for piece in new:
-            (known if len(piece) <= self.longest else long)[piece] = self._ids(piece)
+            (young if len(piece) <= self.longest else long)[piece] = self._ids(piece)
         if not long:
-            return b"".join(map(known.__getitem__, found))
-        return b"".join([long[p] if p in long else known[p] for p in found])
+            return b"".join(map(young.__getitem__, found))
+        return b"".join([long[p] if p in long else young[p] for p in found])
 
     # -- a text at once, slice by slice --
 
@@ -245,7 +245,7 @@ class StreamEncoder:
 
     def finish(self) -> bytes:
         out = self._advance(self.rest, last=True)
-        self._reset()
+        self.reset()
         return out
 
     def _advance(self, text: str, last: bool) -> bytes:
@@ -326,6 +326,11 @@ class StreamDecoder:
         return out
 
 
+def _machines(definition: str) -> tuple[StreamEncoder, StreamDecoder]:
+    table = MergeTable(definition)
+    return StreamEncoder(table), StreamDecoder(table)
+
+
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256; with ``with_ids`` also ids and decoded text."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -335,8 +340,9 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = MergeTable(definition.value)
-        encoder, decoder = StreamEncoder(table), StreamDecoder(table)
+        text = definition.value
+        encoder, decoder = once_per_worker(("bpe", zlib.crc32(text.encode())), lambda: _machines(text))
+        encoder.reset()
         for batch in batches:
             columns: tuple[list, ...] = ([], [], [], [], [])
             for text in batch.column(1):

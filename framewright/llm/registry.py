@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framewright.llm import bpe_stream, exact_dedup, html_extract, mixing, ogg_media, quality, secret_scan, simhash, token_output
+from framewright.llm import bpe_stream, exact_dedup, html_extract, mixing, ogg_media, quality, secret_scan, simhash, token_output, toxicity
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_token_output": token_output.op8_token_output,
     "op9_mixing": mixing.op9_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {

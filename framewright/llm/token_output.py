@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.llm._worker import Recent, once_per_worker
 from framewright.runtime import materialize
 
 SLOT_BITS = 18
@@ -137,49 +138,61 @@ def decode_block(words: bytes, n: int, lanes: int, checkpoints, tables: Tables,
 
 
 class ChunkEncoder:
-    """Ids by the tokenizers library, which encodes every distinct chunk once.
+    """Ids by the tokenizers library, which encodes every distinct word once.
 
     A chunk is what stands between white space. Tokenizers whose pre-tokenizer
-    drops white space never join or normalise across it, so the ids of a text
-    are those of its chunks in order. The store of chunks is bounded by
-    ``entries``; it starts anew when full.
+    drops white space, lower-cases and parts letters from other symbols never
+    join across either, so the ids of a text are those of its chunks in order,
+    and those of ``Word,`` are those of ``word`` and of ``,``. The store of
+    chunks is bounded (see :class:`Recent`).
     """
 
-    def __init__(self, definition: str, entries: int = 250_000, longest: int = 48):
+    def __init__(self, definition: str, entries: int = 300_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.entries, self.longest = entries, longest
+        self.known = Recent(entries)
+        self.longest = longest
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of all wanted chunks, but for long ones kept for later texts."""
+        new = self.known.missing(wanted)
+        young = self.known.young
+        stems = {}
+        for chunk in new:
+            body, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ",." else (chunk, "")
+            if chunk.isascii() and body.isalpha() and len(chunk) <= self.longest:
+                stems[chunk] = (body.lower(), mark)
+        bare = {s for s, _ in stems.values()} | {m for _, m in stems.values() if m} | (new - stems.keys())
+        bare = list(self.known.missing(bare, turn=False))
+        ids = dict(zip(bare, self._ids(bare), strict=True))
+        young.update((c, i) for c, i in ids.items() if len(c) <= self.longest)
+        for chunk, (stem, mark) in stems.items():
+            young[chunk] = young[stem] + young[mark] if mark else young[stem]
+        return {c: i for c, i in ids.items() if len(c) > self.longest}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
+        # str.split() cuts at these four, the tokenizer does not
+        whole = [any(c in t for c in "\x1c\x1d\x1e\x1f") if t else False for t in texts]
+        split = [[] if w or not t else t.split() for t, w in zip(texts, whole, strict=True)]
+        long = self._learn(set().union(*split))
+        young = self.known.young
         out = []
-        for text in texts:
-            chunks = (text or "").split()
-            if text and not text.isprintable() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                out.append(self._ids([text])[0])  # str.split() cuts there, the tokenizer does not
+        for text, chunks, odd in zip(texts, split, whole, strict=True):
+            if odd:
+                out.append(self._ids([text])[0])
                 continue
-            known = self.known
-            new = [c for c in set(chunks).difference(known)]
-            if len(known) + len(new) > self.entries:
-                known.clear()
-                new = list(set(chunks))
-            short = [c for c in new if len(c) <= self.longest]
-            known.update(zip(short, self._ids(short), strict=True))
-            if len(short) == len(new):
-                out.append(b"".join(map(known.__getitem__, chunks)))
-            else:
-                own = dict.fromkeys(c for c in new if len(c) > self.longest)
-                for c in own:
-                    own[c] = self._ids([c])[0]
-                out.append(b"".join([own[c] if c in own else known[c] for c in chunks]))
+            try:
+                out.append(b"".join(map(young.__getitem__, chunks)))
+            except KeyError:
+                out.append(b"".join([young[c] if c in young else long[c] for c in chunks]))
         return out
 
 
@@ -194,7 +207,9 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, start = ChunkEncoder(definition.value), TaskContext.get().partitionId(), 0
+        text = definition.value
+        encoder = once_per_worker(("chunks", zlib.crc32(text.encode())), lambda: ChunkEncoder(text))
+        shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
