@@ -76,29 +76,33 @@ def hex_table(packets: DataFrame) -> DataFrame:
 def binary_table(packets: DataFrame) -> DataFrame:
     """Binary view. The last instance of an element wins; later vendor tags are appended with id and length."""
     bits8 = lambda number: F.lpad(F.conv(number.cast("string"), 10, 2), 8, "0")
+    lasts = packets.withColumns({f"__l{n}": F.get(F.reverse(_of(n)), F.lit(0)) for _, _, n in BINARY_ELEMENTS})
+    joined = F.aggregate(_of(VENDOR), F.lit(""), lambda s, e: F.when(F.length(s) > 0, F.concat(s, bits8(e["id"]), bits8(e["len"]), bit_text(e["info"]))).otherwise(bit_text(e["info"])))
     columns = [F.coalesce("mac", F.lit("None")).alias("mac")]
     for name, suffix, number in BINARY_ELEMENTS:
-        last = F.get(F.reverse(_of(number)), F.lit(0))
-        payload = bit_text(last["info"])
-        if number == VENDOR:
-            payload = F.aggregate(_of(VENDOR), F.lit(""), lambda s, e: F.when(F.length(s) > 0, F.concat(s, bits8(e["id"]), bits8(e["len"]), bit_text(e["info"]))).otherwise(bit_text(e["info"])))
+        last = F.col(f"__l{number}")
+        payload = joined if number == VENDOR else bit_text(last["info"])
         columns += [F.coalesce(bits8(last["id"]), F.lit("")).alias(f"e_id_{suffix}"), F.coalesce(bits8(last["len"]), F.lit("")).alias(f"len_{suffix}"), F.coalesce(payload, F.lit("")).alias(name)]
-    return packets.select("path", "packet", *columns, bit_text(F.col("fcs")).alias("frame_check_seq"), "label")
-
-
-def ht_fields(info: Column) -> list[Column]:
-    """The 53 HT capability fields as whole numbers in text; null without a full element."""
-    out, start = [], 1
-    for size, fields in HT_GROUPS:
-        bits = F.concat(*(bit_text(F.substring(info, start + size - 1 - i, 1)) for i in range(size)))
-        at = 1
-        for spec in fields.split():
-            name, width = spec.split(":")
-            part = F.substring(bits, at, int(width))
-            value = F.conv(part, 2, 10) if int(width) < 63 else _wide(part, int(width))
-            out.append(F.when(F.octet_length(info) >= 25, value).alias(name))
-            at += int(width)
+    return lasts.select("path", "packet", *columns, bit_text(F.col("fcs")).alias("frame_check_seq"), "label")
+
+
+def ht_bits(info: Column) -> Column:
+    """The bits of an HT capability element, each little-endian group high byte first; null if it is too short."""
+    bits, parts, start = bit_text(info), [], 0
+    for size, _ in HT_GROUPS:
+        parts += [F.substring(bits, 8 * (start + size - 1 - i) + 1, 8) for i in range(size)]
         start += size
+    return F.when(F.octet_length(info) >= start, F.concat(*parts))
+
+
+def ht_fields(bits: Column) -> list[Column]:
+    """The 53 HT capability fields, from :func:`ht_bits`, as whole numbers in text."""
+    out, at = [], 1
+    for spec in (f for _, fields in HT_GROUPS for f in fields.split()):
+        name, width = spec.split(":")
+        part = F.substring(bits, at, int(width))
+        out.append((F.conv(part, 2, 10) if int(width) < 63 else _wide(part, int(width))).alias(name))
+        at += int(width)
     return out
 
 
@@ -109,34 +113,39 @@ def _wide(bits: Column, width: int) -> Column:
     return (high * F.lit(1 << 32).cast("decimal(10,0)") + low).cast("string")
 
 
-def extended_fields(info: Column) -> list[Column]:
+def extended_bits(info: Column) -> Column:
+    """The bits of an extended capability element, least significant first."""
+    return hex_to_binary(bytes_to_hex(info))
+
+
+def extended_fields(bits: Column) -> list[Column]:
     """The first 72 extended capability fields as bit text; absent tail bits read 0, absent fields are null."""
-    bits = hex_to_binary(bytes_to_hex(info))
     where: dict[str, list[int]] = {}
     for at, name in enumerate(EXTENDED_CAPABILITIES):
         where.setdefault(name, []).append(at)
     out = []
     for name, at in list(where.items())[:72]:
-        bit = [F.when(F.length(bits) > i, F.substring(bits, i + 1, 1)).otherwise("0") for i in at]
+        bit = [F.when(F.length(bits) > i, F.substring(bits, i + 1, 1)).otherwise("0") for i in at] if len(at) > 1 else [F.substring(bits, at[0] + 1, 1)]
         out.append(F.when(F.length(bits) > at[0], F.concat(*bit)).alias(name))
     return out
 
 
-def rate_fields(info: Column, prefix: str) -> list[Column]:
-    """Eight rates in Mb/s."""
+def rates(info: Column) -> Column:
+    """Eight rates in Mb/s, nulls at the end."""
     values = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(info), F.lit(1))), lambda i: F.conv(F.hex(F.substring(info, i, F.lit(1))), 16, 10).cast("int") / 2.0)
-    eight = pad_array(F.when(F.octet_length(info) > 0, values), 8)
-    return [F.get(eight, F.lit(i)).alias(f"{prefix} {i + 1}") for i in range(8)]
+    return pad_array(F.when(F.octet_length(info) > 0, values), 8)
 
 
 def dissected_table(packets: DataFrame) -> DataFrame:
     """All 152 dissected columns; the first instance of an element counts."""
-    text = lambda number: F.when(_first(number).isNotNull(), bytes_to_hex(_first(number)))
-    ssid = F.try_validate_utf8(_first(SSID).cast("string"))
+    # the elements and their bits first, so that no field takes an element apart again
+    firsts = packets.withColumns({f"__e{n}": _first(n) for n in (SSID, RATES, DS, HT, EXT_RATES, EXT_CAP, VHT, VENDOR, EXTENSION)})
+    shaped = firsts.withColumns({"__ht": ht_bits(F.col(f"__e{HT}")), "__ext": extended_bits(F.col(f"__e{EXT_CAP}")), "__r": rates(F.col(f"__e{RATES}")), "__x": rates(F.col(f"__e{EXT_RATES}"))})
+    text = lambda number: F.when(F.col(f"__e{number}").isNotNull(), bytes_to_hex(F.col(f"__e{number}")))
     head = [
-        F.col("ts").alias("Timestamp"), F.col("mac").alias("MAC Address"), frequency_to_channel(F.col("freq")).alias("Channel"), _byte(_first(DS)).alias("DS Channel"),
-        F.coalesce(F.col("seq_ctrl") / 16.0, F.lit(0.0)).alias("SN"), text(VENDOR).alias("Vendor Specific Tags"), ssid.alias("SSID"), text(VHT).alias("VHT Capabilities"),
-        text(EXTENSION).alias("HE Capabilities"), F.col("length").alias("Length"), F.col("label").alias("Label"),
+        F.col("ts").alias("Timestamp"), F.col("mac").alias("MAC Address"), frequency_to_channel(F.col("freq")).alias("Channel"), _byte(F.col(f"__e{DS}")).alias("DS Channel"),
+        F.coalesce(F.col("seq_ctrl") / 16.0, F.lit(0.0)).alias("SN"), text(VENDOR).alias("Vendor Specific Tags"), F.try_validate_utf8(F.col(f"__e{SSID}").cast("string")).alias("SSID"),
+        text(VHT).alias("VHT Capabilities"), text(EXTENSION).alias("HE Capabilities"), F.col("length").alias("Length"), F.col("label").alias("Label"),
     ]
-    rates = rate_fields(_first(RATES), "Supported Rates") + rate_fields(_first(EXT_RATES), "Extended Supported Rates")
-    return packets.select("path", "packet", *head, *rates, *ht_fields(_first(HT)), *extended_fields(_first(EXT_CAP)))
+    each = [F.get(c, F.lit(i)).alias(f"{name} {i + 1}") for c, name in (("__r", "Supported Rates"), ("__x", "Extended Supported Rates")) for i in range(8)]
+    return shaped.select("path", "packet", *head, *each, *ht_fields(F.col("__ht")), *extended_fields(F.col("__ext")))

@@ -381,14 +381,14 @@ def ext_cap_bits(spark, d):
 
 @query
 def ext_cap_fields(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.encode(F.substring("text", 1, 9), "UTF-8").alias("info"))
-    return b.select("item_id", *decode.extended_fields(F.col("info")))
+    b = table(spark, d, "benchmark").select("item_id", decode.extended_bits(F.encode(F.substring("text", 1, 9), "UTF-8")).alias("bits"))
+    return b.select("item_id", *decode.extended_fields(F.col("bits")))
 
 
 @query
 def ht_cap_fields(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.encode(F.substring("text", 1, 26), "UTF-8").alias("info"))
-    return b.select("item_id", *decode.ht_fields(F.col("info")))
+    b = table(spark, d, "benchmark").select("item_id", decode.ht_bits(F.encode(F.substring("text", 1, 26), "UTF-8")).alias("bits"))
+    return b.select("item_id", *decode.ht_fields(F.col("bits")))
 
 
 @query

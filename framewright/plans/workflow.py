@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import bit_fingerprint, char_fingerprint, hamming_text, weighted_hamming
 from framewright.operators import cluster, decode, evaluate, prep, sampling, training
+from framewright.runtime import materialize
 from framewright.sources import pcap, tables
 
 BITS = (8, 16, 32, 64)
@@ -38,12 +39,12 @@ def parse_captures(spark: SparkSession, datasets: Mapping[str, str]) -> dict[str
         raise ValueError("no dataset")
     numbered = prep.with_row_id(pcap.probe_requests(packets), "path", "packet")
     key = numbered.select("path", "packet", "row_id", "dataset")
-    return {name: view(numbered).join(key, ["path", "packet"]).drop("path", "packet") for name, view in (("hex", decode.hex_table), ("binary", decode.binary_table), ("dissected", decode.dissected_table))}
+    return {name: materialize(view(numbered).join(key, ["path", "packet"]).drop("path", "packet"), name) for name, view in (("hex", decode.hex_table), ("binary", decode.binary_table), ("dissected", decode.dissected_table))}
 
 
 def preprocess(binary: DataFrame) -> dict[str, DataFrame]:
     """binary_u, binary_0 and filters from the binary table."""
-    texts = prep.concatenate(binary)
+    texts = materialize(prep.concatenate(binary), "interim")
     length = texts.agg(F.max(F.length("concatenated"))).first()[0] or 0
     return {"binary_u": texts, "binary_0": prep.zero_twin(texts), "filters": prep.bitmask_filters(binary.sparkSession, length)}
 
@@ -51,9 +52,10 @@ def preprocess(binary: DataFrame) -> dict[str, DataFrame]:
 def balance(binary_u: DataFrame, hex_table: DataFrame, n_per_label: int = 500, seed: int = 42) -> dict[str, DataFrame]:
     """The sampled rows of both views, renumbered alike."""
     drawn = prep.with_row_id(sampling.balanced_resample(binary_u, n_per_label, seed).withColumnRenamed("row_id", "old"), "label", "pos").select("old", "row_id")
+    drawn = materialize(drawn, "drawn")
     take = lambda df: sampling.propagate(drawn.withColumnRenamed("row_id", "new").withColumnRenamed("old", "row_id"), df).drop("row_id").withColumnRenamed("new", "row_id")
-    u = take(binary_u)
-    return {"binary_u": u, "binary_0": prep.zero_twin(u), "hex": take(hex_table)}
+    u = materialize(take(binary_u), "balanced")
+    return {"binary_u": u, "binary_0": prep.zero_twin(u), "hex": materialize(take(hex_table), "balanced-hex")}
 
 
 @dataclass
@@ -88,14 +90,15 @@ def with_positions(probes_0: DataFrame, model: DataFrame) -> DataFrame:
 def run_cycle(tables_: Mapping[str, DataFrame], turn: int = 0, n_test: int = 20, n_val: int = 20, pairs_per_label: int = 1000, rounds: int = 64, bits: Sequence[int] = BITS, per_size: int = 10, seed: int = 42) -> Cycle:
     """Train, validate and test the three methods on one rotation of the devices."""
     u, zero, hexes = tables_["binary_u"], tables_["binary_0"], tables_["hex"]
-    roles = sampling.rotated_split(u, turn, n_test, n_val, n_test, seed)
+    roles = materialize(sampling.rotated_split(u, turn, n_test, n_val, n_test, seed), "roles")
     out = Cycle(roles)
-    pairs = {role: sampling.balanced_pairs(of_role(u, roles, role), pairs_per_label, seed) for role in ("train", "val")}
+    pairs = {role: materialize(sampling.balanced_pairs(of_role(u, roles, role), pairs_per_label, seed), "pairs") for role in ("train", "val")}
     train = of_role(u, roles, "train")
     out.models["boost"] = training.boost(train, pairs["train"], rounds)
+    ranked = materialize(training.train_positions(train, max(bits)), "positions")  # a smaller budget takes the first ranks
     for n in bits:
-        out.models[f"positions_{n}"] = training.train_positions(train, n)
-    boosted = with_bits(zero, out.models["boost"])
+        out.models[f"positions_{n}"] = ranked.filter(F.col("rank") <= n)
+    boosted = materialize(with_bits(zero, out.models["boost"]), "boosted")
     confidence = [r.confidence for r in out.models["boost"].orderBy("round").collect()]
     met = evaluate.pair_texts(pairs["val"].distinct(), boosted, ["fp"])
     for n in (b for b in bits if b <= len(confidence)):
@@ -103,8 +106,8 @@ def run_cycle(tables_: Mapping[str, DataFrame], turn: int = 0, n_test: int = 20,
         out.curves[f"boost_{n}"] = evaluate.roc(met.withColumn("d", hamming_text(a, b)))
         out.curves[f"boost_weighted_{n}"] = evaluate.roc(met.withColumn("d", F.round(weighted_hamming(F.split(a, ""), F.split(b, ""), confidence[:n]), 12)))
     for n in bits:
-        ranked = evaluate.pair_texts(pairs["val"], with_positions(zero, out.models[f"positions_{n}"]), ["fp"])
-        out.curves[f"positions_{n}"] = evaluate.roc(ranked.withColumn("d", hamming_text(F.col("fp 1"), F.col("fp 2"))))
+        sides = evaluate.pair_texts(pairs["val"], with_positions(zero, out.models[f"positions_{n}"]), ["fp"])
+        out.curves[f"positions_{n}"] = evaluate.roc(sides.withColumn("d", hamming_text(F.col("fp 1"), F.col("fp 2"))))
     columns = ["HT Capabilities", "Extended Capabilities", "Vendor Specific Tags"]
     for n in (2, 3):
         out.curves[f"sums_{n}"] = evaluate.roc(evaluate.pair_manhattan(pairs["val"], hexes, columns[-n:]))

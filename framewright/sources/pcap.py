@@ -116,7 +116,8 @@ def dissect(link: int, frame: bytes) -> dict:
     elements = body[24:]
     out["fcs"] = elements[-4:]
     ies, at = [], 0
-    while at + 2 <= len(elements) - 4:
+    # an element that is cut off runs on into the check sequence, as a bit reader takes it
+    while at < len(elements) - 4:
         size = elements[at + 1]
         ies.append({"ord": len(ies), "id": elements[at], "len": size, "info": elements[at + 2 : at + 2 + size]})
         at += 2 + size
