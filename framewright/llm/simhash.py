@@ -31,7 +31,8 @@ edges, each round a table in the shared folder.
 Defined results: null text has no words; texts without words have fingerprint
 zero, linked like any other; fewer than ``k`` words make one shingle; repeated
 ids give one row per input row; null ids get a component by their fingerprint
-too (the component id ignores null). An empty table gives an empty result; other
+too (the component id ignores null). Rows that repeat an id share its fate in
+:func:`keep_first`. An empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -47,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.operators.graph import components
 from framewright.runtime import materialize
 
 SEED = 42
@@ -216,34 +218,6 @@ def link_forest(fps: DataFrame, radius: int = 4, cap: int = 1024) -> DataFrame:
     return dealt.mapInArrow(_bucket_edges(radius), "u long, v long").distinct()
 
 
-# --- components ------------------------------------------------------------
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node reachable, for every node with an edge.
-
-    Large-star and small-star rounds until the edges are stars. Minima are
-    partial aggregates and the joins may be split, so a hub of many edges is no
-    task of its own.
-    """
-    edges = materialize(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).filter("a <> b").distinct(), "cc")
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.filter("a <> b").distinct(), "cc-large")  # every a > b
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        after = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc-small")
-        roots = after.select("b").distinct()
-        inner = after.join(roots.select(F.col("b").alias("r")), F.col("a") == F.col("r"), "left_semi")
-        done = inner.isEmpty() and after.count() == after.select("a").distinct().count()
-        edges = after
-        if done:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    raise RuntimeError("components did not settle")
-
-
 def near_duplicates(docs: DataFrame, radius: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (hex), component_id for every row."""
     rows = materialize(fingerprints(docs, k, id_col, text_col), "simhash-rows")
