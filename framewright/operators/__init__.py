@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""DataFrame to DataFrame steps: decode, prep, sampling, training, evaluate, cluster, graph."""

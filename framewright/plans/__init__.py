@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Registered queries, their SQL and the workflow."""

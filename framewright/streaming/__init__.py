@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Bursts over arriving captures."""
