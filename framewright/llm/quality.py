@@ -107,7 +107,7 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, ua: np.ndarray, ub: np
 
     held_out = [out_of_fold(v, y) for v in views]
     models = [fit(0), fit(1)]
-    for number in range(rounds if len(ua) and 0 < y.mean() < 1 else 0):
+    for _ in range(rounds if len(ua) and len(y) and 0 < y.mean() < 1 else 0):
         given = {}
         for view in (0, 1):
             p = models[view](pools[view])
