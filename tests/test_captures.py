@@ -1,9 +1,10 @@
 import os
+import random
 
 import pytest
 from captures import ALL, DS, EXT, HT, RATES, VENDOR_A, element, frame, pcap, pcapng
 
-from framewright.operators import decode
+from framewright.operators import decode, prep
 from framewright.plans import workflow
 from framewright.sources import pcap as source
 
@@ -101,9 +102,17 @@ def test_workflow(spark, tmp_path):
     assert {r["count"] for r in ready["binary_u"].groupBy("label").count().collect()} == {10}
     joined = ready["binary_u"].join(ready["hex"].select("row_id", F_label(ready["hex"])), "row_id")
     assert joined.filter("label <> other").count() == 0 and joined.count() == 60
-    out = workflow.run_cycle(ready, 0, n_test=2, n_val=2, pairs_per_label=12, rounds=2, bits=(2,), per_size=3)
+
+
+def test_cycle(spark):
+    rng = random.Random(1)
+    base = {f"d{i}": "".join(rng.choice("01") for _ in range(32)) for i in range(6)}
+    rows = [(i, d, "".join(c if rng.random() > 0.1 else rng.choice("01U") for c in base[d])) for i, d in enumerate(list(base) * 10)]
+    u = spark.createDataFrame(rows, "row_id long, label string, concatenated string")
+    hexes = spark.createDataFrame([(i, d, f"{i:04x}", "00ff", f"{i:06x}") for i, d, _ in rows], "row_id long, label string, `HT Capabilities` string, `Extended Capabilities` string, `Vendor Specific Tags` string")
+    out = workflow.run_cycle({"binary_u": u, "binary_0": prep.zero_twin(u), "hex": hexes}, 0, n_test=2, n_val=2, pairs_per_label=12, rounds=2, bits=(2,), per_size=3)
     assert out.models["boost"].count() == 2 and out.models["positions_2"].count() == 2
-    assert set(out.curves) >= {"boost_2", "boost_weighted_2", "positions_2", "sums_2"}
+    assert set(out.curves) == {"boost_2", "boost_weighted_2", "positions_2", "sums_2", "sums_3"}
     areas = {r.method: r.auc_resampled for r in workflow.compare_auc({k: v for k, v in out.curves.items() if k.startswith("sums")}).collect()}
     assert set(areas) == {"sums_2", "sums_3"} and all(0 <= a <= 1 for a in areas.values())
     assert out.tests["positions_2_groups"].count() == 1
