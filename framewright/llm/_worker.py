@@ -33,7 +33,7 @@ class Recent:
             self.old, self.young = self.young, {}
             absent = set(wanted)
         old = self.old
-        found = absent.intersection(old)
+        found = {x for x in absent if x in old}  # set.intersection() would walk the whole dict
         for x in found:
             self.young[x] = old[x]
         return absent - found
