@@ -22,8 +22,11 @@ and the text are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,6 +140,38 @@ def decode_block(words: bytes, n: int, lanes: int, checkpoints, tables: Tables,
 # --- tokenising ------------------------------------------------------------
 
 
+#: Latin-1 letters, space, line feed, comma and full stop.
+PLAIN = bytes(b for b in range(256) if chr(b).isalpha() or chr(b) in " \n,.")
+
+
+#: Deletes Latin-1 letters.
+LATIN = {b: None for b in range(256) if chr(b).isalpha()}
+
+
+def little_endian(values: array) -> bytes:
+    if sys.byteorder == "big":
+        values.byteswap()
+    return values.tobytes()
+
+
+def chunks_of(text: str) -> list[str]:
+    """The text cut at white space; in plain prose marks stand apart from words in lower case.
+
+    Plain prose has Latin-1 letters only, every mark ends a word, and white space
+    follows it. There the cut before a mark is one the tokenizer makes as well.
+    """
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    if raw.translate(None, PLAIN) or raw[:1] in b",.":
+        return text.split()
+    for mark in (b",", b"."):
+        if raw.count(mark) != raw.count(mark + b" ") + raw.count(mark + b"\n") + raw.endswith(mark) or raw.count(b" " + mark) or raw.count(b"\n" + mark):
+            return text.split()
+    return text.lower().replace(",", " ,").replace(".", " .").split()
+
+
 class ChunkEncoder:
     """Ids by the tokenizers library, which encodes every distinct word once.
 
@@ -156,9 +191,23 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.known = Recent(entries)
         self.longest = longest
+        model = json.loads(definition)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)]] = True
+
+    def _word_ids(self, words: list[str], at_once: int = 500) -> list[bytes]:
+        """Ids of words of Latin-1 letters: encoded in long texts, cut where a word's last token ends."""
+        texts = [" ".join(words[i : i + at_once]) for i in range(0, len(words), at_once)]
+        ids = array("H", [x for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids])
+        stops = (np.flatnonzero(self.ends[np.frombuffer(ids, np.uint16)]) + 1) * 2
+        if len(stops) != len(words):  # a tokenizer without word ends, or one that parts words otherwise
+            return self._ids(words)
+        raw, cuts = little_endian(ids), [0, *stops.tolist()]
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [little_endian(array("H", e.ids)) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, wanted: set[str]) -> dict[str, bytes]:
         """Ids of all wanted chunks, but for long ones kept for later texts."""
@@ -171,7 +220,9 @@ class ChunkEncoder:
                 stems[chunk] = (body.lower(), mark)
         bare = {s for s, _ in stems.values()} | {m for _, m in stems.values() if m} | (new - stems.keys())
         bare = list(self.known.missing(bare, turn=False))
-        ids = dict(zip(bare, self._ids(bare), strict=True))
+        words = [c for c in bare if c.isalpha() and len(c) <= self.longest and c.translate(LATIN) == ""]
+        rest = list(set(bare).difference(words))
+        ids = dict(zip(words, self._word_ids(words), strict=True)) | dict(zip(rest, self._ids(rest), strict=True))
         young.update((c, i) for c, i in ids.items() if len(c) <= self.longest)
         for chunk, (stem, mark) in stems.items():
             young[chunk] = young[stem] + young[mark] if mark else young[stem]
@@ -181,7 +232,7 @@ class ChunkEncoder:
         """Little-endian 16-bit ids of each text."""
         # str.split() cuts at these four, the tokenizer does not
         whole = [any(c in t for c in "\x1c\x1d\x1e\x1f") if t else False for t in texts]
-        split = [[] if w or not t else t.split() for t, w in zip(texts, whole, strict=True)]
+        split = [[] if w or not t else chunks_of(t) for t, w in zip(texts, whole, strict=True)]
         long = self._learn(set().union(*split))
         young = self.known.young
         out = []
