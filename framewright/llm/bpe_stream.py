@@ -181,7 +181,7 @@ class StreamEncoder:
 
     FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, table: MergeTable, entries: int = 300_000, longest: int = 32, slice_chars: int = 1 << 16):
+    def __init__(self, table: MergeTable, entries: int = 200_000, longest: int = 32, slice_chars: int = 1 << 16):
         self.table, self.entries, self.longest, self.slice_chars = table, entries, longest, slice_chars
         self.fast = regex.compile(self.FAST)
         self.exact = None
