@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe_stream, exact_dedup, mixing, quality, simhash
+from framewright.llm import bpe_stream, exact_dedup, mixing, quality, shingle_join
 from framewright.runtime import materialize
 
 MIX_BUDGET = 0.9
@@ -26,8 +26,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles) the row with the smallest id stays."""
-    return simhash.keep_first(docs, k=5)
+    """Of each group of near-duplicates (0.8 of their five-word shingles in common) the row with the smallest id stays."""
+    return shingle_join.keep_first(docs, k=5)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

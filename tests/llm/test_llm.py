@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from framewright.llm import bpe_stream, exact_dedup, html_extract, linear, mixing, ogg_media, quality, secret_scan, simhash, token_output, toxicity
+from framewright.llm import bpe_stream, exact_dedup, html_extract, linear, mixing, ogg_media, quality, secret_scan, shingle_join, simhash, token_output, toxicity
 
 tokenizers = pytest.importorskip("public_tokenizers")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -122,6 +122,49 @@ def test_bucket_forest_with_parts(spark):
     assert {i: got.get(i, i) for i in range(len(fps))} == {i: find(i) for i in range(len(fps))}
 
 
+def test_shingle_join(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    line = " ".join(word() for _ in range(30))
+    texts = [*TEXTS, *(f"{line} " + " ".join(word() for _ in range(rng.randint(20, 200))) for _ in range(30))]
+    for _ in range(60):  # similarities about 0.6 to 1
+        words = rng.choice(texts[len(TEXTS) :]).split()
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = word()
+        texts.append(" ".join(words))
+    sets = [set(shingle_join.shingles(t, 5).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+    for cap in (4, 512):
+        got = {r.doc_id for r in shingle_join.keep_first(docs(spark, texts), cap=cap).collect()}
+        assert got == set(parent)
+    assert shingle_join.keep_first(docs(spark, [])).count() == 0
+
+
+def test_near_stage_at_its_threshold(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(7)
+    texts = []
+    for _ in range(20):
+        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(100)]
+        texts.append(" ".join(words))
+        words[50] = "changed"  # 91 of 101 shingles
+        texts.append(" ".join(words))
+    got = {r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs(spark, texts), "").collect()}
+    assert got == set(range(0, 40, 2))
+
+
+def test_shingle_join_rows(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    df = docs(spark, [a, a.upper(), b, b.upper(), "another"], [3, None, None, 5, 5])
+    assert {(r.doc_id, r.text) for r in shingle_join.keep_first(df).collect()} == {(3, a), (5, b.upper()), (5, "another")}
+    assert shingle_join.keep_first(docs(spark, [a, a, b], [None, None, 1])).count() == 2
+
+
 # 4
 
 
