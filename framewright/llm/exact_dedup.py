@@ -73,12 +73,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; repeated (id, text) rows once."""
+    """The rows of ``docs`` that stay, all columns; rows that repeat both id and text once.
+
+    Rows are told apart by id and text, null ids too, so a row shares the fate of
+    no other text under its id.
+    """
     verdict = materialize(exact_dedup(docs, id_col, text_col, **options), "exact-verdict")
-    lost = verdict.filter(~F.col("kept")).select(F.col(id_col).alias("__lost")).distinct()
-    kept = docs.join(lost, docs[id_col] == lost["__lost"], "left_anti")
-    stays = verdict.filter("kept").groupBy(id_col).count().filter("count > 1")
-    return kept if stays.isEmpty() else kept.dropDuplicates([id_col, text_col])
+    lost = verdict.filter(~F.col("kept")).select(F.col(id_col).alias("__lost"), F.col("text_sha256").alias("__text")).distinct()
+    keyed = docs.withColumn("__sha", F.sha2(ascii_lower(F.col(text_col)), 256))
+    kept = keyed.join(lost, (F.col("__sha") == F.col("__text")) & F.col(id_col).eqNullSafe(F.col("__lost")), "left_anti")
+    stays = verdict.filter("kept").groupBy(id_col, "text_sha256").count().filter("count > 1")
+    return (kept if stays.isEmpty() else kept.dropDuplicates([id_col, "__sha"])).drop("__sha")
 
 
 SQL = """

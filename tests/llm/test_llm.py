@@ -48,6 +48,12 @@ def test_exact_dedup_with_colliding_digests(spark):
     assert {i: r.keep_id for i, r in got.items()} == {0: 2, 1: 4, 2: 2, 3: 3, 4: 4}
 
 
+def test_drop_copies_by_row(spark):
+    df = docs(spark, ["A", "B", "A", "c", "C", "d", "D", "e"], [5, 5, 9, None, 7, None, None, None])
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text.lower()) for r in exact_dedup.drop_copies(df).collect())
+    assert got == [(-1, "d"), (-1, "e"), (5, "b"), (7, "c"), (9, "a")]
+
+
 def test_exact_dedup_repeated_rows(spark):
     df = docs(spark, ["a", "a", "b"], ids=[5, 5, 6])
     assert [r.kept for r in exact_dedup.exact_dedup(df).collect()] == [True] * 3
