@@ -1,8 +1,11 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead.
 
-Encoding. A text is read in slices. A small pre-tokenizer keeps the running
-piece open across slices; a piece short enough is merged at once (and its ids
-kept in a bounded store), a longer one goes through :class:`PieceStream`.
+Encoding. A text is read in slices. A small pre-tokenizer cuts the characters
+into pieces and keeps the running piece open across slices. The bytes of every
+piece, short or long, go into one machine, :class:`Transducer`, and the end of a
+piece is a flush mark in its input. The machine is the only place where tokens
+are made. What it made of a whole short piece is kept in a bounded store, so that
+a piece seen again is read from there.
 
 Lookahead. What stands to the right of a byte can change the tokens left of it
 only through a chain of merges, each of a later rank than the one before and
@@ -10,9 +13,10 @@ each one token further left: the first merge touches the unseen bytes; the next
 joins the left neighbour ``t`` to a token that begins with the left part of the
 merge before. :func:`sufficient_lookahead` takes the longest such chain, in
 bytes, over the merge list (one pass in rank order). A token that ends at least
-that many bytes before the last byte read is final. Merging may start again at
-any final boundary, for no merge crosses it, so a stream holds the undecided
-bytes of one window and nothing else, however long the piece.
+that many bytes before the last byte read is final; at a flush mark no byte
+follows, and every token is. These two are the stability rule. Merging may start
+again at any final boundary, for no merge crosses it, so the machine holds the
+undecided bytes of one window and nothing else, however long the piece.
 
 Decoding is a state machine over bytes: token bytes go in, whole characters
 come out, and the state is the at most three bytes of an unfinished one.
@@ -134,19 +138,28 @@ def _merge_long(ids: list[int], merges) -> list[int]:
     return [x for x, live in zip(ids, alive) if live]
 
 
-class PieceStream:
-    """Feed the bytes of one piece; tokens come out once no later byte can change them."""
+class Transducer:
+    """Bytes go in, tokens come out once no later byte can change them.
+
+    ``settled`` counts the tokens that came out for want of nothing but
+    ``lookahead`` bytes behind them, ``flushed`` those that a mark let out; there
+    is no other way out. ``window`` bytes are read between two looks, so memory
+    is ``window + lookahead`` bytes and every byte is merged about 4/3 times.
+    """
 
     def __init__(self, table: MergeTable):
         self.table, self.held = table, b""
         self.window = max(4 * table.lookahead, 256)
+        self.settled = self.flushed = 0
 
     def feed(self, data: bytes) -> list[int]:
+        """The tokens that these bytes make final."""
         out: list[int] = []
         for at in range(0, len(data), self.window):
             self.held += data[at : at + self.window]
             if len(self.held) > self.window:
                 out += self._stable(len(self.held) - self.table.lookahead)
+        self.settled += len(out)
         return out
 
     def _stable(self, limit: int) -> list[int]:
@@ -160,9 +173,11 @@ class PieceStream:
         self.held = self.held[end:]
         return out
 
-    def finish(self) -> list[int]:
+    def mark(self) -> list[int]:
+        """The end of a piece: no merge crosses it, so what is held is final."""
         out = merge_piece(self.held, self.table)
         self.held = b""
+        self.flushed += len(out)
         return out
 
 
@@ -173,29 +188,32 @@ def _unassigned_letters() -> str:
 
 
 class StreamEncoder:
-    """Texts to ids: streaming pre-tokenizer, piece store, transducer.
+    """Texts to ids: streaming pre-tokenizer, transducer, store of its results.
 
-    ``feed``/``finish`` take a text in slices of any size. The store of short
-    pieces is bounded (see :class:`Recent`).
+    ``feed``/``finish`` take a text in slices of any size. The store is bounded
+    (see :class:`Recent`); without one (``entries=0``) every piece runs through
+    the machine.
     """
 
-    FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    OPEN = 8  # characters of an unfinished piece that are sure not to be part of a contraction
 
     def __init__(self, table: MergeTable, entries: int = 200_000, longest: int = 32, slice_chars: int = 1 << 16):
         self.table, self.entries, self.longest, self.slice_chars = table, entries, longest, slice_chars
-        self.fast = regex.compile(self.FAST)
+        self.fast = self._compiled()
         self.exact = None
         self.added = regex.compile("|".join(map(regex.escape, sorted(table.added, key=len, reverse=True)))) if table.added else None
         self.holdback = max(map(len, table.added), default=1) - 1
         self.known = Recent(entries)
+        self.machine = Transducer(table)
         self.reset()
 
     def reset(self) -> None:
         self.rest = ""  # characters whose piece, or added token, is not settled
-        self.stream: PieceStream | None = None  # an open long piece
-        self.kind = ""  # its class: S (white space), L, N or O (other)
+        self.machine.held = b""
+        self.kind = ""  # of the piece that is open in the machine: S (white space), L, N or O (other)
 
-    def _pattern(self, text: str):
+    def _grammar(self, text: str):
+        """The pattern of pieces, and of a run of each class, for this text."""
         try:
             text.encode("latin-1")
             return self.fast
@@ -204,21 +222,21 @@ class StreamEncoder:
                 new = regex.escape(_unassigned_letters())
                 letter, digit = (rf"(?:(?![{new}])\p{{{c}}})" if new else rf"\p{{{c}}}" for c in "LN")
                 other = rf"(?:[^\s\p{{L}}\p{{N}}]|[{new}])" if new else r"[^\s\p{L}\p{N}]"
-                self.exact = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{digit}+| ?{other}+|\s+(?!\S)|\s+")
-                self.ends = {k: regex.compile(c + "*") for k, c in (("S", r"\s"), ("L", letter), ("N", digit), ("O", other))}
+                self.exact = self._compiled(letter, digit, other)
             return self.exact
 
+    @staticmethod
+    def _compiled(letter: str = r"\p{L}", digit: str = r"\p{N}", other: str = r"[^\s\p{L}\p{N}]"):
+        pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{digit}+| ?{other}+|\s+(?!\S)|\s+")
+        return pieces, {k: regex.compile(c + "*") for k, c in (("S", r"\s"), ("L", letter), ("N", digit), ("O", other))}
+
     def _ids(self, piece: str) -> bytes:
-        data = piece.encode()
-        if len(data) > self.table.lookahead * 4:
-            stream = PieceStream(self.table)
-            ids = stream.feed(data) + stream.finish()
-        else:
-            ids = merge_piece(data, self.table)
-        return np.array(ids, "<u4").tobytes()
+        return self._bytes(self.machine.feed(piece.encode()) + self.machine.mark())
 
     def pieces(self, found: list[str]) -> bytes:
         """Ids of whole pieces, as little-endian 32-bit integers."""
+        if not self.entries:
+            return b"".join(map(self._ids, found))
         try:
             return b"".join(map(self.known.young.__getitem__, found))
         except KeyError:
@@ -271,31 +289,30 @@ class StreamEncoder:
     def _plain(self, text: str, last: bool) -> bytes:
         """Pieces of text free of added tokens; unless ``last``, the open end stays in ``rest``."""
         out, self.rest = [], ""
-        if self.stream is not None:
-            taken = self.ends[self.kind].match(text).end()
+        if self.kind:
+            taken = self._grammar(text)[1][self.kind].match(text).end()
             over = taken < len(text)
             if self.kind == "S" and taken and not (last and not over):
                 taken -= 1  # the last white space may go with what follows
-            out.append(self._stream_bytes(self.stream.feed(text[:taken].encode())))
+            out.append(self._bytes(self.machine.feed(text[:taken].encode())))
             text = text[taken:]
             if not (over or last):
                 self.rest = text
                 return b"".join(out)
-            out.append(self._stream_bytes(self.stream.finish()))
-            self.stream = None
-        found = self._pattern(text).findall(text)
+            out.append(self._bytes(self.machine.mark()))
+            self.kind = ""
+        pattern, runs = self._grammar(text)
+        found = pattern.findall(text)
         if last:
             out.append(self.pieces(found))
             return b"".join(out)
         # the last piece may grow, and a lone apostrophe before it may turn out to be a contraction
         tail = found.pop() if found else ""
-        if len(tail) > self.slice_chars // 2:
+        if len(tail) > self.OPEN:
             out.append(self.pieces(found))
-            self._pattern("\u0100")
-            self.kind = next((k for k, run in self.ends.items() if run.match(tail[-1]).end()), "O")
-            self.stream = PieceStream(self.table)
+            self.kind = next(k for k, run in runs.items() if run.match(tail[-1]).end())
             cut = len(tail) - (self.kind == "S")
-            out.append(self._stream_bytes(self.stream.feed(tail[:cut].encode())))
+            out.append(self._bytes(self.machine.feed(tail[:cut].encode())))
             self.rest = tail[cut:]
             return b"".join(out)
         if found and found[-1] == "'":
@@ -305,7 +322,7 @@ class StreamEncoder:
         return b"".join(out)
 
     @staticmethod
-    def _stream_bytes(ids: list[int]) -> bytes:
+    def _bytes(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
 

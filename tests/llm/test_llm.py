@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with the odd cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from framewright.llm import bpe_stream, exact_dedup, html_extract, linear, mixing, ogg_media, quality, secret_scan, shingle_join, simhash, token_output, toxicity
 
 tokenizers = pytest.importorskip("public_tokenizers")
+SF = "/root/testdata/sf0.001"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, keep string, start long, fp string"
 TEXTS = [None, "", " ", "a", "A", "Äb", "äb", "same words here now", "SAME words here now", "token = 'abcdefgh' user: joe http://x.example/", "x" * 70000, "Word, word. " * 3000, "don't <|endoftext|> stop", "日本語 テキスト", "tab\tand\nline \x1c odd"]
@@ -209,9 +211,30 @@ def test_lookahead_suffices():
         table.merges, table.token_bytes, table.byte_id = merges, pieces, {97 + i: i for i in range(3)}
         table.lookahead = bpe_stream.sufficient_lookahead(merges, {i: len(p) for i, p in pieces.items()})
         data = bytes(rng.choice(b"abc") for _ in range(200))
-        stream = bpe_stream.PieceStream(table)
-        stream.window = table.lookahead + 3
-        assert stream.feed(data) + stream.finish() == bpe_stream.merge_piece(data, table)
+        machine = bpe_stream.Transducer(table)
+        machine.window = table.lookahead + 3
+        assert machine.feed(data) + machine.mark() == bpe_stream.merge_piece(data, table)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_every_token_comes_out_of_the_machine(table):
+    """Over all documents: the tokens are those that the stability rule let out, and the store holds nothing else."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    texts = [t or "" for t in pq.read_table(f"{SF}/documents.parquet", columns=["text"])["text"].to_pylist()] + ["ab" * 4000 + " " * 3000 + "x"]
+    plain, stored = (bpe_stream.StreamEncoder(table, entries=n, slice_chars=1000) for n in (0, 200_000))
+    plain.machine.window = table.lookahead + 1
+    total = 0
+    for text in texts:
+        ids = np.frombuffer(b"".join(plain.encode(text)), "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(stored.encode(text)), "<u4").tolist() == ids
+        total += len(ids)
+    assert plain.machine.settled + plain.machine.flushed == total and plain.machine.settled > 1000
+    for piece, ids in stored.known.young.items():
+        assert ids == plain._ids(piece)
 
 
 def test_bpe_query(spark):
