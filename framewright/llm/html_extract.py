@@ -6,16 +6,24 @@ Elements that never hold the article are dropped: scripts, styles, forms,
 navigation, headers, footers, asides, dialogs, hidden parts, and whatever its
 class, id or role names as menu, notice, advert, sidebar, comments and so on.
 
-Every paragraph-like block earns points for its length and its commas and gives
-them to its ancestors: all to the parent, half to the grandparent, a third to
-the next, and so on. A container's points are discounted by its link density.
-The best container is kept, and those of its siblings that score near it, or are
-plain paragraphs with few links, are kept with it, in page order.
+Every paragraph-like block earns points for its length and its commas and passes
+them to its ancestors: all to the parent, half to the grandparent, a quarter to
+the next, and so on, summed from the leaves up. A container's points are
+discounted by its link density. Where the page has an ``article`` or ``main``
+with text of its own, the best of those is the container; else the best scored
+element is kept, and those of its siblings that score near it, or are plain
+paragraphs with few links, are kept with it, in page order.
+
+A class or id drops an element only if it names one of the kinds that never hold
+article text (:data:`NAMED`); names that merely make it unlikely (:data:`UNLIKELY`)
+lower its score, and drop it only if it is mostly links. Every step is one pass
+over the elements, so deep and long pages cost time in proportion to their size.
 
 Defined results: null or blank html gives an empty text; a page without any
 paragraph gives the text of its body outside dropped parts unless that is mostly
-links; cut-off pages and tags are read as far as they go; white space inside a
-block becomes one space, blocks are joined by one newline; character references
+links; cut-off pages and tags are read as far as they go; a quote in a tag opens a
+value only after ``=``, and a value that is never closed ends with its tag; repeated
+rows give repeated results; white space inside a block becomes one space, blocks are joined by one newline; character references
 are decoded, unknown ones stay as they are. Memory is bounded by the page. An
 empty table gives an empty result; other columns are ignored.
 """
@@ -44,26 +52,42 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINER = frozenset("html body article main section div td blockquote center".split())
 CLOSES_P = BLOCK - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot", "caption"}
 INLINE_FORMAT = frozenset("a b i u s em strong small big font span code tt q cite abbr sub sup mark del ins strike kbd samp var time".split())
+CROSSING = frozenset("table tr tbody article main body html section div".split())
+LIMITS = frozenset("td th article main body".split())
+# Words in a class or id. The first names what is never article text, the second what seldom is.
+NAMED = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|crumbs?|sidebar\w*|footer|masthead|topbar|header"
+    r"|cookies?|consent|gdpr|notices?|popup|newsletter|subscribe|subscription|signup|login"
+    r"|comments?|commentlist|replies|respond|disqus|pagination|pager)(?:$|[\s_\d-])",
+    re.IGNORECASE,
+)
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|crumbs?|sidebar\w*|side|rail|footer|foot|masthead|topbar|header"
-    r"|cookies?|consent|gdpr|notices?|alert|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*"
-    r"|comments?|commentlist|reply|replies|respond|disqus|discussion|pagination|pager|skip|toolbar|widget\w*|search\w*|hidden|copyright|legal|disclaimer)(?:$|[\s_\d-])",
+    r"(?:^|[\s_-])(?:side|rail|foot|alert|notification|modal|overlay|share|sharing|social|related|recommend\w*|reply|discussion|skip|toolbar|widget\w*|search\w*"
+    r"|hidden|copyright|legal|disclaimer)(?:$|[\s_\d-])",
     re.IGNORECASE,
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|body|text|page)(?:$|[\s_-])", re.IGNORECASE)
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alertdialog alert menu menubar note".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^>]*(?:>|$)", re.DOTALL)
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)(?:>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)",
+    re.DOTALL,
+)
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attrs", "dropped", "score", "points")
+    """An element: ``chars`` and ``links`` count the text below it and that in links, ``points`` and ``score`` rate it."""
+
+    __slots__ = ("tag", "parent", "children", "attrs", "dropped", "within", "unlikely", "kept", "chars", "links", "points", "score")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.children: list[Node | str] = []
-        self.dropped, self.score, self.points = False, 0.0, 0.0
+        self.dropped = self.unlikely = self.kept = False
+        self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
+        self.chars = self.links = 0
+        self.points = self.score = 0.0
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -74,39 +98,51 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def is_dropped(node: Node) -> bool:
-    """Whether an element never holds article text."""
+def judge(node: Node) -> None:
+    """Mark an element that never holds article text as dropped, one that seldom does as unlikely."""
     tag = node.tag
     if tag in DROPPED:
-        return True
+        node.dropped = True
+        return
     if tag == "header":
         # the header of an article may hold its title; a page's own header does not
-        return not any(n.tag in ("article", "main") for n in ancestors(node))
+        node.dropped = not node.within
+        return
     if not node.attrs.strip() or tag in ("html", "body"):
-        return False
+        return
     attrs = attributes(node.attrs)
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.IGNORECASE):
-        return True
+        node.dropped = True
+        return
     if attrs.get("role", "").lower() in ROLES:
-        return True
+        node.dropped = True
+        return
     named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     if tag in ("article", "main"):
-        return bool(re.search(r"comment|reply|related|promo", named, re.IGNORECASE))
+        node.dropped = bool(re.search(r"comment|reply|related|promo", named, re.IGNORECASE))
+        return
     if not named.strip():
-        return False
-    return bool(UNLIKELY.search(named)) and not (LIKELY.search(named) and not re.search(r"comment|sidebar|foot|nav|menu|\bads?\b|advert|cookie|share|related", named, re.IGNORECASE))
+        return
+    surely = re.search(r"comment|sidebar|foot|nav|menu|\bads?\b|advert|cookie|share|related", named, re.IGNORECASE)
+    likely = LIKELY.search(named) and not surely
+    node.dropped = bool(NAMED.search(named)) and not likely
+    node.unlikely = bool(UNLIKELY.search(named)) and not likely
 
 
-def ancestors(node: Node) -> Iterator[Node]:
-    while node.parent is not None:
-        node = node.parent
-        yield node
-
-
-def parse(page: str) -> Node:
-    """The element tree, dropped elements marked."""
+def parse(page: str) -> tuple[Node, list[Node]]:
+    """The element tree, judged, and its elements in page order (parents before children)."""
     root = Node("#root", None)
+    nodes = [root]
+    open_: dict[str, int] = {}  # open elements by name, so that a tag that closes nothing costs no search
     at, end, here = 0, len(page), root
+
+    def leave(to: Node) -> Node:
+        nonlocal here
+        while here is not to:
+            open_[here.tag] -= 1
+            here = here.parent
+        return here
+
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
@@ -120,20 +156,25 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            here = _close(here, tag)
+            if open_.get(tag):
+                leave(_close(here, tag))
             continue
-        here = _implied_close(here, tag)
+        if (tag in CLOSES_P and any(map(open_.get, CLOSED))) or (tag in IMPLIED and any(map(open_.get, IMPLIED[tag][0]))):
+            leave(_implied_close(here, tag))
         node = Node(tag, here, m[3] or "")
-        node.dropped = here.dropped or is_dropped(node)
+        judge(node)
+        node.dropped = node.dropped or here.dropped
         here.children.append(node)
+        nodes.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.IGNORECASE).search(page, at)
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             at = stop.end() if stop else end
             continue
         here = node
-    return root
+        open_[tag] = open_.get(tag, 0) + 1
+    return root, nodes
 
 
 def _close(here: Node, tag: str) -> Node:
@@ -142,7 +183,7 @@ def _close(here: Node, tag: str) -> Node:
     while node.parent is not None and node.tag != tag:
         if tag in INLINE_FORMAT and node.tag in BLOCK:
             return here
-        if node.tag in ("td", "th", "article", "main", "body") and tag not in ("table", "tr", "tbody", "article", "main", "body", "html", "section", "div"):
+        if node.tag in LIMITS and tag not in CROSSING:
             return here
         if node.tag in ("article", "main") and tag in ("div", "section"):
             return here
@@ -154,6 +195,9 @@ def _close(here: Node, tag: str) -> Node:
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "body": (("head",), ("html",))}
 
 
+CLOSED = ("p", *sorted(HEADING))  # what the start of a block may close
+
+
 def _implied_close(here: Node, tag: str) -> Node:
     if tag in CLOSES_P:
         node = here
@@ -218,73 +262,76 @@ def blocks_of(node: Node) -> list[tuple[str, Node, int]]:
                 stack.append((child, 0, in_link or child.tag == "a", block))
             descended = True
             break
-        if not descended and here.tag in BLOCK | {"#root"}:
+        if not descended and (here.tag in BLOCK or here is node):
             flush()
-            owner = next((s[3] for s in reversed(stack)), node)
+            owner = stack[-1][3] if stack else node
     flush()
     return out
 
 
-def score(blocks: list[tuple[str, Node, int]]) -> list[Node]:
-    """Containers that got points, discounted by link density."""
-    scored: dict[int, Node] = {}
-    sizes: dict[int, list[int]] = {}
+def points_of(text: str, block: Node, links: int) -> float:
+    """What a block earns; short ones earn nothing unless they are headings."""
+    if len(text) < 25 and block.tag not in HEADING:
+        return 0.0
+    return (1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)) * (1 - links / len(text))
+
+
+def score(blocks: list[tuple[str, Node, int]], nodes: list[Node]) -> None:
+    """Points, text sizes and scores of all elements, summed from the last element to the first."""
     for text, block, links in blocks:
-        own = block if block.tag in CONTAINER else None
-        chain = ([own] if own else []) + list(ancestors(block))
-        for n in chain:
-            total = sizes.setdefault(id(n), [0, 0])
-            total[0] += len(text)
-            total[1] += links
-        if len(text) < 25 and block.tag not in HEADING:
-            continue
-        points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
-        points *= 1 - links / len(text)
-        share = 1.0
-        for depth, n in enumerate(chain):
-            n.points += points * share
-            scored[id(n)] = n
-            share = 1 / (depth + 2)
-    for key, n in scored.items():
-        chars, links = sizes[key]
+        block.chars += len(text)
+        block.links += links
+        to = block if block.tag in CONTAINER or block.parent is None else block.parent
+        to.points += points_of(text, block, links)
+    for n in reversed(nodes):  # children come after their parents
         bonus = 1.25 if n.tag in ("article", "main") or (n.attrs and LIKELY.search(n.attrs)) else 1.0
-        n.score = n.points * bonus * (1 - links / max(1, chars))
-    return list(scored.values())
+        n.score = n.points * bonus * (0.25 if n.unlikely else 1.0) * (1 - n.links / max(1, n.chars))
+        if n.parent is not None:
+            n.parent.points += n.points / 2
+            n.parent.chars += n.chars
+            n.parent.links += n.links
 
 
 def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page or not page.strip():
         return ""
-    root = parse(page)
+    root, nodes = parse(page)
     blocks = blocks_of(root)
+    own: dict[int, tuple[int, int]] = {}  # (characters, those in links) of the blocks an element owns itself
+    for text, block, links in blocks:
+        chars, linked = own.get(id(block), (0, 0))
+        own[id(block)] = (chars + len(text), linked + links)
+    score(blocks, nodes)
+    for n in nodes:
+        n.dropped = n.dropped or (n.unlikely and n.chars > 0 and 2 * n.links >= n.chars) or (n.parent is not None and n.parent.dropped)
+    blocks = [b for b in blocks if not b[1].dropped]
     if not blocks:
         return ""
-    scored = score(blocks)
-    if not scored:
+    scored = [n for n in nodes if n.points > 0 and not n.dropped]
+    main = [n for n in nodes if n.tag in ("article", "main") and not n.dropped and n.chars > 2 * n.links]
+    if not scored and not main:
         chars, links = sum(len(b[0]) for b in blocks), sum(b[2] for b in blocks)
         return "" if links > chars / 2 else "\n".join(b[0] for b in blocks)
-    best = max(scored, key=lambda n: n.score)  # the first of equals, which page order decides
-    # an article that contains the best part is the container itself
-    outer = [n for n in ancestors(best) if n.tag in ("article", "main")]
-    if outer:
-        best = next((n for n in outer if n.tag == "article"), outer[0])
-    kept = {id(best)}
+    if main:
+        best = max([n for n in main if n.tag == "article"] or main, key=lambda n: n.score)
+        outer = best.parent
+        while outer is not None:  # an article in an article is a part of it
+            best = outer if outer.tag == "article" else best
+            outer = outer.parent
+    else:
+        best = max(scored, key=lambda n: n.score)  # the first of equals, which page order decides
+    best.kept = True
     if best.parent is not None and best.tag not in ("article", "main", "body", "html", "#root"):
         limit = max(10.0, best.score * 0.2)
-        by_owner: dict[int, list[int]] = {}
-        for text, block, links in blocks:
-            total = by_owner.setdefault(id(block), [0, 0])
-            total[0] += len(text)
-            total[1] += links
         for n in best.parent.children:
             if isinstance(n, str) or n.dropped:
                 continue
-            chars, links = by_owner.get(id(n), (0, 0))
-            if n.score >= limit or (n.tag in HEADING and chars and not links) or (n.tag in PARAGRAPH and chars and links / chars < 0.25):
-                kept.add(id(n))
-    lines = [text for text, block, _ in blocks if id(block) in kept or any(id(n) in kept for n in ancestors(block))]
-    return "\n".join(lines)
+            chars, links = own.get(id(n), (0, 0))
+            n.kept = n.kept or n.score >= limit or (n.tag in HEADING and chars > 0 and not links) or (n.tag in PARAGRAPH and chars > 0 and links / chars < 0.25)
+    for n in nodes:
+        n.kept = n.kept or (n.parent is not None and n.parent.kept)
+    return "\n".join(text for text, block, _ in blocks if block.kept)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

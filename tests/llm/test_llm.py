@@ -347,10 +347,61 @@ also <b>long</b> enough, &lt;well&gt; by everyone, really and truly.<ul><li>one<
         assert html_extract.extract(odd) == text
 
 
+LONG = "a paragraph of text, long enough to count, by any measure at all."
+
+
+def test_html_odd_markup():
+    quoted = f'<p title="5" tall">First, {LONG}</p><p title="6" tall">Second, {LONG}</p>'
+    assert html_extract.extract(quoted).split("\n") == [f"First, {LONG}", f"Second, {LONG}"]
+    inside = f'<article><p>One, {LONG}</p><div class="legal"><p>Two, {LONG}</p></div><div id="discussion"><p>Three, {LONG}</p></div><div class="comments"><p>Four, {LONG}</p></div></article>'
+    assert [x.split(",")[0] for x in html_extract.extract(inside).split("\n")] == ["One", "Two", "Three"]
+    related = f'<article><p>One, {LONG}</p><div class="related"><p><a href="/x">Other, {LONG}</a></p></div></article>'
+    assert html_extract.extract(related) == f"One, {LONG}"
+    assert html_extract.extract(f"<main><p>Short text.</p></main><div><p>{LONG * 9}</p></div>") == "Short text."
+    assert html_extract.extract("<p>a < b and c > d <3 </ x> e</p>") == "a < b and c > d <3 e"
+    assert html_extract.extract("<p class='x>one<p>two</p>") == "one\ntwo"
+    assert html_extract.extract("<script>if (a</scripted>b) x</script><p>left</p>") == "left"
+
+
+def test_html_scores_by_hand():
+    """Each block walks up its ancestors: the same points as the one pass from the leaves."""
+    rng = random.Random(8)
+    for _ in range(50):
+        page = "".join(rng.choice(["<div>", "</div>", "<section>", "</section>", "<blockquote>", "</blockquote>", f"<p>{LONG}", "<td>", "<h2>Head</h2>", f"<a href=x>{LONG}</a>", "text, ", "<article>", "</article>"]) for _ in range(60))
+        root, nodes = html_extract.parse(page)
+        blocks = html_extract.blocks_of(root)
+        html_extract.score(blocks, nodes)
+        points, chars = {}, {}
+        for text, block, links in blocks:
+            chain = [block]
+            while chain[-1].parent is not None:
+                chain.append(chain[-1].parent)
+            for n in chain:
+                chars[id(n)] = chars.get(id(n), 0) + len(text)
+            if block.tag not in html_extract.CONTAINER and block.parent is not None:
+                chain = chain[1:]
+            for depth, n in enumerate(chain):
+                points[id(n)] = points.get(id(n), 0) + html_extract.points_of(text, block, links) / 2**depth
+        for n in nodes:
+            assert abs(n.points - points.get(id(n), 0)) < 1e-9 and n.chars == chars.get(id(n), 0)
+
+
+def test_html_cost_follows_size():
+    import time
+
+    began = time.perf_counter()
+    for page in (f"<div><p>{LONG}</p>" * 20_000, "<div>" * 20_000 + "</p>" * 20_000 + "x", "<article>" * 20_000 + LONG, '<p a=">' * 20_000 + "x", "<ul><li>" * 20_000 + "</li>" * 20_000 + LONG):
+        assert html_extract.extract(page)
+    assert time.perf_counter() - began < 10
+    assert html_extract.extract(f"<div><p>{LONG}</p>" * 500).count("\n") == 499
+
+
 def test_html_query(spark):
-    rows = [(1, "u", "<p>x</p>"), (2, None, None)]
-    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "x", 1), (2, "", 0)]
+    rows = [(1, "u", "<p>x</p>", "k"), (2, None, None, None), (1, "u", "<p>x</p>", "k")]
+    schema = "page_id long, url string, html string, text string"
+    got = html_extract.extract_pages(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, "x", 1), (1, "x", 1), (2, "", 0)]
+    assert html_extract.extract_pages(spark.createDataFrame([], schema)).count() == 0
 
 
 # 5, 10
