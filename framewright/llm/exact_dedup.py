@@ -9,6 +9,9 @@ not by its digest alone:
    fills a third of the table is spread over ``salts`` reducers;
 3. the at most ``salts`` winners of each text merge globally.
 
+Every row then meets its group's result; the rows of groups that hold more than
+a thousandth of the table are dealt over several tasks there.
+
 Defined results: null text counts as empty; equal texts are those identical
 after lower-casing A-Z; the row with the largest id stays (null ids lose to any
 other; if all are null, ``keep_id`` is null and every such row is kept). Rows
@@ -24,6 +27,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.llm._rows import drop_rows, join_groups
 from framewright.runtime import materialize
 
 
@@ -64,11 +68,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
 
     keyed = rows.withColumn("sha", F.sha2(F.col("body"), 256))
+    total = groups.agg(F.sum("n")).first()[0] or 0
     single = groups.filter("texts = 1").drop("body", "texts")
-    result = out(keyed.drop("body").join(single, "key"))
+    result = out(join_groups(keyed.drop("body"), single, ["key"], total))
     shared = groups.filter("texts > 1").drop("texts")
     if not shared.isEmpty():  # digests of several texts: settle those rows by content
-        result = result.unionByName(out(keyed.join(shared, ["key", "body"])))
+        result = result.unionByName(out(join_groups(keyed, shared, ["key", "body"], total)))
     return result
 
 
@@ -79,11 +84,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no other text under its id.
     """
     verdict = materialize(exact_dedup(docs, id_col, text_col, **options), "exact-verdict")
-    lost = verdict.filter(~F.col("kept")).select(F.col(id_col).alias("__lost"), F.col("text_sha256").alias("__text")).distinct()
-    keyed = docs.withColumn("__sha", F.sha2(ascii_lower(F.col(text_col)), 256))
-    kept = keyed.join(lost, (F.col("__sha") == F.col("__text")) & F.col(id_col).eqNullSafe(F.col("__lost")), "left_anti")
-    stays = verdict.filter("kept").groupBy(id_col, "text_sha256").count().filter("count > 1")
-    return (kept if stays.isEmpty() else kept.dropDuplicates([id_col, "__sha"])).drop("__sha")
+    lost = verdict.filter(~F.col("kept")).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("mark"))
+    repeated = not verdict.filter("kept").groupBy(id_col, "text_sha256").count().filter("count > 1").isEmpty()
+    return drop_rows(docs, lost, repeated, id_col, F.sha2(ascii_lower(F.col(text_col)), 256))
 
 
 SQL = """

@@ -6,39 +6,44 @@ Fingerprints. The words of the lower-cased text (A-Z only), their shingles of
 Links. Fingerprints link at ``radius`` or fewer differing bits. Equal
 fingerprints collapse first, so a group of copies counts once. Then:
 
-* *Tables.* The 64 bits are cut into ``blocks`` runs. For every run there are
-  reference fingerprints (pivots) that differ from the zero fingerprint only
-  there; the Hamming distances to them, less the distance to zero, are the
-  coordinates of the run. Two fingerprints that link differ in at most
-  ``radius`` runs, so they have equal coordinates in some ``blocks - radius`` of
-  them: one table per choice of runs, keyed by those coordinates. No link is
-  lost, and the key of a table is ``64 * (blocks - radius) / blocks`` bits wide.
-  ``blocks`` follows from the number of fingerprints, so that an average key
-  stays rare at any size; every choice gives the same links.
-* *Discarding.* In a bucket, each fingerprint has its distances to ``PIVOTS``
-  spread reference fingerprints. By the triangle inequality two of them link
-  only if no coordinate differs by more than ``radius``; the rest is discarded
-  without a look at the fingerprints.
+* *Distance table.* The Hamming distances of every fingerprint to reference
+  fingerprints (pivots) are computed once and stored: to the zero fingerprint,
+  to ``PIVOTS`` spread ones, and to ``LOCAL`` for each of ``blocks`` runs of bits,
+  which differ from zero in that run only. The distance to a pivot of a run less
+  the distance to zero is a coordinate that depends on that run alone.
+* *Candidates.* By the triangle inequality no coordinate of two fingerprints that
+  link differs by more than ``radius``; moreover they differ in at most ``radius``
+  runs, so in some ``blocks - radius`` runs the largest difference is 0. One
+  bucket table for each choice of runs, keyed by the coordinates of those runs,
+  so holds every link. ``blocks`` follows from the number of fingerprints.
+* *Discarding.* Each pair that meets is discarded if its largest coordinate
+  difference over the spread pivots exceeds ``radius``.
 * *Verifying.* Survivors are compared bit by bit.
 
-A bucket yields a spanning forest of its links, not its pairs. A bucket over
-``cap`` fingerprints is cut into parts, and every pair of parts is a task of its
-own: nothing is left out and no task holds more than two parts.
+A bucket yields a spanning forest of its links, not its pairs. The fingerprints
+of buckets over ``cap`` are keyed again by finer runs, which part what is not
+close in more tables, up to ``FINEST`` runs beyond the radius. Fingerprints that
+still meet there agree in all but ``64 * radius / blocks`` bits, so such a bucket
+is bounded whatever the input, and is cut into parts, every pair of parts a task.
 
 Components come from rounds of large-star and small-star steps over the forest
-edges, each round a table in the shared folder.
+edges, each round a table in the shared folder. Fingerprints are the nodes; a
+component is then named by the smallest id of its rows.
 
 Defined results: null text has no words; texts without words have fingerprint
-zero, linked like any other; fewer than ``k`` words make one shingle; repeated
-ids give one row per input row; null ids get a component by their fingerprint
-too (the component id ignores null). Rows that repeat an id share its fate in
-:func:`keep_first`. An empty table gives an empty result; other
-columns are ignored.
+zero, linked like any other; fewer than ``k`` words make one shingle; ids may be
+of any ordered type; repeated ids give one row per input row; rows with null ids
+link like any other and name a component only if it has no other (null).
+:func:`keep_first` tells rows apart by id and text: the smallest id stays, null
+ids lose, of equal ids the smallest hash of the text; rows that repeat both are
+one row written twice. An empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -48,11 +53,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.llm._rows import drop_rows, join_groups, mark_of
 from framewright.operators.graph import components
 from framewright.runtime import materialize
 
 SEED = 42
-PIVOTS = 24
+PIVOTS = 24  # spread reference fingerprints
+LOCAL = 8  # reference fingerprints of a run
+FINEST = 10  # runs beyond the radius in the finest tables
 UPPER = bytes(range(0x41, 0x5B))
 LOWERED = bytes.maketrans(UPPER, UPPER.lower())
 
@@ -98,10 +106,10 @@ def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col:
 # --- links -----------------------------------------------------------------
 
 
-def blocks_for(n: int, radius: int, bucket: float = 4.0) -> int:
+def blocks_for(n: int, radius: int, bucket: float = 1.0) -> int:
     """Runs of bits such that a table's average key is shared by at most ``bucket`` of ``n`` fingerprints."""
     blocks = radius + 2
-    while blocks < 2 * radius + 6 and n / 2.0 ** (64 * (blocks - radius) / blocks) > bucket:
+    while blocks < radius + FINEST and n / 2.0 ** (64 * (blocks - radius) / blocks) > bucket:
         blocks += 1
     return blocks
 
@@ -117,23 +125,55 @@ def spread_pivots(count: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in range(count)], np.uint64)
 
 
+def local_pivots(blocks: int) -> np.ndarray:
+    """``LOCAL`` reference fingerprints for each run, zero outside it; one row a run."""
+    masks = [((1 << width) - 1) << (64 - first - width) for first, width in runs_of(blocks)]
+    hashes = [[xxhash.xxh64_intdigest(f"{run}:{i}".encode(), SEED) for i in range(LOCAL)] for run in range(blocks)]
+    return np.array([[h & mask for h in row] for row, mask in zip(hashes, masks, strict=True)], np.uint64)
+
+
 def distances(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The pivot distance table, one row a fingerprint."""
     return np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
 
 
-def forest(fps: np.ndarray, nodes: np.ndarray, radius: int, pivots: np.ndarray) -> list[tuple[int, int]]:
+def bucket_keys(fps: np.ndarray, blocks: int, radius: int) -> np.ndarray:
+    """The keys of each fingerprint, one column a table: a hash of the coordinates of the table's runs."""
+    zero = np.bitwise_count(fps).astype(np.int8)
+    mixed = np.zeros((len(fps), blocks), np.uint64)
+    with np.errstate(over="ignore"):
+        for run, pivots in enumerate(local_pivots(blocks)):
+            coordinates = distances(fps, pivots) - zero[:, None]  # LOCAL small numbers: one 64-bit word
+            word = np.ascontiguousarray(coordinates).view(np.uint64).reshape(-1)
+            word = (word ^ (word >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(run)
+            mixed[:, run] = (word ^ (word >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.stack([mixed[:, list(chosen)].sum(axis=1) for chosen in combinations(range(blocks), blocks - radius)], axis=1).view(np.int64)
+
+
+def distance_table(fps: DataFrame, blocks: int, radius: int) -> DataFrame:
+    """fp, spread (its distances to the spread pivots, a byte each) and keys (an entry a table)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = spread_pivots()
+        for whole in batches:
+            for first in range(0, whole.num_rows, 4096):
+                batch = whole.slice(first, 4096)
+                own = batch.column(0).to_numpy().view(np.uint64)
+                keys = bucket_keys(own, blocks, radius)
+                ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * keys.shape[1])
+                spread = pa.array([row.tobytes() for row in distances(own, pivots)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), spread, pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))], ["fp", "spread", "keys"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, spread binary, keys array<long>")
+
+
+def forest(fps: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that span the components of one bucket.
 
     A search from each unvisited fingerprint; what it reaches leaves the pool,
     so a dense bucket costs about one look per fingerprint.
     """
     edges: list[tuple[int, int]] = []
-    if len(fps) == 2:
-        if int(fps[0] ^ fps[1]).bit_count() <= radius:
-            edges.append((int(nodes[0]), int(nodes[1])))
-        return edges
-    table = distances(fps, pivots)
     pool = np.arange(len(fps))
     while len(pool):
         queue, pool = [int(pool[0])], pool[1:]
@@ -148,7 +188,7 @@ def forest(fps: np.ndarray, nodes: np.ndarray, radius: int, pivots: np.ndarray)
             near = near[np.bitwise_count(fps[pool[near]] ^ fps[at]) <= radius]
             if len(near):
                 found = pool[near]
-                edges += [(int(nodes[at]), int(nodes[x])) for x in found]
+                edges += [(int(fps[at]), int(fps[x])) for x in found]
                 queue += found.tolist()
                 pool = np.delete(pool, near)
     return edges
@@ -156,13 +196,13 @@ def forest(fps: np.ndarray, nodes: np.ndarray, radius: int, pivots: np.ndarray)
 
 def _bucket_edges(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by bucket; a bucket may go on in the next batch."""
-        pivots = spread_pivots()
+        """Rows (tab, key, task, fp, spread) sorted by bucket; a bucket may go on in the next batch."""
         held: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            now.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int8).reshape(-1, PIVOTS))
             if held is not None:
                 now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
             key = now[:3]
@@ -170,68 +210,76 @@ def _bucket_edges(radius: int):
             last = int(new[-1]) if len(new) else 0
             held = [c[last:] for c in now]
             if len(new):
-                yield _edges([c[:last] for c in now], np.concatenate([[0], new]), radius, pivots)
+                yield _edges([c[:last] for c in now], np.concatenate([[0], new]), radius)
         if held is not None:
-            yield _edges(held, np.array([0, len(held[0])]), radius, pivots)
+            yield _edges(held, np.array([0, len(held[0])]), radius)
 
     return run
 
 
-def _edges(columns: list[np.ndarray], bounds: np.ndarray, radius: int, pivots: np.ndarray) -> pa.RecordBatch:
-    fps, nodes = columns[3].view(np.uint64), columns[4]
+def _edges(columns: list[np.ndarray], bounds: np.ndarray, radius: int) -> pa.RecordBatch:
+    fps, table = columns[3].view(np.uint64), columns[4]
     sizes = np.diff(bounds)
     out: list[tuple[int, int]] = []
-    pairs = bounds[:-1][sizes == 2]
-    close = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= radius]
-    out += zip(nodes[close].tolist(), nodes[close + 1].tolist(), strict=True)
+    pairs = bounds[:-1][sizes == 2]  # buckets of two, all at once: discard, then verify
+    pairs = pairs[np.abs(table[pairs] - table[pairs + 1]).max(axis=1, initial=0) <= radius]
+    pairs = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= radius]
+    out += zip(fps[pairs].tolist(), fps[pairs + 1].tolist(), strict=True)
     for at in np.flatnonzero(sizes > 2):
         cut = slice(int(bounds[at]), int(bounds[at + 1]))
-        out += forest(fps[cut], nodes[cut], radius, pivots)
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["u", "v"])
-
-
-def link_forest(fps: DataFrame, radius: int = 4, cap: int = 1024) -> DataFrame:
-    """u, v: edges between nodes that span all components of the link graph.
-
-    ``fps`` has distinct ``fp`` and a long ``node`` each.
-    """
-    blocks = blocks_for(fps.count(), radius)
-    runs = runs_of(blocks)
-    # A run's coordinates: distance to the zero fingerprint less the distance to the pivot with one bit
-    # of the run set is +1 or -1, bit by bit; read as binary digits they are the run itself.
-    coordinate = [F.shiftrightunsigned(F.col("fp"), 64 - first - width).bitwiseAND((1 << width) - 1) for first, width in runs]
-    tables = []
-    for number, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        key, wide = F.lit(0).cast("long"), F.lit(number).cast("int")
-        for run in chosen:
-            key = F.shiftleft(key, runs[run][1]).bitwiseOR(coordinate[run])
-        tables.append(F.struct(wide.alias("tab"), key.alias("key")))
-    rows = fps.select("fp", "node", F.explode(F.array(*tables)).alias("at")).select("at.tab", "at.key", "fp", "node")
-    shared = rows.groupBy("tab", "key").count().filter("count > 1").select("tab", "key", F.ceil(F.col("count") / cap).cast("int").alias("parts"))
-    met = rows.join(shared, ["tab", "key"])
-    # part i meets part j: every row of an oversized bucket goes to the tasks of its part
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    one = F.array(F.lit(0))
-    many = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("part")) * F.col("parts") + F.greatest(j, F.col("part")))
-    tasks = met.withColumn("part", part).select("tab", "key", F.explode(F.when(F.col("parts") == 1, one).otherwise(many)).alias("task"), "fp", "node")
-    dealt = tasks.repartition("tab", "key", "task").sortWithinPartitions("tab", "key", "task")
-    return dealt.mapInArrow(_bucket_edges(radius), "u long, v long").distinct()
-
-
-def near_duplicates(docs: DataFrame, radius: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        out += forest(fps[cut], table[cut], radius)
+    sides = [np.array([e[side] for e in out], np.uint64).view(np.int64) for side in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()) for s in sides], ["u", "v"])
+
+
+def link_forest(fps: DataFrame, radius: int = 4, cap: int = 16384) -> DataFrame:
+    """u, v: edges between fingerprints that span all components of the link graph of the distinct ``fp``."""
+    blocks, found = blocks_for(fps.count(), radius), []
+    while True:
+        table = materialize(distance_table(fps, blocks, radius), "simhash-pivots")
+        rows = table.select("fp", "spread", F.posexplode("keys").alias("tab", "key"))
+        shared = materialize(rows.groupBy("tab", "key").count().filter("count > 1"), "simhash-shared")
+        finest = blocks >= radius + FINEST
+        met = rows.join(shared if finest else shared.filter(F.col("count") <= cap), ["tab", "key"])
+        parts = F.ceil(F.col("count") / cap).cast("int")
+        # part i meets part j: only at the finest runs is there more than one part, and their number is bounded there
+        met = met.select("tab", "key", "fp", "spread", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
+        meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("part")) * F.col("parts") + F.greatest(j, F.col("part")))
+        tasks = met.select("tab", "key", F.explode(meets).alias("task"), "fp", "spread")
+        dealt = tasks.repartition("tab", "key", "task").sortWithinPartitions("tab", "key", "task")
+        found.append(materialize(dealt.mapInArrow(_bucket_edges(radius), "u long, v long").distinct(), "simhash-edges"))
+        crowded = shared.filter(F.col("count") > cap)
+        if finest or crowded.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        fps = materialize(rows.join(crowded.select("tab", "key"), ["tab", "key"], "left_semi").select("fp").distinct(), "simhash-crowded")
+        blocks = min(blocks + 4, radius + FINEST)
+
+
+def grouped(rows: DataFrame, radius: int, cap: int) -> tuple[DataFrame, int]:
+    """fp, n, component_id of the distinct fingerprints of ``rows`` (id, fp), and the number of rows."""
+    fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-fps")
+    linked = components(link_forest(fps, radius, cap)).select(F.col("node").alias("fp"), "root")
+    members = materialize(fps.join(linked, "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "simhash-members")
+    names = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    return materialize(members.join(names, "root").select("fp", "n", "component_id"), "simhash-named"), fps.agg(F.sum("n")).first()[0] or 0
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text", cap: int = 16384) -> DataFrame:
     """id, fingerprint (hex), component_id for every row."""
     rows = materialize(fingerprints(docs, k, id_col, text_col), "simhash-rows")
-    fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("node")), "simhash-fps")
-    found = components(link_forest(fps.filter("node is not null"), radius))
-    named = fps.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named, total = grouped(rows, radius, cap)
+    met = join_groups(rows, named, ["fp"], total)
+    return met.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text", cap: int = 16384) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id."""
-    verdict = materialize(near_duplicates(docs, id_col=id_col, **options), "simhash-verdict")
-    lost = verdict.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["__lost"]), "left_anti")
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), mark_of(F.col(text_col)).alias("mark"))
+    rows = materialize(fingerprints(docs.select(row.alias("row"), F.col(text_col).alias("text")), k, "row", "text").withColumnRenamed("id", "row"), "simhash-rows")
+    named, total = grouped(rows.withColumnRenamed("row", "id"), radius, cap)
+    lost = join_groups(rows, named, ["fp"], total).filter("row <> component_id").select("row.id", "row.mark")
+    repeated = not rows.groupBy("row").count().filter("count > 1").isEmpty()
+    return drop_rows(docs, lost, repeated, id_col, mark_of(F.col(text_col)))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

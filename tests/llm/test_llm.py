@@ -9,9 +9,10 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm import bpe_stream, exact_dedup, html_extract, linear, mixing, ogg_media, quality, secret_scan, shingle_join, simhash, token_output, toxicity
+from framewright.llm import _rows, bpe_stream, exact_dedup, html_extract, linear, mixing, ogg_media, quality, secret_scan, shingle_join, simhash, token_output, toxicity
 
 tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -44,8 +45,6 @@ def test_exact_dedup(spark):
 
 
 def test_exact_dedup_with_colliding_digests(spark):
-    from pyspark.sql import functions as F
-
     got = by_id(exact_dedup.exact_dedup(docs(spark, ["a", "b", "a", "c", "B"]), digest=lambda t: F.lit("one")))
     assert {i: r.keep_id for i, r in got.items()} == {0: 2, 1: 4, 2: 2, 3: 3, 4: 4}
 
@@ -104,30 +103,86 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_bucket_forest_with_parts(spark):
+def linked_by_hand(fps, radius=4):
+    """Root of each distinct fingerprint: the first in order that it reaches."""
+    fps, parent = np.array(sorted(fps), np.uint64), {}
+    left = set(range(len(fps)))
+    while left:
+        queue = [min(left)]
+        root = queue[0]
+        left.discard(root)
+        while queue:
+            at = queue.pop()
+            parent[int(fps[at])] = int(fps[root])
+            near = set(np.flatnonzero(np.bitwise_count(fps ^ fps[at]) <= radius).tolist()) & left
+            left -= near
+            queue += near
+    return parent
+
+
+def test_links_of_5000_fingerprints(spark):
+    """Brute force over all pairs: dense clusters, chains and strangers, whatever the runs and the cap."""
     rng = random.Random(4)
-    fps = {rng.getrandbits(64)}
-    while len(fps) < 300:
-        x = rng.choice(sorted(fps))
+    fps = {0, (1 << 64) - 1, *(rng.getrandbits(64) for _ in range(2000))}
+    hub = rng.getrandbits(64)
+    while len(fps) < 3500:  # a dense cluster: few bits from a hub, and members of members
+        x = hub if rng.random() < 0.7 else rng.choice(list(fps)[:50])
         for _ in range(rng.randint(1, 6)):
             x ^= 1 << rng.randrange(64)
         fps.add(x)
-    fps = sorted(fps)
-    rows = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, node long")
-    parent = list(range(len(fps)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(fps)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-    got = {r.node: r.root for r in simhash.components(simhash.link_forest(rows, cap=16)).collect()}
-    assert {i: got.get(i, i) for i in range(len(fps))} == {i: find(i) for i in range(len(fps))}
+    while len(fps) < 5000:
+        x = rng.choice(tuple(fps)[:2000])
+        for _ in range(rng.randint(3, 6)):
+            x ^= 1 << rng.randrange(64)
+        fps.add(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    want = linked_by_hand(fps)
+    groups = lambda pairs: {frozenset(g) for g in pairs}
+    by_root = {}
+    for x, r in want.items():
+        by_root.setdefault(r, []).append(signed(x))
+    expected = groups(by_root.values())
+    for cap in (16, 16384):
+        root = {r.node: r.root for r in simhash.components(simhash.link_forest(rows, cap=cap)).collect()}
+        got = {}
+        for x in fps:
+            got.setdefault(root.get(signed(x), signed(x)), []).append(signed(x))
+        assert groups(got.values()) == expected
+
+
+def test_pivot_tables_lose_no_link():
+    """Any two fingerprints within the radius share a key, and no coordinate of theirs is further apart."""
+    rng = random.Random(5)
+    for blocks in (6, 9, 14):
+        a = [rng.getrandbits(64) for _ in range(300)]
+        b = [x ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 4))) for x in a]
+        a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+        assert (simhash.bucket_keys(a, blocks, 4) == simhash.bucket_keys(b, blocks, 4)).any(axis=1).all()
+        for pivots in (simhash.spread_pivots(), simhash.local_pivots(blocks).reshape(-1)):
+            assert np.abs(simhash.distances(a, pivots) - simhash.distances(b, pivots)).max() <= 4
+
+
+def test_simhash_ids(spark):
+    near = ["a b c d e f g h", "A B C D E F G H"]
+    rows = [(None, near[0]), ("x", near[1]), ("y", near[0]), (None, "other words that stand alone in here"), ("y", "third text of quite different words"), ("z", "third text of quite different words"), ("z", None), (None, "")]
+    df = spark.createDataFrame(rows, "name string, body string")
+    got = {(r["name"], r.fingerprint): r.component_id for r in simhash.near_duplicates(df, id_col="name", text_col="body").collect()}
+    assert got[None, f"{brute_fingerprint(near[0], 4):016x}"] == "x" and got["z", f"{0:016x}"] == "z" and got[None, f"{0:016x}"] == "z"
+    kept = sorted((r.name or "", r.body or "") for r in simhash.keep_first(df.withColumnRenamed("name", "n").withColumnRenamed("n", "name"), id_col="name", text_col="body").select(F.col("name"), F.col("body")).collect())
+    assert kept == [("", "other words that stand alone in here"), ("x", near[1]), ("y", "third text of quite different words"), ("z", "")]
+    # the middle one has no id: the outer two are one component through it
+    fps = spark.createDataFrame([(1, 0), (None, 0x0F), (3, 0xFF)], "id long, fp long")
+    assert {r.component_id for r in simhash.grouped(fps, 4, 16384)[0].collect()} == {1}
+    twice = spark.createDataFrame([("x", near[0]), ("x", near[0])], "name string, body string")
+    assert simhash.keep_first(twice, id_col="name", text_col="body").count() == 1
+
+
+def test_hot_groups(spark):
+    rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 0, id) as k")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = _rows.join_groups(rows, groups, ["k"], 5000)
+    assert got.count() == 5000 and got.filter("k = 0 and n <> 1667").count() == 0 and got.columns == ["k", "id", "n"]
 
 
 def test_shingle_join(spark):
