@@ -1,16 +1,21 @@
-"""Near-duplicates by the Jaccard similarity of their shingle sets, all pairs at a threshold.
-
-Words and shingles are those of :mod:`framewright.llm.simhash`. Two rows link if
-their sets share at least ``at`` (a fraction, 4/5) of their union; what links,
-over any number of steps, is one group. Every pair that links is found or lies
-in a group that is found without it:
-
+"""SimHash near-duplicates settled by the Jaccard similarity of shingle sets.
+
+Words, shingles, fingerprints and their pivot distance tables are those of
+:mod:`framewright.llm.simhash`. Two rows link if their shingle sets share at
+least ``at`` (a fraction, 4/5) of their union; what links, over any number of
+steps, is one group. A fingerprint of 64 bits cannot settle that alone: sets
+that share 0.8 differ in 4 to 14 bits, and at 14 bits strangers pass in
+proportion to the square of the table. So fingerprints within ``radius`` propose
+pairs, sets settle them, and what fingerprints miss is completed by keys that
+any two sets that link share:
+
+* *SimHash.* The forest of links between fingerprints proposes its edges.
 * *Keys.* Sets that link share at least ``ceil(at * n)`` shingles, so in any
   common order of all shingles their first ``n - ceil(at * n) + 1`` have one in
   common; those are the keys of a set. The order puts shingles that are common
   in a sample of the sets last: the sample decides cost only, no order loses a pair.
-* *Leaders.* In the bucket of a key, every set meets one leader, by a hash of key
-  and set, so that large groups come together by a number of pairs in proportion.
+* *Leaders.* In the bucket of a key every set meets the one of least hash, so
+  large groups come together by a number of pairs in proportion.
 * *The rest.* Pairs of a bucket that are not yet in one group meet if their sizes
   and the counts of their shingles in ``BINS`` bins allow the threshold (the
   counts of sets that link differ by at most ``(1 - at) / (1 + at)`` of both
@@ -36,20 +41,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.simhash import LOWERED, SEED
+from framewright.llm._rows import drop_rows, join_groups, mark_of
+from framewright.llm.simhash import LOWERED, SEED, link_forest, majority
 from framewright.operators.graph import components
 from framewright.runtime import materialize
 
 AT = Fraction(4, 5)
-BINS = 128
+BINS = 512
+SMALL = 500_000  # rows of two or three numbers that may be broadcast, some 10 MB
 SAMPLE, COMMON, MOST_COMMON = 8000, 4, 20000
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """The distinct shingles' hashes in order."""
+def hashes(text: str | None, k: int) -> np.ndarray:
+    """The hash of every shingle, repeats included."""
     words = (text or "").encode().translate(LOWERED).split()
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
     starts = [0, *(e + 1 for e in ends[:-1])]
@@ -57,7 +64,12 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
+    return np.array([xxhash.xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, ends, strict=True)], np.uint64)
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
+    """The distinct shingles' hashes in order."""
+    return np.unique(hashes(text, k).view(np.int64))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -85,8 +97,8 @@ def common_shingles(docs: DataFrame, k: int, text_col: str) -> list[int]:
 
 
 def described(docs: DataFrame, k: int, at: Fraction, common: list[int], id_col: str, text_col: str) -> DataFrame:
-    """id, mark (a hash of the text), node (a hash of the set), n, bins, and the keys of the set, common and other ones."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("mark", "node", "n")), T.StructField("bins", T.BinaryType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "common"))])
+    """id, mark (a hash of the text), node (a hash of the set), fp, n, bins, and the keys of the set, common and other ones."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("mark", "node", "fp", "n")), T.StructField("bins", T.BinaryType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "common"))])
     late = np.array(sorted(common), np.int64)
     place = np.zeros(len(common), np.int64)
     place[np.searchsorted(late, np.array(common, np.int64))] = np.arange(1, len(common) + 1)
@@ -107,23 +119,39 @@ def described(docs: DataFrame, k: int, at: Fraction, common: list[int], id_col:
         for whole in batches:
             for first in range(0, whole.num_rows, 1024):
                 batch = whole.slice(first, 1024)
-                sets = [shingles(t.as_py(), k) for t in batch.column(2)]
+                every = [hashes(t.as_py(), k) for t in batch.column(2)]
+                fps = np.array([majority(h) for h in every], np.uint64).view(np.int64)
+                sets = [np.unique(h.view(np.int64)) for h in every]
                 nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
                 bins = [np.minimum(np.bincount(s & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes() for s in sets]
                 keys = [parts(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(bins, pa.binary()), _lists([x for x, _ in keys]), _lists([x for _, x in keys])], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(bins, pa.binary()), _lists([x for x, _ in keys]), _lists([x for _, x in keys])], schema.names)
 
-    return docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), mark_of(F.col(text_col)), F.col(text_col)).mapInArrow(run, schema)
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """key, node, n, leader and leader_n where sets of more than one node have the key."""
-    ends = {"a": F.min("node"), "b": F.max("node"), "leader": F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "n"))}
+    """key, node, leader where sets of more than one node have the key."""
+    leader = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))
+    ends = {"a": F.min("node"), "b": F.max("node"), "leader": leader}
     # only the keys that the sample knows are in many sets: those are combined before the shuffle
-    rare = rows.select(F.explode("keys").alias("key"), "node", "n").withColumns({x: e.over(Window.partitionBy("key")) for x, e in ends.items()})
-    often = rows.select(F.explode("common").alias("key"), "node", "n")
+    rare = rows.select(F.explode("keys").alias("key"), "node").withColumns({x: e.over(Window.partitionBy("key")) for x, e in ends.items()})
+    often = rows.select(F.explode("common").alias("key"), "node")
     often = often.join(often.groupBy("key").agg(*(e.alias(x) for x, e in ends.items())), "key")
-    return rare.unionByName(often).filter("a <> b").select("key", "node", "n", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")).distinct()
+    return rare.unionByName(often).filter("a <> b").select("key", "node", F.col("leader.node").alias("leader")).distinct()
+
+
+def proposed(rows: DataFrame, radius: int) -> DataFrame:
+    """u, v: sets whose fingerprints are equal or joined in the forest of links."""
+    named = materialize(rows.groupBy("fp").agg(F.min("node").alias("first")), "near-fps")
+    same = rows.select("fp", "node").join(named, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    side = lambda s, name: named.select(F.col("fp").alias(s), F.col("first").alias(name))
+    linked = link_forest(named, radius).join(side("u", "a"), "u").join(side("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return same.unionByName(linked).filter("u <> v")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def possible(pairs: DataFrame, bins: DataFrame, at: Fraction) -> DataFrame:
@@ -134,7 +162,8 @@ def possible(pairs: DataFrame, bins: DataFrame, at: Fraction) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (3, 4))
-                good = np.abs(a - b).sum(axis=1) * (at.denominator + at.numerator) <= batch.column(2).to_numpy() * (at.denominator - at.numerator)
+                n = batch.column(2).to_numpy()
+                good = np.abs(a - b).sum(axis=1) * (at.denominator + at.numerator) <= n * (at.denominator - at.numerator)
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], ["u", "v"])
 
     met = pairs.join(side("u"), "u").join(side("v"), "v")
@@ -147,7 +176,8 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, at: Fra
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     one = rows.select("id", "mark", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("one"))
     one = materialize(one.select("node", F.col("one.id").alias("id"), F.col("one.mark").alias("mark")), "near-one")
-    texts = docs.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    one = F.broadcast(one) if one.count() <= SMALL else one  # spares the shuffle of all texts
+    texts = docs.select(F.col(id_col).alias("own"), mark_of(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
     texts = texts.join(one, (F.col("hash") == F.col("mark")) & F.col("own").eqNullSafe(F.col("id"))).select("node", "text")
     sets = materialize(shingle_sets(texts, k), "near-sets")
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"{s}_set"))
@@ -197,13 +227,12 @@ def _meetings(at: Fraction):
     return run
 
 
-def link_groups(docs: DataFrame, rows: DataFrame, k: int, at: Fraction = AT, cap: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_groups(docs: DataFrame, rows: DataFrame, k: int, at: Fraction = AT, cap: int = 512, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """node, root: the group of every node of ``rows`` (:func:`described`) that links to another."""
     met = materialize(shared_keys(rows), "near-met")
     sets = materialize(rows.select("node", "n", "bins").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "near-bins")
-    sized = F.least("n", "leader_n") * at.denominator >= F.greatest("n", "leader_n") * at.numerator
-    led = met.filter("node <> leader").filter(sized).select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
-    first = verified(possible(led, sets, at), docs, rows, k, at, id_col, text_col)
+    led = met.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    first = verified(possible(ordered(proposed(rows, radius).unionByName(led)), sets, at), docs, rows, k, at, id_col, text_col)
     groups = components(first)
 
     rooted = materialize(met.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
@@ -211,7 +240,7 @@ def link_groups(docs: DataFrame, rows: DataFrame, k: int, at: Fraction = AT, cap
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     one = F.array(F.lit(0))
     many = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("part")) * F.col("parts") + F.greatest(j, F.col("part")))
-    tasks = rooted.join(live, "key").withColumn("part", part).join(sets.select("node", "n", "bins"), "node")
+    tasks = rooted.join(live, "key").withColumn("part", part).join(sets, "node")
     tasks = tasks.select("key", F.explode(F.when(F.col("parts") == 1, one).otherwise(many)).alias("task"), "node", "root", "n", "bins")
     found = tasks.repartition("key", "task").sortWithinPartitions("key", "task").mapInArrow(_meetings(at), "u long, v long").distinct()
     return components(first.unionByName(verified(found, docs, rows, k, at, id_col, text_col)))
@@ -222,9 +251,10 @@ def keep_first(docs: DataFrame, k: int = 5, at: Fraction = AT, id_col: str = "do
     rows = materialize(described(docs, k, at, common_shingles(docs, k, text_col), id_col, text_col), "near-rows")
     groups = link_groups(docs, rows, k, at, id_col=id_col, text_col=text_col, **options)
     row = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
-    named = materialize(rows.select("id", "mark", "node").join(groups, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root")), "near-verdict")
-    firsts = named.groupBy("root").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    again = not named.groupBy("id", "mark").count().filter("count > 1").isEmpty()
-    lost = named.join(firsts.select("root", "first"), "root").filter(~row.eqNullSafe(F.col("first"))).select(F.col("id").alias("__lost"), F.col("mark").alias("__mark")).distinct()
-    kept = docs.join(lost, docs[id_col].eqNullSafe(lost["__lost"]) & (F.xxhash64(docs[text_col]) == lost["__mark"]), "left_anti")
-    return kept.dropDuplicates([id_col, text_col]) if again else kept
+    nodes = rows.groupBy("node").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n")).join(groups, "node", "left")
+    nodes = materialize(nodes.select("node", "n", "least", F.coalesce("root", "node").alias("root")), "near-nodes")
+    named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("c")).filter("c > 1"), "root").select("node", "n", "first")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    lost = join_groups(rows.select("id", "mark", "node"), named, ["node"], total).filter(row != F.col("first"))
+    repeated = not rows.groupBy("id", "mark").count().filter("count > 1").isEmpty()
+    return drop_rows(docs, lost, repeated, id_col, mark_of(F.col(text_col)))

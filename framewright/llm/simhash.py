@@ -68,6 +68,12 @@ LOWERED = bytes.maketrans(UPPER, UPPER.lower())
 # --- fingerprints ----------------------------------------------------------
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the 64-bit hashes; none for no hashes."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, k: int = 4, chunk: int = 1 << 15) -> int:
     """The 64-bit fingerprint of one text; memory beside the words is bounded by ``chunk`` hashes."""
     words = (text or "").encode().translate(LOWERED).split()  # bytes split at 0x20 and 0x09-0x0D
