@@ -480,9 +480,45 @@ def test_quality(spark):
     df, labels = labelled(spark)
     got = by_id(quality.score_quality(df, quality.fit_quality(df, labels)))
     assert sum(got[i].keep == (i % 4 != 0) for i in got) >= 0.98 * len(got)
-    assert quality.keep_good(df, labels).columns == df.columns
+    kept = quality.keep_good(df, labels)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i].keep}
     none = by_id(quality.score_quality(docs(spark), quality.fit_quality(docs(spark), labels.limit(0))))
     assert all(r.keep and r.quality_score == 0.5 for r in none.values()) and len(none) == len(TEXTS)
+    assert quality.keep_good(docs(spark, []), labels).count() == 0
+    one = quality.fit_quality(docs(spark), spark.createDataFrame([(1, 1), (1, 0), (None, 0), (2, None)], "doc_id long, quality int"))
+    assert all(r.quality_score > 0.99 for r in quality.score_quality(docs(spark, ids=[7] * len(TEXTS)), one).collect())
+
+
+def test_quality_round_by_hand(spark):
+    """One round over all unlabelled rows: what each view teaches is the top of a full sort."""
+    df, labels = labelled(spark, 400)
+    table = quality.feature_table(df)
+    rows = table.collect()
+    matrix = [np.array([np.frombuffer(r[c], "<f4") for r in rows], np.float64) for c in ("a", "b")]
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    own = np.array([r.id in y for r in rows])
+    teaching = quality.Teaching(matrix[0][own], matrix[1][own], np.array([float(y[r.id]) for r in rows if r.id in y]))
+    models = (teaching.fit(0), teaching.fit(1))
+    wanted = [(0, 1), (0, 0), (1, 1), (1, 0)]
+    known = spark.createDataFrame([(r.row,) for r, k in zip(rows, own) if k], "row long")
+    got = quality.surest(table, known, models, wanted, 7)
+    margins = [m.margin(x) for m, x in zip(models, matrix)]
+    for (view, label), found in zip(wanted, got):
+        mine, other = margins[view], margins[1 - view]
+        surer = np.abs(mine) >= np.abs(other) if view == 0 else np.abs(mine) > np.abs(other)
+        sure = mine if label else -mine
+        able = [i for i in range(len(rows)) if not own[i] and surer[i] and sure[i] >= np.log(9)]
+        assert found == [rows[i].row for i in sorted(able, key=lambda i: -sure[i])[:7]]
+    assert len({r for part in got for r in part}) == sum(map(len, got))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF.replace("0.001", "0.1")), reason="no tables here")
+def test_both_views_teach(spark):
+    docs_, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(docs_, labels)
+    assert sum(v for r in model.rounds for k, v in r.items() if k.startswith("view0")) and sum(v for r in model.rounds for k, v in r.items() if k.startswith("view1"))
+    assert (model.combine.weights > 0).all()
+    assert model.held_out["metadata"] > 0.97 and model.held_out["combined"] >= model.held_out["text"] - 0.001
 
 
 def test_toxicity(spark):
