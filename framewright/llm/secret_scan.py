@@ -12,14 +12,17 @@ on the gap; no pair is ever emitted, and a tile holds a bounded number of
 candidates however long the text is.
 
 Spans are found by splitting the text at the matches: the lengths of the gaps
-and of the matches give every offset in code points, in one pass per pattern
-and only over rows that contain a match.
+and of the matches give every offset in code points. The running sums are taken
+in blocks, so the work in a text is in proportion to its matches. A row is
+searched for a pattern only if it holds what the pattern needs (a literal, or a
+long run of characters), and for weak parts only if it has a secret at all, for
+every link has one.
 
 Defined results: null text has no spans; offsets are code points, end
 exclusive; spans sort by start, then kind in the order assign, access, hex,
 user, blob, host, then end; a weak candidate that overlaps a strong one of its
-own role is not repeated. Rows are kept apart even where ids repeat. An empty
-table gives an empty result. Other columns are ignored.
+own role is not repeated. Rows are kept apart even where ids repeat: each row of
+an id gets the spans of its own text. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +43,12 @@ BLOB = r"[A-Za-z0-9+/]{32,}={0,2}"
 HOST = r"[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._:@-]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?"
 KINDS = ("assign", "access", "hex", "user", "blob", "host")
 # Roles: identifier, secret, endpoint.
+RUN = r"[A-Za-z0-9+/]{24}"  # no hex run and no blob without it
+IN_URL = r"[0-9]\.[0-9]|://"  # no endpoint without one of these
 ROLE = {"assign": "s", "access": "i", "hex": "s", "user": "i", "blob": "s", "host": "e"}
 SCOPE = 256
+BLOCK = 128
+EMPTY = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
 
 
 def _lit(pattern: str) -> Column:
@@ -66,7 +73,7 @@ def assign_spans(text: Column) -> Column:
 
 
 def _place(gaps: Column, sizes: Column, good: Column, kind: int) -> Column:
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    """Spans from the lengths of gaps and matches: running sums over blocks, then within each."""
     parts = F.zip_with(F.slice(gaps, 1, F.size(sizes)), F.zip_with(sizes, good, lambda s, g: F.struct(s.alias("size"), g.alias("good"))), lambda gap, m: F.struct(gap.alias("gap"), m["size"].alias("size"), m["good"].alias("good")))
 
     def step(state: Column, m: Column) -> Column:
@@ -75,7 +82,15 @@ def _place(gaps: Column, sizes: Column, good: Column, kind: int) -> Column:
         one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(m["good"], F.concat(state["spans"], one)).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
+    def in_blocks(all_parts: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(all_parts), F.lit(1)), F.lit(BLOCK))
+        blocks = F.transform(firsts, lambda i: F.slice(all_parts, i, BLOCK))
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, m: n + m["gap"] + m["size"]))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda found, n: F.concat(found, F.array(F.element_at(found, -1) + n)))
+        placed = F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda block, at: F.aggregate(block, F.struct(at.alias("at"), F.expr(EMPTY).alias("spans")), step)["spans"])
+        return F.flatten(placed)
+
+    return F.transform(F.array(parts), in_blocks)[0]  # binds the parts, so that they are made once
 
 
 def _written(found: Column) -> Column:
@@ -83,19 +98,27 @@ def _written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _where_found(text: Column, pattern: str, found: Column) -> Column:
-    """Spans only where the pattern occurs at all: most rows stop at one scan."""
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    return F.when(text.rlike(pattern), found).otherwise(empty)
-
-
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, base (strong spans, sorted) and weak (weak spans, sorted) of every row."""
-    text = F.coalesce(F.col("body"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    base = F.array_sort(F.concat(_where_found(text, ASSIGN, assign_spans(text)), _where_found(text, ACCESS, spans(text, ACCESS, 1)), _where_found(text, HEX, spans(text, HEX, 2))))
-    weak = F.array_sort(F.concat(*(_where_found(text, p, spans(text, p, k)) for k, p in ((3, USER), (4, BLOB), (5, HOST)))))
-    return rows.select("id", base.alias("base"), weak.alias("weak"))
+    empty = F.expr(EMPTY)
+    text = F.col("body")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    keyed = (text.contains("=") | text.contains(":")) & text.rlike(ASSIGN)
+    long = text.rlike(RUN)
+    strong = F.concat(
+        F.when(keyed, assign_spans(text)).otherwise(empty),
+        F.when(text.contains("AKIA"), spans(text, ACCESS, 1)).otherwise(empty),
+        F.when(F.col("long"), spans(text, HEX, 2)).otherwise(empty),
+    )
+    first = rows.withColumn("long", long)
+    first = first.select("id", "body", F.array_sort(strong).alias("base"), F.when(F.col("long"), spans(text, BLOB, 4)).otherwise(empty).alias("blobs"))
+    secret = (F.size("blobs") > 0) | F.exists("base", lambda s: s["kind"] != 1)
+    other = F.concat(
+        "blobs",
+        F.when(text.contains("=") | text.contains(":"), spans(text, USER, 3)).otherwise(empty),
+        F.when(text.rlike(IN_URL), spans(text, HOST, 5)).otherwise(empty),
+    )
+    return first.select("id", "base", F.when(secret, F.array_sort(other)).otherwise(empty).alias("weak"))
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -120,7 +143,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(candidates(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
     more = linked(found, scope)
     joined = found.join(more, "row", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))))
+    every = F.array_sort(F.concat("base", F.coalesce("more", F.expr(EMPTY))))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return joined.select(
         F.col("id").alias(id_col),

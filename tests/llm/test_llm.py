@@ -402,6 +402,19 @@ also <b>long</b> enough, &lt;well&gt; by everyone, really and truly.<ul><li>one<
         assert html_extract.extract(odd) == text
 
 
+def test_secrets_in_one_long_text(spark):
+    """Work in proportion to the matches, and each row of an id by its own text."""
+    import time
+
+    many = "token=abcdefgh\n" * 100_000
+    began = time.perf_counter()
+    rows = secret_scan.secret_scan(docs(spark, [many, "secret: abcdef", None], [1, 1, 2])).collect()
+    assert time.perf_counter() - began < 30
+    assert sorted(r.n_assign for r in rows) == [0, 1, 100_000]
+    big = max(rows, key=lambda r: r.n_assign)
+    assert big.base_sha256 == hashlib.sha256(",".join(f"assign:{15 * i}:{15 * i + 14}" for i in range(100_000)).encode()).hexdigest()
+
+
 LONG = "a paragraph of text, long enough to count, by any measure at all."
 
 
