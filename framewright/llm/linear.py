@@ -16,6 +16,49 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+class Sparse:
+    """Rows of few entries, with some full columns at the end: what fitting needs of a matrix."""
+
+    def __init__(self, starts: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int, full: np.ndarray):
+        self.starts, self.columns, self.values, self.width, self.full = starts, columns, values, width, full
+        self.owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        self.shape = (len(starts) - 1, width + full.shape[1])
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Sparse:
+        """From (columns, values) of each row."""
+        starts = np.cumsum([0, *(len(c) for c, _ in rows)])
+        columns = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in rows)]).astype(np.int64)
+        return cls(starts, columns, np.concatenate([np.zeros(0), *(v for _, v in rows)]), width, np.zeros((len(rows), 0)))
+
+    def part(self, rows: np.ndarray, place: np.ndarray) -> Sparse:
+        """The rows of a mask; ``place`` has the new number of each column, or -1 for those that go."""
+        kept = rows[self.owner] & (place[self.columns] >= 0)
+        sizes = np.bincount(self.owner[kept], minlength=self.shape[0])[rows]
+        return Sparse(np.concatenate([[0], np.cumsum(sizes)]), place[self.columns[kept]], self.values[kept], int(place.max(initial=-1)) + 1, self.full[rows])
+
+    def with_column(self, column: np.ndarray) -> Sparse:
+        return Sparse(self.starts, self.columns, self.values, self.width, np.column_stack([self.full, column]))
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, self.values * w[self.columns], minlength=self.shape[0]) + self.full @ w[self.width :]
+
+    @property
+    def T(self) -> Turned:  # noqa: N802
+        return Turned(self)
+
+
+@dataclass
+class Turned:
+    """The transpose of :class:`Sparse`."""
+
+    of: Sparse
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        own = np.bincount(self.of.columns, self.of.values * v[self.of.owner], minlength=self.of.width)
+        return np.concatenate([own, self.of.full.T @ v])
+
+
 @dataclass
 class Linear:
     """Weights over standardised features."""
@@ -32,11 +75,11 @@ class Linear:
         return sigmoid(self.margin(x))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray | None = None, l2: float = 1.0, steps: int = 120, standardise: bool = True) -> Linear:
+def fit_logistic(x: np.ndarray | Sparse, y: np.ndarray, sample_weight: np.ndarray | None = None, l2: float = 1.0, steps: int = 120, standardise: bool = True) -> Linear:
     """L2 logistic regression by limited-memory BFGS.
 
     With one class only, or no rows, the model is the constant share (0.5
-    without rows).
+    without rows). A sparse matrix is not standardised.
     """
     n, d = x.shape
     zero = Linear(np.zeros(d), np.ones(d), np.zeros(d), 0.0)

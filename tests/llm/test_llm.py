@@ -538,8 +538,59 @@ def test_toxicity(spark):
     df, labels = labelled(spark)
     got = by_id(toxicity.score_toxicity(df, toxicity.fit_chain(df, labels)))
     assert all(got[i].toxic == (i % 7 == 0) for i in got)
+    assert set(next(iter(got.values())).asDict()) == {"doc_id", "p_abuse_in_prose", "p_abuse_in_junk", "p_toxic", "toxic"}
     none = by_id(toxicity.score_toxicity(docs(spark), toxicity.fit_chain(docs(spark), labels.limit(0))))
     assert not any(r.toxic for r in none.values()) and len(none) == len(TEXTS)
+    odd = spark.createDataFrame([(1, None, 1), (1, 0, 0), (2, 1, None), (None, 1, 1), (3, 0, 0), (4, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_toxicity(docs(spark, ids=[i % 6 for i in range(len(TEXTS))]), toxicity.fit_chain(docs(spark), odd)).count() == len(TEXTS)
+    assert toxicity.score_toxicity(docs(spark, []), toxicity.fit_chain(docs(spark, []), odd)).count() == 0
+    own = toxicity.fit_chain(df, labels, categories={"only": "toxic = 1"})
+    assert own.names == ("only",) and len(own.models) == 1
+
+
+def test_features_are_chosen_without_the_fold(spark):
+    """By hand: the chi square of every word over the rows outside the fold."""
+    df, labels = labelled(spark, 200)
+    rows = toxicity.training_rows(df, labels, toxicity.CATEGORIES, 10_000)
+    seen = [(r.fold, r.y_toxic, {n for w in toxicity.words_of(r.text) for n in toxicity.names_of(w)}) for r in rows.collect()]
+    counted = rows.select("text", F.col("y_toxic").alias("y"), "fold").mapInArrow(toxicity._count_features, "name string, fold int, n long, t long")
+    table = counted.groupBy("name").agg(*(F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in ("n", "t") for k in range(toxicity.FOLDS)))
+    sizes = {k: (float(sum(f == k for f, _, _ in seen)), sum(y for f, y, _ in seen if f == k)) for k in range(toxicity.FOLDS)}
+    got = toxicity.select_features(table, sizes, 40)
+    for left, chosen in zip((*range(toxicity.FOLDS), None), got):
+        part = [(y, names) for f, y, names in seen if f != left]
+        n, positive = len(part), sum(y for y, _ in part)
+        chi = {}
+        for name in set().union(*(names for _, names in part)):
+            c, t = sum(name in names for _, names in part), sum(y for y, names in part if name in names)
+            e = c * (positive / n)
+            if c >= 3:
+                chi[name] = (t - e) ** 2 / (e * (1 - positive / n) * (1 - c / n) + 1e-9)
+        best = sorted(chi, key=lambda x: (-chi[x], x))[:40]
+        assert [round(chi[x], 6) for x in chosen] == [round(chi[x], 6) for x in best]
+
+
+def test_chain_by_hand():
+    """The sparse fit against dense matrices, category by category."""
+    rng = np.random.default_rng(3)
+    dense = (rng.random((300, 20)) < 0.2) * rng.random((300, 20))
+    fold = np.arange(300) % toxicity.FOLDS
+    ys = {"a": (dense[:, 0] > 0).astype(float), "b": (dense[:, 1] + dense[:, 0] > 0.3).astype(float)}
+    places = [np.where(rng.random(20) < 0.8, 0, -1) for _ in range(toxicity.FOLDS + 1)]
+    places = [np.where(p >= 0, np.cumsum(p >= 0) - 1, -1) for p in places]
+    x = linear.Sparse.of([(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in dense], 20)
+    models, held_out = toxicity.fit_chain_on(x, ys, fold, places)
+    more = np.zeros((300, 0))
+    for y, model in zip(ys.values(), models):
+        whole = np.column_stack([dense[:, places[-1] >= 0], more])
+        again = linear.fit_logistic(whole, y, l2=0.5, standardise=False)
+        assert np.allclose(again(whole), model(whole), atol=1e-3)
+        out = np.zeros(300)
+        for k in range(toxicity.FOLDS):
+            part = np.column_stack([dense[:, places[k] >= 0], more])
+            out[fold == k] = linear.fit_logistic(part[fold != k], y[fold != k], l2=0.5, standardise=False)(part[fold == k])
+        more = np.column_stack([more, out])
+    assert np.allclose(out, held_out, atol=1e-3)
 
 
 def test_logistic():
