@@ -4,24 +4,38 @@ Token counts are summed into cells (source, language, topic). Raking scales the
 cells until their margins meet the targets of all three dimensions, and every
 document of a cell then has one inclusion probability. All of it is DataFrame
 operations: the cells are never collected, margins are partial aggregates, and
-every half-step is a small table in the shared folder, so the plan of a step
-does not contain the steps before it.
+every sweep is a small table in the shared folder, so the plan of a sweep does
+not contain the sweeps before it.
+
+Topics. A table with a column ``topic`` has its own. Otherwise topics are led by
+terms: of the words of four letters or more of a language, the ``TERMS`` that most
+of its documents hold, but no more than half of them; the k-th of every language
+leads topic ``t<k>``, so that topics cross languages and their margins do not
+contradict those of the languages. A document belongs to the topic whose term
+weighs most in it (occurrences times the log of the language's documents over
+those that hold it). Languages under a hundredth of the documents share one pool.
 
 Targets default to tempered shares: a value with token share ``s`` is aimed at
 ``s ** power``, rescaled to one. ``targets`` may name shares for some values of
 a dimension instead; values it does not name keep their tempered share, and all
-are rescaled. The budget is a share of all tokens: probabilities are
-``min(1, k * factor)`` with ``k`` solved so that the expected tokens meet it.
-
-Defined results: null source, language or topic is the value ``(none)``; null
-text has no tokens; documents of cells without tokens get factor 0 and are never
-sampled, unless the whole table has no tokens, where the result has factor 0
-throughout. Rows with equal ids draw the same number. An empty table gives an
-empty result. Other columns are ignored.
+are rescaled. At least ``SWEEPS`` sweeps run, and then more until no cell moves
+by ``TOLERANCE``; if ``MOST`` do not get there (margins that contradict each
+other), a warning says by how much. The budget is a share of all tokens:
+probabilities are ``min(1, k * factor)`` with ``k`` solved so that the expected
+tokens meet it; where a cell is full, its margins fall short, see :func:`margins`.
+
+Defined results: null source, language or topic is the value ``(none)``, and so
+is the topic of a text without any of the terms; null text has no tokens;
+documents of cells without tokens get factor 0 and are never sampled, unless the
+whole table has no tokens, where the result has factor 0 throughout. Rows with
+equal ids draw the same number; rows that repeat count as often as they occur.
+An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +43,61 @@ from framewright.runtime import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
-SWEEPS = 8
-SOLVE = 6
+SWEEPS, MOST, TOLERANCE = 12, 60, 1e-5
+SOLVE = 40
+TERMS = 6
+POOL = 100  # a language has terms of its own from 1/POOL of the documents on, so at most POOL languages do
 NONE = "(none)"
-# Marks of a topic, the first that occurs decides.
-TOPIC_MARKS = (("table", " | "), ("noise", "%%%"), ("legal", "icense"), ("contact", "@"))
+WORD = r"\p{L}{4,}"
+
+
+def words_of(text: Column) -> Column:
+    """Words of four letters or more, in lower case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
+
+
+def topic_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", terms: int = TERMS) -> dict[str, list[tuple[str, float]]]:
+    """For each large language, and for the ``""`` pool, the (term, weight) that lead topics: counted over all documents."""
+    sizes = docs.groupBy(F.coalesce(F.col(lang_col), F.lit(NONE)).alias("lang")).agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialize(sizes, "mix-languages")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    large = [r.lang for r in sizes.filter(F.col("size") * POOL >= total).collect()]  # at most POOL
+    pool = lambda lang: F.when(lang.isin(large), lang).otherwise("")
+    pools = sizes.groupBy(pool(F.col("lang")).alias("pool")).agg(F.sum("size").alias("size"))
+    words = F.explode(F.array_distinct(words_of(F.coalesce(F.col(text_col), F.lit("")))))
+    counted = docs.select(pool(F.coalesce(F.col(lang_col), F.lit(NONE))).alias("pool"), words.alias("term")).groupBy("pool", "term").agg(F.count(F.lit(1)).alias("n"))
+    common = materialize(counted.join(F.broadcast(pools), "pool").filter(2 * F.col("n") <= F.col("size")).filter("n > 1"), "mix-terms")
+    found = {}
+    for r in pools.collect():
+        best = common.filter(F.col("pool") == r.pool).orderBy(F.desc("n"), "term").limit(terms)
+        found[r.pool] = [(x.term, x.w) for x in best.select("term", F.ln(F.col("size").cast("double") / F.col("n")).alias("w"), "n").orderBy(F.desc("n"), "term").collect()]
+    return found
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic from marks in the text; ``prose`` if none occurs."""
-    out = None
-    for name, mark in TOPIC_MARKS:
-        out = F.when(text.contains(mark), name) if out is None else out.when(text.contains(mark), name)
-    return out.otherwise("prose")
+def leading(text: Column, terms: list[tuple[str, float]]) -> Column:
+    """The topic (``t1`` and so on) whose term weighs most in a text, the first of equals; null without any."""
+    if not terms:
+        return F.lit(None).cast("string")
+    weights = F.create_map(*(F.lit(x) for term, w in terms for x in (term, w)))
+    places = F.create_map(*(F.lit(x) for i, (term, _) in enumerate(terms) for x in (term, f"t{i + 1}")))
+    found = F.filter(words_of(text), lambda w: w.isin([t for t, _ in terms]))
+
+    def best(words: Column) -> Column:
+        weighed = F.transform(F.array_distinct(words), lambda t: F.struct((-F.round(F.size(F.filter(words, lambda w: w == t)) * weights[t], 9)).alias("less"), places[t].alias("topic")))
+        return F.array_min(weighed)["topic"]
+
+    return F.transform(F.array(found), best)[0]  # binds the words found, so that they are found once
+
+
+def topic_of(text: Column, lang: Column, terms: dict[str, list[tuple[str, float]]]) -> Column:
+    """The topic of a text by the terms of its language."""
+    lang, out = F.coalesce(lang, F.lit(NONE)), None
+    for name in sorted(terms):
+        if name:
+            topic = leading(text, terms[name])
+            out = F.when(lang == name, topic) if out is None else out.when(lang == name, topic)
+    rest = leading(text, terms.get("", []))
+    return rest if out is None else out.otherwise(rest)
 
 
 def tokens_of(text: Column) -> Column:
@@ -55,56 +111,81 @@ def draw(id_: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
+def topic_column(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Column:
+    """The topic of every row of ``docs``: its own column, or by the terms of all texts."""
+    if "topic" in docs.columns:
+        return F.col("topic").cast("string")
+    return topic_of(F.coalesce(F.col(text_col), F.lit("")), F.col(lang_col), topic_terms(docs, text_col, lang_col))
+
+
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
     """id, source, lang, topic, n_tokens of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = lambda c: F.coalesce(c, F.lit(NONE))
-    return docs.select(F.col(id_col).alias("id"), named(F.col(source_col)).alias("source"), named(F.col(lang_col)).alias("lang"), named(topic if topic is not None else topic_of(text)).alias("topic"), tokens_of(text).alias("n_tokens"))
+    topic = topic_column(docs, text_col, lang_col) if topic is None else topic
+    return docs.select(F.col(id_col).alias("id"), named(F.col(source_col)).alias("source"), named(F.col(lang_col)).alias("lang"), named(topic).alias("topic"), tokens_of(text).alias("n_tokens"))
 
 
-def rake(rows: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """source, lang, topic, t (tokens), factor: the raked cells."""
-    cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("t")).filter("t > 0"), "mix-cells")
+def aimed(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict[str, float]] | None) -> DataFrame:
+    """The cells with the token target of each of their margins (``aim_<dimension>``) and factor 1."""
     total = cells.agg(F.sum("t")).first()[0] or 0.0
-    aims, factors = {}, {}
     for d in DIMENSIONS:
         margin = cells.groupBy(d).agg(F.sum("t").alias("s"))
         aim = F.pow(F.col("s") / F.lit(total or 1.0), F.lit(powers[d]))
         for value, share in ((targets or {}).get(d) or {}).items():
             aim = F.when(F.col(d) == value, F.lit(float(share))).otherwise(aim)
-        margin = materialize(margin.withColumn("aim", aim), f"mix-aim-{d}")
-        scale = margin.agg(F.sum("aim")).first()[0] or 1.0
-        aims[d] = margin.select(d, (F.col("aim") / F.lit(scale) * F.lit(total)).alias("aim"))
-        factors[d] = margin.select(d, F.lit(1.0).alias(f"f_{d}"))
-    for _ in range(sweeps):
-        for d in DIMENSIONS:
-            weight, joined = F.col("t"), cells
-            for other in DIMENSIONS:
-                if other != d:
-                    joined = joined.join(factors[other], other)
-                    weight = weight * F.col(f"f_{other}")
-            sums = joined.groupBy(d).agg(F.sum(weight).alias("s"))
-            factors[d] = materialize(sums.join(aims[d], d).select(d, (F.col("aim") / F.col("s")).alias(f"f_{d}")), f"mix-factor-{d}")
-    joined = cells
+        margin = margin.select(d, aim.alias(f"aim_{d}"))
+        scale = margin.agg(F.sum(f"aim_{d}")).first()[0] or 1.0
+        cells = cells.join(margin.select(d, (F.col(f"aim_{d}") / F.lit(scale) * F.lit(total)).alias(f"aim_{d}")), d)
+    return materialize(cells.withColumns({"factor": F.lit(1.0), "moved": F.lit(0.0)}), "mix-aimed")
+
+
+def sweep(cells: DataFrame) -> DataFrame:
+    """One pass over the dimensions; ``moved`` is how far the factor of a cell went."""
+    before = cells.withColumn("before", F.col("factor"))
     for d in DIMENSIONS:
-        joined = joined.join(factors[d], d)
-    product = F.col("f_source") * F.col("f_lang") * F.col("f_topic")
-    return materialize(joined.select(*DIMENSIONS, "t", product.alias("factor")), "mix-raked")
+        sums = before.groupBy(d).agg(F.sum(F.col("t") * F.col("factor")).alias("s"))
+        before = before.join(sums, d).withColumn("factor", F.col("factor") * F.col(f"aim_{d}") / F.col("s")).drop("s")
+    return materialize(before.withColumn("moved", F.abs(F.col("factor") / F.col("before") - 1)).drop("before"), "mix-sweep")
+
+
+def rake(rows: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
+    """source, lang, topic, t (tokens), factor and the aims of the raked cells."""
+    cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("t")).filter("t > 0"), "mix-cells")
+    cells = aimed(cells, powers, targets)
+    for done in range(1, MOST + 1):
+        cells = sweep(cells)
+        if done < sweeps:
+            continue
+        moved = cells.agg(F.max("moved")).first()[0] or 0.0
+        if moved <= TOLERANCE:
+            break
+    else:
+        warnings.warn(f"raking did not settle: factors still move by {moved:.2g} after {MOST} sweeps", stacklevel=2)
+    return cells
 
 
 def probabilities(cells: DataFrame, budget: float, rounds: int = SOLVE) -> DataFrame:
     """The cells with p = min(1, k * factor), expected tokens meeting ``budget`` of all."""
     total, mass = cells.agg(F.sum("t"), F.sum(F.col("t") * F.col("factor"))).first()
-    k = budget * total / mass if mass else 0.0
+    k, before = (budget * total / mass if mass else 0.0), None
     for _ in range(rounds):
         full = F.col("factor") * F.lit(k) >= 1.0
         taken, open_ = cells.agg(F.sum(F.when(full, F.col("t")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("t") * F.col("factor")))).first()
-        if not open_:
+        if not open_ or taken == before:
             break
-        k = (budget * total - taken) / open_
+        k, before = (budget * total - taken) / open_, taken
     return cells.withColumn("p", F.least(F.lit(1.0), F.col("factor") * F.lit(k)))
 
 
+def margins(fitted: DataFrame) -> DataFrame:
+    """dimension, value, aim and got: the target and the expected share of the sample of every margin."""
+    parts = [fitted.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg((F.first(f"aim_{d}")).alias("aim"), F.sum(F.col("t") * F.col("p")).alias("got")) for d in DIMENSIONS]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    total, kept = fitted.agg(F.sum("t"), F.sum(F.col("t") * F.col("p"))).first()
+    return every.select("dimension", "value", (F.col("aim") / F.lit(total or 1.0)).alias("aim"), (F.col("got") / F.lit(kept or 1.0)).alias("got"))
+
+
 def fit_mix(rows: DataFrame, budget: float = 0.5, **options) -> DataFrame:
     """source, lang, topic, factor, p for every cell of ``rows`` (see :func:`described`)."""
     return probabilities(rake(rows, **options), budget).select(*DIMENSIONS, "factor", "p")
@@ -127,22 +208,31 @@ def mix(docs: DataFrame, budget: float = 0.5, seed: int = 42, id_col: str = "doc
 
 def sample_documents(docs: DataFrame, budget: float = 0.5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The sampled rows of ``docs``, all columns; the text is not shuffled."""
-    cells = fit_mix(described(docs, id_col, text_col), budget, **options).select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.col("p").alias("__p"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__s": F.coalesce("source", F.lit(NONE)), "__l": F.coalesce("lang", F.lit(NONE)), "__t": topic_of(text), "__u": draw(F.col(id_col), seed)})
+    topic = topic_column(docs, text_col)
+    cells = fit_mix(described(docs, id_col, text_col, topic=topic), budget, **options).select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.col("p").alias("__p"))
+    keyed = docs.withColumns({"__s": F.coalesce("source", F.lit(NONE)), "__l": F.coalesce("lang", F.lit(NONE)), "__t": F.coalesce(topic, F.lit(NONE)), "__u": draw(F.col(id_col), seed)})
     met = keyed.join(cells, (F.col("__s") == F.col("__source")) & (F.col("__l") == F.col("__lang")) & (F.col("__t") == F.col("__topic")) & (F.col("__u") < F.col("__p")), "left_semi")
     return met.select(*(docs.columns))
 
 
 def sql(budget: float = 0.5, seed: int = 42, table: str = "documents", sweeps: int = SWEEPS) -> str:
     """The result of :func:`mix` over ``table``, unrolled for DuckDB."""
-    marks = " ".join(f"WHEN contains(body, '{m}') THEN '{n}'" for n, m in TOPIC_MARKS)
     out = f"""
-WITH d AS MATERIALIZED (
-  SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
-         CASE {marks} ELSE 'prose' END AS topic,
+WITH base AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, coalesce(text, '') AS body FROM {table}
+),
+langs AS MATERIALIZED (SELECT lang, CASE WHEN count(*) * {POOL} >= (SELECT count(*) FROM base) THEN lang ELSE '' END AS pool, count(*) AS size FROM base GROUP BY lang),
+pools AS MATERIALIZED (SELECT pool, sum(size)::DOUBLE AS size FROM langs GROUP BY pool),
+words AS MATERIALIZED (SELECT r, lang, lower(unnest(regexp_extract_all(body, '{WORD}'))) AS term FROM base),
+held AS MATERIALIZED (SELECT r, pool, term, count(*) AS c FROM words JOIN langs USING (lang) GROUP BY r, pool, term),
+terms AS MATERIALIZED (SELECT pool, term, ln(size / n) AS w, row_number() OVER (PARTITION BY pool ORDER BY n DESC, term) AS k
+  FROM (SELECT pool, term, count(*) AS n FROM held GROUP BY pool, term) JOIN pools USING (pool) WHERE 2 * n <= size AND n > 1),
+topics AS MATERIALIZED (SELECT r, 't' || k AS topic FROM (SELECT r, k, row_number() OVER (PARTITION BY r ORDER BY round(c * w, 9) DESC, k) AS place
+  FROM held JOIN terms USING (pool, term) WHERE k <= {TERMS}) WHERE place = 1),
+d AS MATERIALIZED (
+  SELECT doc_id, source, lang, coalesce(topic, '{NONE}') AS topic,
          CAST(len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
-  FROM (SELECT *, coalesce(text, '') AS body FROM {table})
+  FROM base LEFT JOIN topics USING (r)
 ),
 cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
 tot AS MATERIALIZED (SELECT sum(t) AS total FROM cells)"""

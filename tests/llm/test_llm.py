@@ -625,6 +625,50 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_by_hand(spark):
+    """Topics, raking and probabilities in plain Python."""
+    rng = random.Random(11)
+    pool = {"en": ["with", "that", "From", "thin", "a", "of"], "de": ["eine", "nicht", "über", "und"], None: ["mixed", "words"]}
+    rows = []
+    for i in range(300):
+        lang = rng.choice(["en", "en", "de", None])
+        rows.append((i % 290, " ".join(rng.choice(pool[lang]) for _ in range(rng.randint(0, 12))) if i % 50 else None, lang, f"s{rng.randrange(3)}", "k"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, t string")
+    got = mixing.mix(df, budget=0.4).collect()
+    words = [[w.lower() for w in re.findall(r"[^\W\d_]{4,}", r[1] or "")] for r in rows]
+    names = {}
+    for lang in ("en", "de", None):
+        mine = [set(w) for w, r in zip(words, rows) if r[2] == lang]
+        held = {t: sum(t in w for w in mine) for t in set().union(*mine)}
+        ranked = sorted((t for t in held if 1 < held[t] <= len(mine) / 2), key=lambda t: (-held[t], t))[: mixing.TERMS]
+        names[lang] = {t: (k + 1, np.log(len(mine) / held[t])) for k, t in enumerate(ranked)}
+    topics = []
+    for w, r in zip(words, rows):
+        led = [(-round(w.count(t) * x, 9), k) for t, (k, x) in names[r[2]].items() if t in w]
+        topics.append(f"t{min(led)[1]}" if led else mixing.NONE)
+    tokens = [len((r[1] or "").split()) for r in rows]
+    keys = [(r[3], r[2] or mixing.NONE, t) for r, t in zip(rows, topics)]
+    assert sorted((x.source, x.lang, x.topic, x.n_tokens) for x in got) == sorted((*k, n) for k, n in zip(keys, tokens))
+    cells = {}
+    for k, n in zip(keys, tokens):
+        cells[k] = cells.get(k, 0) + n
+    cells = {k: v for k, v in cells.items() if v}
+    total, factor = sum(cells.values()), dict.fromkeys(cells, 1.0)
+    for _ in range(400):
+        for at, d in enumerate(mixing.DIMENSIONS):
+            share = {v: sum(n for k, n in cells.items() if k[at] == v) / total for v in {k[at] for k in cells}}
+            scale = sum(x ** mixing.POWERS[d] for x in share.values())
+            now = {v: sum(n * factor[k] for k, n in cells.items() if k[at] == v) for v in share}
+            factor = {k: f * share[k[at]] ** mixing.POWERS[d] / scale * total / now[k[at]] for k, f in factor.items()}
+    for x in got:
+        assert abs(x.factor - factor.get((x.source, x.lang, x.topic), 0)) < 1e-3
+    assert abs(sum(x.n_tokens * x.probability for x in got) / total - 0.4) < 1e-3
+    own = mixing.mix(df.withColumn("topic", F.col("source"))).collect()
+    assert all(x.topic == x.source for x in own)
+    fitted = mixing.probabilities(mixing.rake(mixing.described(df)), 0.05)  # no cell is full: every margin is met
+    assert all(abs(m.aim - m.got) < 1e-4 for m in mixing.margins(fitted).collect())
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     df, labels = labelled(spark, 120)
