@@ -85,7 +85,7 @@ class Chain:
 class Scorer:
     """Feature counts of texts, damped, through a bounded store of words, so that a known word costs one look-up."""
 
-    def __init__(self, index: dict[str, int], entries: int = 400_000):
+    def __init__(self, index: dict[str, int], entries: int = 200_000):
         self.index, self.entries, self.known = index, entries, {}
 
     def counts(self, text: str | None) -> np.ndarray:
@@ -95,7 +95,7 @@ class Scorer:
         for word in words_of(text):
             hit = known.get(word)
             if hit is None:
-                hit = [index[n] for n in names_of(word) if n in index]
+                hit = tuple(index[n] for n in names_of(word) if n in index)  # mostly the one empty tuple
                 if len(known) >= self.entries:
                     known.clear()
                 known[word] = hit
