@@ -195,7 +195,7 @@ def _matrix(values: list[bytes], width: int) -> np.ndarray:
 def surest(table: DataFrame, known: DataFrame, models: tuple[Linear, Linear], wanted: list[tuple[int, int]], per_round: int) -> list[list]:
     """For each (view, label) wanted, the rows without a label that the view is surest of.
 
-    ``known`` (row) are the rows left out, few enough to be broadcast.
+    ``known`` (row) are the rows left out; they grow with the labels, so they meet the scores, three numbers a row, in a join.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +203,8 @@ def surest(table: DataFrame, known: DataFrame, models: tuple[Linear, Linear], wa
             margins = [m.margin(_matrix(batch.column(1 + i).to_pylist(), WIDTHS[i])) for i, m in enumerate(models)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m) for m in margins)], ["row", "m0", "m1"])
 
-    free = table.select("row", "a", "b").join(F.broadcast(known.select("row")), "row", "left_anti")
-    scored = materialize(free.mapInArrow(run, "row long, m0 double, m1 double"), "quality-scores")
+    scored = table.select("row", "a", "b").mapInArrow(run, "row long, m0 double, m1 double")
+    scored = materialize(scored.join(known.select("row"), "row", "left_anti"), "quality-scores")
     least, out = float(logit(np.array([SURE]))[0]), []
     for view, label in wanted:
         # a row is taught by the view that is surer of it, so no row is taught twice
