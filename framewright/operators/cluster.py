@@ -1,17 +1,24 @@
-"""Clusterings over device combinations and the metrics that compare them with labels."""
+"""Clusterings over device combinations and the metrics that compare them with labels.
+
+Points enter as weighted spots (label and key or features, with a count and the
+first row id) wherever a clustering is repeated over combinations and grids, so
+what is repeated is the distinct values, not the rows. ``cluster`` -1 is noise.
+"""
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.graph import components
+from framewright.operators.number import numbered
 from framewright.runtime import materialize
 
 EPS, MIN_SAMPLES = (1e-5, 1e-2), (2, 6)
+NOISE = "-1"
 
 
 def in_combinations(points: DataFrame, combinations: DataFrame, label: str = "label") -> DataFrame:
@@ -20,11 +27,27 @@ def in_combinations(points: DataFrame, combinations: DataFrame, label: str = "la
     return points.join(members, label)
 
 
+def spots_of(points: DataFrame, keys: Sequence[str], label: str = "label", id_col: str = "row_id") -> DataFrame:
+    """label, keys, n, first: equal points of a label as one."""
+    return points.groupBy(F.col(label).alias("label"), *keys).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first"))
+
+
+def _numbered_in(df: DataFrame, order: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    """``cluster``: the place in the order from 0, within groups or over all rows."""
+    if groups:
+        return df.withColumn("cluster", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1)
+    return numbered(df, order, "cluster").withColumn("cluster", F.col("cluster").cast("int"))
+
+
 def group_clusters(points: DataFrame, keys: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """``cluster``: the number of the point's key in order, from 0; no noise."""
-    order = Window.partitionBy(*groups).orderBy(*keys)
-    distinct = points.select(*groups, *keys).distinct().withColumn("cluster", F.row_number().over(order) - 1)
-    return points.join(distinct, [*groups, *keys])
+    return points.join(_numbered_in(points.select(*groups, *keys).distinct(), keys, groups), [*groups, *keys])
+
+
+def _least(value: int | float | str, groups: Sequence[str]) -> Column:
+    if isinstance(value, str) and value not in groups:
+        raise ValueError(f"{value} must be among the groups")
+    return F.col(value) if isinstance(value, str) else F.lit(value)
 
 
 def equality_dbscan(points: DataFrame, key: str, min_samples: int | str, groups: Sequence[str] = (), id_col: str = "row_id") -> DataFrame:
@@ -32,48 +55,82 @@ def equality_dbscan(points: DataFrame, key: str, min_samples: int | str, groups:
 
     Clusters are numbered by their first row.
     """
-    least = F.lit(min_samples) if isinstance(min_samples, int) else F.col(min_samples)
     sizes = points.groupBy(*groups, key).agg(F.count(F.lit(1)).alias("__n"), F.min(id_col).alias("__first"))
-    if not isinstance(min_samples, int) and min_samples not in groups:
-        raise ValueError(f"{min_samples} must be among the groups")
-    big = sizes.filter(F.col("__n") >= least).withColumn("cluster", F.row_number().over(Window.partitionBy(*groups).orderBy("__first")) - 1).select(*groups, key, "cluster")
+    big = _numbered_in(sizes.filter(F.col("__n") >= _least(min_samples, groups)), ["__first"], groups).select(*groups, key, "cluster")
     return points.join(big, [*groups, key], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
-def dbscan(points: DataFrame, columns: Sequence[str], eps: float, min_samples: int, id_col: str = "row_id") -> DataFrame:
-    """``cluster`` by density under the Manhattan distance, for any eps.
+def neighbours(spots: DataFrame, eps: Column, groups: Sequence[str]) -> DataFrame:
+    """groups, spot, other, n2: spots (__spot, __x, __n) within ``eps`` of each other by the Manhattan distance, themselves too.
 
-    Equal points are one point with a count. Cells of side eps meet only their
-    neighbours, core points are joined by components, a border point takes the
-    least cluster among its core neighbours, the rest is noise (-1). Clusters are
-    numbered by their first row.
+    The sum of all coordinates, and the sum with every other sign turned, move
+    by no more than the distance, in any number of dimensions. They lay the
+    spots on a plane of cells of side ``eps``, and only the nine cells around a
+    spot are looked at.
     """
-    spots = materialize(points.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("spot")), "dbscan-spots")
-    cell = [F.floor(F.col(c) / eps).cast("long") for c in columns]
-    near = F.explode(F.array(*(F.array(*(x + d for x, d in zip(cell, shift, strict=True))) for shift in itertools.product((-1, 0, 1), repeat=len(columns)))))
-    a = spots.select("spot", F.col("n").alias("n1"), *(F.col(c).alias(f"a{i}") for i, c in enumerate(columns)), near.alias("cell"))
-    b = spots.select(F.col("spot").alias("other"), F.col("n").alias("n2"), *(F.col(c).alias(f"b{i}") for i, c in enumerate(columns)), F.array(*cell).alias("cell"))
-    apart = sum((F.abs(F.col(f"a{i}") - F.col(f"b{i}")) for i in range(len(columns))), F.lit(0.0))
-    links = materialize(a.join(b, "cell").filter(apart <= eps).select("spot", "other", "n2"), "dbscan-links")
-    core = materialize(links.groupBy("spot").agg(F.sum("n2").alias("degree")).filter(F.col("degree") >= min_samples).select("spot"), "dbscan-core")
-    inner = links.join(core, "spot").join(core.select(F.col("spot").alias("other")), "other")
-    found = components(inner.filter("spot < other").select(F.col("spot").alias("u"), F.col("other").alias("v")))
-    root = core.join(found, core["spot"] == found["node"], "left").select("spot", F.coalesce("root", "spot").alias("root"))
-    number = root.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)
-    core_cluster = root.join(number, "root").select(F.col("spot").alias("other"), "cluster")
-    # a core point is its own neighbour and has one cluster only
-    own = links.join(core_cluster, "other").groupBy("spot").agg(F.min("cluster").alias("border"))
-    cores = core_cluster.select(F.col("other").alias("spot"), F.col("cluster").alias("mine"))
-    spot_cluster = spots.join(own, "spot", "left").join(cores, "spot", "left").select(*columns, F.coalesce("mine", "border", F.lit(-1)).alias("cluster"))
-    return points.join(spot_cluster, list(columns))
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+    turned = F.transform("__x", lambda v, i: F.when(i % 2 == 0, v).otherwise(-v))
+    cells = spots.withColumns({"c0": F.floor(add(F.col("__x")) / eps).cast("long"), "c1": F.floor(add(turned) / eps).cast("long")})
+    shifts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in itertools.product((-1, 0, 1), repeat=2))))
+    a = cells.withColumn("s", shifts).select(*groups, (F.col("c0") + F.col("s.i")).alias("c0"), (F.col("c1") + F.col("s.j")).alias("c1"), F.col("__spot").alias("spot"), F.col("__x").alias("x1"))
+    b = cells.select(*groups, "c0", "c1", F.col("__spot").alias("other"), F.col("__x").alias("x2"), F.col("__n").alias("n2"))
+    apart = add(F.zip_with("x1", "x2", lambda p, q: F.abs(p - q)))
+    return a.join(b, [*groups, "c0", "c1"]).filter(apart <= eps).select(*groups, "spot", "other", "n2")
+
+
+def dbscan(points: DataFrame, columns: Sequence[str], eps: float | str, min_samples: int | str, id_col: str = "row_id", groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """``cluster`` by density under the Manhattan distance, for any eps and any number of columns.
+
+    Equal points are one spot with a count (of ``weight``, where rows stand for
+    several). Core spots are joined by components, a border spot takes the least
+    cluster among its core neighbours, the rest is noise (-1). Clusters are
+    numbered by their first row. ``eps`` and ``min_samples`` may name group columns.
+    """
+    groups, columns = list(groups), list(columns)
+    many = F.sum(weight) if weight else F.count(F.lit(1))
+    spots = points.groupBy(*groups, *columns).agg(many.alias("__n"), F.min(id_col).alias("__spot"))
+    spots = materialize(spots.withColumn("__x", F.array(*(F.col(c).cast("double") for c in columns))), "dbscan-spots")
+    links = materialize(neighbours(spots, _least(eps, groups), groups), "dbscan-links")
+    degrees = links.groupBy(*groups, "spot").agg(F.sum("n2").alias("degree"))
+    core = materialize(degrees.filter(F.col("degree") >= _least(min_samples, groups)).select(*groups, "spot"), "dbscan-core")
+    other = core.withColumnRenamed("spot", "other")
+    node = lambda c: F.struct(*groups, F.col(c).alias("spot"))
+    inner = links.filter("spot < other").join(core, [*groups, "spot"]).join(other, [*groups, "other"])
+    found = components(inner.select(node("spot").alias("u"), node("other").alias("v")))
+    found = found.select(*(F.col(f"node.{c}").alias(c) for c in (*groups, "spot")), F.col("root.spot").alias("root"))
+    root = core.join(found, [*groups, "spot"], "left").select(*groups, "spot", F.coalesce("root", "spot").alias("root"))
+    number = _numbered_in(root.select(*groups, "root").distinct(), ["root"], groups)
+    cores = materialize(root.join(number, [*groups, "root"]).select(*groups, "spot", "cluster"), "dbscan-cores")
+    # a core spot is its own neighbour and has one cluster only
+    near = links.join(cores.select(*groups, F.col("spot").alias("other"), "cluster"), [*groups, "other"])
+    border = near.groupBy(*groups, F.col("spot").alias("__spot")).agg(F.min("cluster").alias("__border"))
+    own = cores.select(*groups, F.col("spot").alias("__spot"), F.col("cluster").alias("__mine"))
+    done = spots.join(border, [*groups, "__spot"], "left").join(own, [*groups, "__spot"], "left")
+    return points.join(done.select(*groups, *columns, F.coalesce("__mine", "__border", F.lit(-1)).alias("cluster")), [*groups, *columns])
+
+
+# --- what a clustering is worth ---------------------------------------------
+
+
+def cluster_table(assigned: DataFrame, groups: Sequence[str] = (), label: str = "label", id_col: str = "row_id", weight: str | None = None) -> DataFrame:
+    """groups, label, cluster (as text), n, first: all that the metrics need, computed once."""
+    many = F.sum(weight) if weight else F.count(F.lit(1))
+    keys = [*groups, F.col(label).alias("label"), F.col("cluster").cast("string").alias("cluster")]
+    return materialize(assigned.groupBy(*keys).agg(many.alias("n"), F.min(id_col).alias("first")), "contingency")
+
+
+def majority_of(table: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, cluster, predicted: the commonest label, the smallest of equals; noise stays -1."""
+    label = F.col("label").cast("string")
+    best = F.min_by(label, F.struct(-F.col("n"), F.col("label")))
+    return table.groupBy(*groups, "cluster").agg(best.alias("predicted")).withColumn("predicted", F.when(F.col("cluster") == NOISE, NOISE).otherwise(F.col("predicted")))
 
 
 def majority_labels(assigned: DataFrame, groups: Sequence[str] = (), label: str = "label") -> DataFrame:
-    """groups, cluster, predicted: the commonest label, the smallest of equals; noise stays -1."""
-    counts = assigned.groupBy(*groups, "cluster", label).agg(F.count(F.lit(1)).alias("n"))
-    best = F.max_by(F.col(label), F.struct("n", -F.col("__rank")))
-    ranked = counts.withColumn("__rank", F.dense_rank().over(Window.partitionBy(*groups, "cluster").orderBy(label)))
-    return ranked.groupBy(*groups, "cluster").agg(best.alias("predicted")).withColumn("predicted", F.when(F.col("cluster") == -1, "-1").otherwise(F.col("predicted").cast("string")))
+    """The same from assigned points; ``cluster`` keeps its type."""
+    counts = assigned.groupBy(*groups, "cluster", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    best = F.min_by(F.col("label").cast("string"), F.struct(-F.col("n"), F.col("label")))
+    return counts.groupBy(*groups, "cluster").agg(best.alias("predicted")).withColumn("predicted", F.when(F.col("cluster") == -1, NOISE).otherwise(F.col("predicted")))
 
 
 def contingency(assigned: DataFrame, groups: Sequence[str] = (), label: str = "label") -> DataFrame:
@@ -90,9 +147,14 @@ def agreement(table: DataFrame, groups: Sequence[str] = (), suffix: str = "") ->
     n = keyed.groupBy(*keys).agg(F.sum("n").alias("total"), choose("n").alias("both"))
     side = lambda c, name: keyed.groupBy(*keys, c).agg(F.sum("n").alias(name))
     a, b = side("label", "a"), side("cluster", "b")
-    entropy = lambda df, c, h, s: df.join(n, keys).groupBy(*keys).agg((-F.sum(F.col(c) / F.col("total") * F.ln(F.col(c) / F.col("total")))).alias(h), choose(c).alias(s))
+
+    def entropy(df: DataFrame, c: str, h: str, s: str) -> DataFrame:
+        share = F.col(c) / F.col("total")
+        return df.join(n, keys).groupBy(*keys).agg((-F.sum(share * F.ln(share))).alias(h), choose(c).alias(s))
+
     ha, hb = entropy(a, "a", "ha", "sa"), entropy(b, "b", "hb", "sb")
-    mi = keyed.join(a, [*keys, "label"]).join(b, [*keys, "cluster"]).join(n, keys).groupBy(*keys).agg(F.sum(F.col("n") / F.col("total") * F.ln(F.col("total") * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"))
+    mutual = F.sum(F.col("n") / F.col("total") * F.ln(F.col("total") * F.col("n") / (F.col("a") * F.col("b"))))
+    mi = keyed.join(a, [*keys, "label"]).join(b, [*keys, "cluster"]).join(n, keys).groupBy(*keys).agg(mutual.alias("mi"))
     m = n.join(ha, keys).join(hb, keys).join(mi, keys)
     share = lambda h: F.when(F.abs(F.col(h)) < 1e-12, 1.0).otherwise(F.col("mi") / F.col(h))
     m = m.withColumns({"h": share("ha"), "c": share("hb")})
@@ -105,59 +167,97 @@ def agreement(table: DataFrame, groups: Sequence[str] = (), suffix: str = "") ->
     return m.select(*groups, *(x.alias(f"{k}{suffix}") for k, x in names.items()))
 
 
-def cluster_metrics(assigned: DataFrame, groups: Sequence[str] = (), label: str = "label", id_col: str = "row_id", noise_in_rmse: bool = False) -> DataFrame:
-    """The agreement metrics, noise_ratio, n_clusters and rmse of each group.
+def _clusters(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """noise_ratio and n_clusters of each group."""
+    noise = F.sum(F.when(F.col("cluster") == NOISE, F.col("n")).otherwise(0)) / F.sum("n")
+    return table.groupBy(*keys).agg(noise.alias("noise_ratio"), F.countDistinct(F.when(F.col("cluster") != NOISE, F.col("cluster"))).alias("n_clusters"))
+
+
+def metrics_of(table: DataFrame, groups: Sequence[str] = (), noise_in_rmse: bool = False) -> DataFrame:
+    """The agreement metrics, noise_ratio, n_clusters and rmse of each group of a :func:`cluster_table`.
 
     rmse compares labels with the majority label of their cluster, as numbers:
     those of the label if all are numbers, else by first row. Noise is left out
     unless ``noise_in_rmse``.
     """
     groups = list(groups)
-    work = assigned if groups else assigned.withColumn("__all", F.lit(1))
+    work = table if groups else table.withColumn("__all", F.lit(1))
     keys = groups or ["__all"]
-    sizes = work.groupBy(*keys).agg(F.avg(F.when(F.col("cluster") == -1, 1.0).otherwise(0.0)).alias("noise_ratio"), F.countDistinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"))
-    firsts = work.groupBy(*keys, label).agg(F.min(id_col).alias("first"))
     # labels of a group are device names: few
-    code = firsts.withColumn("by_row", F.dense_rank().over(Window.partitionBy(*keys).orderBy("first")).cast("double")).withColumn("number", F.col(label).cast("string").try_cast("double"))
-    code = code.withColumn("plain", F.min(F.when(F.col("number").isNull(), 0).otherwise(1)).over(Window.partitionBy(*keys))).select(*keys, label, F.when(F.col("plain") == 1, F.col("number")).otherwise(F.col("by_row")).alias("code"))
-    predicted = majority_labels(work, keys, label)
-    pairs = work.groupBy(*keys, label, "cluster").agg(F.count(F.lit(1)).alias("n")).join(predicted, [*keys, "cluster"]).join(code, [*keys, label])
-    guess = code.select(*keys, F.col(label).cast("string").alias("predicted"), F.col("code").alias("guess"))
-    pairs = pairs.join(guess, [*keys, "predicted"], "left")
+    code = work.groupBy(*keys, "label").agg(F.min("first").alias("first"))
+    number = F.col("label").cast("string").try_cast("double")
+    by = Window.partitionBy(*keys)
+    code = code.withColumns({"by_row": F.dense_rank().over(by.orderBy("first")).cast("double"), "number": number})
+    plain = F.min(F.when(F.col("number").isNull(), 0).otherwise(1)).over(by)
+    code = code.withColumn("plain", plain).select(*keys, "label", F.when(F.col("plain") == 1, F.col("number")).otherwise(F.col("by_row")).alias("code"))
+    guess = code.select(*keys, F.col("label").cast("string").alias("predicted"), F.col("code").alias("guess"))
+    pairs = work.join(majority_of(work, keys), [*keys, "cluster"]).join(code, [*keys, "label"]).join(guess, [*keys, "predicted"], "left")
     if noise_in_rmse:
-        most = code.groupBy(*keys).agg((F.max("code") + 1).alias("other"))
-        pairs = pairs.join(most, keys).withColumn("guess", F.coalesce("guess", "other"))
-    rmse = pairs.filter("guess is not null").groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.pow(F.col("code") - F.col("guess"), 2)) / F.sum("n")).alias("rmse"))
-    out = agreement(contingency(work, keys, label), keys).join(sizes, keys).join(rmse, keys, "left")
+        most = code.groupBy(*keys).agg((F.max("code") + 1).alias("rest"))
+        pairs = pairs.join(most, keys).withColumn("guess", F.coalesce("guess", "rest"))
+    off = F.sqrt(F.sum(F.col("n") * F.pow(F.col("code") - F.col("guess"), 2)) / F.sum("n"))
+    rmse = pairs.filter("guess is not null").groupBy(*keys).agg(off.alias("rmse"))
+    out = agreement(work, keys).join(_clusters(work, keys), keys).join(rmse, keys, "left")
     return out if groups else out.drop("__all")
 
 
-def cluster_metrics_advanced(assigned: DataFrame, groups: Sequence[str] = (), label: str = "label") -> DataFrame:
+def cluster_metrics(assigned: DataFrame, groups: Sequence[str] = (), label: str = "label", id_col: str = "row_id", noise_in_rmse: bool = False) -> DataFrame:
+    """:func:`metrics_of` from assigned points."""
+    return metrics_of(cluster_table(assigned, groups, label, id_col), groups, noise_in_rmse)
+
+
+def cluster_metrics_advanced(assigned: DataFrame, groups: Sequence[str] = (), label: str = "label", id_col: str = "row_id") -> DataFrame:
     """Agreement over all points and over clustered ones, coverage and label accuracy; nulls where all is noise."""
     groups = list(groups)
-    work = assigned if groups else assigned.withColumn("__all", F.lit(1))
+    table = cluster_table(assigned, groups, label, id_col)
+    work = table if groups else table.withColumn("__all", F.lit(1))
     keys = groups or ["__all"]
-    table = materialize(contingency(work, keys, label), "contingency")
-    every = agreement(table, keys, "_all")
-    clustered = agreement(table.filter("cluster <> -1"), keys, "_clustered")
-    noise = table.groupBy(*keys).agg((F.sum(F.when(F.col("cluster") == -1, F.col("n")).otherwise(0)) / F.sum("n")).alias("noise_ratio"), F.countDistinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"))
-    best = table.filter("cluster <> -1").groupBy(*keys, "cluster").agg(F.max("n").alias("best"), F.sum("n").alias("size")).groupBy(*keys).agg((F.sum("best") / F.sum("size")).alias("label_accuracy"))
-    out = noise.withColumn("coverage", 1 - F.col("noise_ratio")).join(every, keys).join(clustered, keys, "left").join(best, keys, "left")
+    some = work.filter(F.col("cluster") != NOISE)
+    best = some.groupBy(*keys, "cluster").agg(F.max("n").alias("best"), F.sum("n").alias("size"))
+    best = best.groupBy(*keys).agg((F.sum("best") / F.sum("size")).alias("label_accuracy"))
+    out = _clusters(work, keys).withColumn("coverage", 1 - F.col("noise_ratio"))
+    out = out.join(agreement(work, keys, "_all"), keys).join(agreement(some, keys, "_clustered"), keys, "left").join(best, keys, "left")
     return out if groups else out.drop("__all")
 
 
+# --- combinations and grids ---------------------------------------------------
+
+
 def every_other_length(combinations: DataFrame) -> DataFrame:
     """Combinations of the first, third, fifth ... length."""
     lengths = combinations.select("length").distinct().withColumn("turn", F.row_number().over(Window.orderBy("length")))
     return combinations.join(lengths.filter("turn % 2 = 1").select("length"), "length", "left_semi")
 
 
-def grid_metrics(points: DataFrame, key: str, combinations: DataFrame, eps: Sequence[float] = EPS, min_samples: Sequence[int] = MIN_SAMPLES, score: str = "v_measure") -> DataFrame:
-    """length, eps, min_samples, n_combinations and the mean score over the combinations of a length (equality form)."""
+def _assigned_spots(spread: DataFrame, keys: Sequence[str], eps: float | str | None, min_samples: int | str | None, groups: Sequence[str]) -> DataFrame:
+    """``cluster`` for weighted spots: by density where there is an eps, else by equal keys, else (no ``min_samples``) by key."""
+    if eps is not None:
+        return dbscan(spread, keys, eps, min_samples, "first", groups, "n")
+    name = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
+    if min_samples is None:
+        return spread.withColumn("cluster", name)
+    sizes = spread.groupBy(*groups, *keys).agg(F.sum("n").alias("__n"))
+    named = sizes.select(*groups, *keys, F.when(F.col("__n") >= _least(min_samples, groups), name).otherwise(NOISE).alias("cluster"))
+    return spread.join(named, [*groups, *keys])
+
+
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def grid_metrics(points: DataFrame, key: str | Sequence[str], combinations: DataFrame, eps: Sequence[float] = EPS, min_samples: Sequence[int] = MIN_SAMPLES, score: str = "v_measure", density: bool = False, label: str = "label", id_col: str = "row_id") -> DataFrame:
+    """length, eps, min_samples, n_combinations and the mean score over the combinations of a length.
+
+    With ``density`` the keys are numbers and eps a Manhattan distance; without,
+    eps is under the least distance of unequal keys, so equal keys are a cluster.
+    """
+    keys = _keys(key)
+    spots = materialize(spots_of(points, keys, label, id_col), "grid-spots")
     grid = F.explode(F.array(*(F.struct(F.lit(float(e)).alias("eps"), F.lit(m).alias("min_samples")) for e in eps for m in min_samples)))
-    spread = in_combinations(points, combinations).withColumn("g", grid).select("*", "g.*").drop("g")
+    spread = in_combinations(spots, combinations).withColumn("g", grid).select("*", "g.*").drop("g")
     groups = ["comb_id", "length", "eps", "min_samples"]
-    scored = agreement(contingency(equality_dbscan(spread, key, "min_samples", groups), groups), groups)
+    assigned = _assigned_spots(spread, keys, "eps" if density else None, "min_samples", groups)
+    scored = agreement(cluster_table(assigned, groups, "label", "first", "n"), groups)
     return scored.groupBy("length", "eps", "min_samples").agg(F.count(F.lit(1)).alias("n_combinations"), F.avg(F.nanvl(score, F.lit(None))).alias(score))
 
 
@@ -167,12 +267,12 @@ def grid_best(metrics: DataFrame, score: str = "v_measure") -> DataFrame:
     return best.orderBy(F.round(score, 12).desc_nulls_last(), "eps", "min_samples").limit(1)
 
 
-def test_combinations(points: DataFrame, key: str, combinations: DataFrame, min_samples: int | None, label: str = "label", id_col: str = "row_id") -> DataFrame:
-    """Metrics of every combination: equal keys, with noise below ``min_samples``, or without (None)."""
-    spread = in_combinations(points, combinations, label)
-    groups = ["comb_id", "length"]
-    assigned = group_clusters(spread, [key], groups) if min_samples is None else equality_dbscan(spread, key, min_samples, groups, id_col)
-    return cluster_metrics(assigned, groups, label, id_col)
+def test_combinations(points: DataFrame, key: str | Sequence[str], combinations: DataFrame, min_samples: int | None, label: str = "label", id_col: str = "row_id", eps: float | None = None) -> DataFrame:
+    """Metrics of every combination: by density within ``eps``, or equal keys with noise below ``min_samples``, or without (None)."""
+    keys, groups = _keys(key), ["comb_id", "length"]
+    spots = materialize(spots_of(points, keys, label, id_col), "test-spots")
+    assigned = _assigned_spots(in_combinations(spots, combinations), keys, eps, min_samples, groups)
+    return metrics_of(cluster_table(assigned, groups, "label", "first", "n"), groups)
 
 
 def compare_one_shot(points: DataFrame, key: str, min_samples: int, id_col: str = "row_id") -> DataFrame:

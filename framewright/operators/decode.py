@@ -14,25 +14,48 @@ ELEMENT_NAMES = {0: "ssid", 1: "supported rates", 3: "dsss parameters", 45: "ht
 HEX_COLUMNS = ["Timestamp", "MAC Address", "Channel", "DS Channel", "HT Capabilities", "Extended Capabilities", "Vendor Specific Tags", "SSID", "Supported Rates", "Extended Supported Rates", "VHT Capabilities", "HE Capabilities", "Length", "Label"]
 #: name of the payload column, suffix of its id and length columns, element number
 BINARY_ELEMENTS = [("ssid", "ssid", SSID), ("supported_rates", "sup_rates", RATES), ("ext_sup_rates", "ext_sup_rates", EXT_RATES), ("dsss_parameter", "dsss", DS), ("ht_cap", "ht_cap", HT), ("vht_cap", "vht_cap", VHT), ("ext_cap", "ext_cap", EXT_CAP), ("vst", "vst", VENDOR), ("ext_tags", "ext_tags", EXTENSION)]
-#: HT capability element: little-endian groups of bytes, fields from the high bit down with their widths
+#: The HT capability element as little-endian groups of bytes, fields from the high bit down with their widths.
 HT_GROUPS = [
-    (2, "L_SIG_TXOP_Protection:1 Forty_Mhz_Intolerant:1 PSMP:1 DSSS_CCK:1 Max_A_MSDU:1 Delayed_BlockAck:1 Rx_STBC:2 Tx_STBC:1 Short_GI_40Mhz:1 Short_GI_20Mhz:1 Green_Field:1 SM_Power_Save:2 Supported_Channel_Width:1 LDPC_Coding_Capability:1"),
-    (1, "res1:3 Min_MPDCU_Start_Spacing:3 Max_A_MPDU_Length_Exponent:2"),
-    (16, "res2:27 TX_Unequal_Modulation:1 TX_Max_Spatial_Streams:2 TX_RX_MCS_Set_Not_Equal:1 TX_MCS_Set_Defined:1 res3:6 RX_Highest_Supported_Data_Rate:10 res4:3 RX_MSC_Bitmask:77"),
-    (2, "res5:4 RD_Responder:1 HTC_HT_Support:1 MCS_Feedback:2 res6:5 PCO_Transition_Time:2 PCO:1"),
-    (4, "res7:3 Channel_Estimation_Capability:2 CSI_max_n_Rows_Beamformer_Supported:2 Compressed_Steering_n_Beamformer_Antennas_Supported:2 Noncompressed_Steering_n_Beamformer_Antennas_Supported:2 CSI_n_Beamformer_Antennas_Supported:2 Minimal_Grouping:2 Explicit_Compressed_Beamforming_Feedback:2 Explicit_Noncompressed_Beamforming_Feedback:2 Explicit_Transmit_Beamforming_CSI_Feedback:2 Explicit_Compressed_Steering:1 Explicit_Noncompressed_Steering:1 Explicit_CSI_Transmit_Beamforming:1 Calibration:2 Implicit_Trasmit_Beamforming:1 Transmit_NDP:1 Receive_NDP:1 Transmit_Staggered_Sounding:1 Receive_Staggered_Sounding:1 Implicit_Transmit_Beamforming_Receiving:1"),
-]
-#: Extended capability bits in order; a name that repeats is one field of several bits
-EXTENDED_CAPABILITIES = """20_40_BSS_Coexistence_Management_Support Reserved_1 Extended_Channel_Switching Reserved_2 PSMP_Capability Reserved_3
-SPSMP_Support Event Diagnostics Multicast_Diagnostic Location_Tracking FMS Proxy_Arp_Service Collocated_Interference_Reporting Civic_Location
-Geospatial_Location TFS WNM_Sleep_Mode TIM_Broadcast BSS_Transition QoS_Traffic_Capability AC_Station_Count Multiple_BSSID Timing_Measurement
-Channel_Usage SSID_List DMS UTC_Timing TPU_Buffer_STA_Support TDLS_Peer_PSM TDLS_Channel_Switching Interworking QoS_Map EBR SSPN_Interface
-Reserved_4 MSGCF_Capability TDLS_Support TDLS_Prohibited TDLS_Channel_Switching_Prohibited Reject_Unadmitted_Frame Service_Interval_Granularity
-Service_Interval_Granularity Service_Interval_Granularity Identifier_Location U_APSD_Coexistence WNM_Notification QAB_Capability UTF_8_SSID
-QMF_Activated QMF_ReconfigurationActivated Robust_AV_Streaming Advanced_GCR Mesh_GCR SCS QLoad_Report Alternate_EDCA Unprotected_TXOP
-Protected_RXOP Reserved_5 Protected_QLoad_Report TDLS_Wide_Bandwidth Operating_Mode_Notification Max_Number_Of_MSDUs_In_A_MPDU
-Max_Number_Of_MSDUs_In_A_MPDU Channel_Schedule_Management Geodatabase_Inband_Enabling_Signal Network_Channel_Control White_Space_Map
-Channel_Availability_Query FTM_Responder FTM_Initiator Reserved_6 ESM_Capability Future_Channel_Guidance""".split()
+    (2, [
+        ("L_SIG_TXOP_Protection", 1), ("Forty_Mhz_Intolerant", 1), ("PSMP", 1), ("DSSS_CCK", 1), ("Max_A_MSDU", 1), ("Delayed_BlockAck", 1),
+        ("Rx_STBC", 2), ("Tx_STBC", 1), ("Short_GI_40Mhz", 1), ("Short_GI_20Mhz", 1), ("Green_Field", 1), ("SM_Power_Save", 2),
+        ("Supported_Channel_Width", 1), ("LDPC_Coding_Capability", 1),
+    ]),
+    (1, [
+        ("res1", 3), ("Min_MPDCU_Start_Spacing", 3), ("Max_A_MPDU_Length_Exponent", 2),
+    ]),
+    (16, [
+        ("res2", 27), ("TX_Unequal_Modulation", 1), ("TX_Max_Spatial_Streams", 2), ("TX_RX_MCS_Set_Not_Equal", 1), ("TX_MCS_Set_Defined", 1), ("res3",
+        6), ("RX_Highest_Supported_Data_Rate", 10), ("res4", 3), ("RX_MSC_Bitmask", 77),
+    ]),
+    (2, [
+        ("res5", 4), ("RD_Responder", 1), ("HTC_HT_Support", 1), ("MCS_Feedback", 2), ("res6", 5), ("PCO_Transition_Time", 2), ("PCO", 1),
+    ]),
+    (4, [
+        ("res7", 3), ("Channel_Estimation_Capability", 2), ("CSI_max_n_Rows_Beamformer_Supported", 2),
+        ("Compressed_Steering_n_Beamformer_Antennas_Supported", 2), ("Noncompressed_Steering_n_Beamformer_Antennas_Supported", 2),
+        ("CSI_n_Beamformer_Antennas_Supported", 2), ("Minimal_Grouping", 2), ("Explicit_Compressed_Beamforming_Feedback", 2),
+        ("Explicit_Noncompressed_Beamforming_Feedback", 2), ("Explicit_Transmit_Beamforming_CSI_Feedback", 2), ("Explicit_Compressed_Steering", 1),
+        ("Explicit_Noncompressed_Steering", 1), ("Explicit_CSI_Transmit_Beamforming", 1), ("Calibration", 2), ("Implicit_Trasmit_Beamforming", 1),
+        ("Transmit_NDP", 1), ("Receive_NDP", 1), ("Transmit_Staggered_Sounding", 1), ("Receive_Staggered_Sounding", 1),
+        ("Implicit_Transmit_Beamforming_Receiving", 1),
+    ]),
+]
+#: Extended capability bits in order; a name that repeats is one field of several bits.
+EXTENDED_CAPABILITIES = [
+    "20_40_BSS_Coexistence_Management_Support", "Reserved_1", "Extended_Channel_Switching", "Reserved_2", "PSMP_Capability", "Reserved_3",
+    "SPSMP_Support", "Event", "Diagnostics", "Multicast_Diagnostic", "Location_Tracking", "FMS", "Proxy_Arp_Service",
+    "Collocated_Interference_Reporting", "Civic_Location", "Geospatial_Location", "TFS", "WNM_Sleep_Mode", "TIM_Broadcast", "BSS_Transition",
+    "QoS_Traffic_Capability", "AC_Station_Count", "Multiple_BSSID", "Timing_Measurement", "Channel_Usage", "SSID_List", "DMS", "UTC_Timing",
+    "TPU_Buffer_STA_Support", "TDLS_Peer_PSM", "TDLS_Channel_Switching", "Interworking", "QoS_Map", "EBR", "SSPN_Interface", "Reserved_4",
+    "MSGCF_Capability", "TDLS_Support", "TDLS_Prohibited", "TDLS_Channel_Switching_Prohibited", "Reject_Unadmitted_Frame",
+    "Service_Interval_Granularity", "Service_Interval_Granularity", "Service_Interval_Granularity", "Identifier_Location", "U_APSD_Coexistence",
+    "WNM_Notification", "QAB_Capability", "UTF_8_SSID", "QMF_Activated", "QMF_ReconfigurationActivated", "Robust_AV_Streaming", "Advanced_GCR",
+    "Mesh_GCR", "SCS", "QLoad_Report", "Alternate_EDCA", "Unprotected_TXOP", "Protected_RXOP", "Reserved_5", "Protected_QLoad_Report",
+    "TDLS_Wide_Bandwidth", "Operating_Mode_Notification", "Max_Number_Of_MSDUs_In_A_MPDU", "Max_Number_Of_MSDUs_In_A_MPDU",
+    "Channel_Schedule_Management", "Geodatabase_Inband_Enabling_Signal", "Network_Channel_Control", "White_Space_Map", "Channel_Availability_Query",
+    "FTM_Responder", "FTM_Initiator", "Reserved_6", "ESM_Capability", "Future_Channel_Guidance",
+]
 
 
 def _of(number: int) -> Column:
@@ -98,11 +121,10 @@ def ht_bits(info: Column) -> Column:
 def ht_fields(bits: Column) -> list[Column]:
     """The 53 HT capability fields, from :func:`ht_bits`, as whole numbers in text."""
     out, at = [], 1
-    for spec in (f for _, fields in HT_GROUPS for f in fields.split()):
-        name, width = spec.split(":")
-        part = F.substring(bits, at, int(width))
-        out.append((F.conv(part, 2, 10) if int(width) < 63 else _wide(part, int(width))).alias(name))
-        at += int(width)
+    for name, width in (f for _, fields in HT_GROUPS for f in fields):
+        part = F.substring(bits, at, width)
+        out.append((F.conv(part, 2, 10) if width < 63 else _wide(part, width)).alias(name))
+        at += width
     return out
 
 

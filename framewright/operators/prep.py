@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.bits import u_to_zero
+from framewright.operators.number import numbered
 
 # The excluded sender, dropped columns and the least width of vendor tags.
 EXCLUDED_MAC = "00:0f:00:6a:68:8b"
@@ -25,18 +26,8 @@ def clean(df: DataFrame, columns: Iterable[str] = ("mac", "MAC Address"), exclud
 
 
 def with_row_id(df: DataFrame, *order: str) -> DataFrame:
-    """Rows numbered from 0 in a given order, without gathering them in one task.
-
-    Ranges of the order are numbered apart and shifted by the rows before them.
-    """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    part, inner = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    from framewright.runtime import materialize
-
-    spread = materialize(spread.withColumns({"__part": part, "__inner": inner}), "row-id")
-    sizes = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return spread.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn("row_id", F.col("__before") + F.col("__inner")).drop("__at", "__part", "__inner", "__before")
+    """Rows numbered from 0 in a given order (``row_id``)."""
+    return numbered(df, order, "row_id")
 
 
 def padded(c: Column, width: Column | int, symbol: str) -> Column:

@@ -132,19 +132,22 @@ def collapsed_pairs(probes: DataFrame, pairs: DataFrame, length: int, u_value: i
 
 
 def round_errors(pairs: DataFrame, plan: list[tuple[int, int, int, int]], weight: Column, base: float, total: float) -> DataFrame:
-    """filter_id, threshold, width, err for every candidate.
+    """filter_id, threshold, width, err, wrong for every candidate.
 
     The two sides of a pair are told apart at t iff lo <= t < hi, so the error
     is the weight of unequal pairs plus the signed weight of pairs told apart.
+    ``wrong`` is the weight of equal pairs told apart.
     """
     spread = pairs.select("y", weight.alias("w"), F.posexplode(F.arrays_zip("lo", "hi")).alias("filter_id", "s")).filter("s.lo < s.hi")
     summed = spread.groupBy("filter_id", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), "y").agg(F.sum("w").alias("w"))
     widths = pairs.sparkSession.createDataFrame([(f, b) for f, _, b, _ in plan], "filter_id int, width int")
     inside = summed.join(F.broadcast(widths), "filter_id")  # a row for each filter of the length
     low, high = F.greatest("lo", F.lit(1)), F.least(F.col("hi") - 1, F.col("width"))
-    told = inside.filter(low <= high).select("filter_id", F.explode(F.sequence(low, high)).alias("threshold"), (F.col("y") * F.col("w")).alias("yw")).groupBy("filter_id", "threshold").agg(F.sum("yw").alias("yw"))
+    told = inside.filter(low <= high).select("filter_id", F.explode(F.sequence(low, high)).alias("threshold"), "y", "w")
+    told = told.groupBy("filter_id", "threshold").agg(F.sum(F.col("y") * F.col("w")).alias("yw"), F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("wrong"))
     every = widths.select("filter_id", "width", F.explode(F.sequence(F.lit(1), "width")).alias("threshold"))
-    return every.join(told, ["filter_id", "threshold"], "left").select("filter_id", "threshold", "width", ((F.lit(base) + F.coalesce("yw", F.lit(0.0))) / F.lit(total)).alias("err"))
+    err = (F.lit(base) + F.coalesce("yw", F.lit(0.0))) / F.lit(total)
+    return every.join(told, ["filter_id", "threshold"], "left").select("filter_id", "threshold", "width", err.alias("err"), F.coalesce("wrong", F.lit(0.0)).alias("wrong"))
 
 
 def boost(probes: DataFrame, pairs: DataFrame, rounds: int = 64, u_value: int = 0, n_filters: int = 0) -> DataFrame:
@@ -152,7 +155,8 @@ def boost(probes: DataFrame, pairs: DataFrame, rounds: int = 64, u_value: int =
 
     A weight is a function of the chosen (filter, threshold) so far, so rounds
     share one static table and add a term to an expression; nothing is carried
-    from round to round but one row. ``u_value`` is what an unknown symbol counts
+    from round to round but one row, which also says how the sums of the weights
+    change, so a round is one job. ``u_value`` is what an unknown symbol counts
     (37 reproduces training on character codes). Ends early when filters run out.
     """
     spark = probes.sparkSession
@@ -160,14 +164,13 @@ def boost(probes: DataFrame, pairs: DataFrame, rounds: int = 64, u_value: int =
     plan = filter_plan(length)[: n_filters or None]
     static = materialize(collapsed_pairs(probes, pairs, length, u_value), "boost-pairs")
     log_weight, model, left = F.lit(0.0), [], list(plan)
+    count = F.col("c").cast("double")
+    total, base = static.agg(F.sum(count), F.sum(F.when(F.col("y") == -1, count).otherwise(0.0))).first()
     for number in range(1, rounds + 1):
-        if not left:
+        if not left or not total:
             break
-        weight = F.col("c") * F.exp(log_weight)
-        total, base = static.agg(F.sum(weight), F.sum(F.when(F.col("y") == -1, weight).otherwise(0.0))).first()
-        if not total:
-            break
-        best = round_errors(static, left, weight, base, total).orderBy(F.round("err", 12), "width", "threshold", "filter_id").first()
+        errors = round_errors(static, left, count * F.exp(log_weight), base, total)
+        best = errors.orderBy(F.round("err", 12), "width", "threshold", "filter_id").first()
         error = best.err if best.err > 0 else 1e-20
         confidence = math.log((1 - error) / error) if error < 1 else float("-inf")
         chosen = next(p for p in plan if p[0] == best.filter_id)
@@ -175,6 +178,7 @@ def boost(probes: DataFrame, pairs: DataFrame, rounds: int = 64, u_value: int =
         left = [p for p in left if p[0] != best.filter_id]
         wrong = (F.col("y") == 1) & (F.get("lo", F.lit(best.filter_id)) <= best.threshold) & (F.get("hi", F.lit(best.filter_id)) > best.threshold)
         log_weight = log_weight + F.when(wrong, F.lit(confidence)).otherwise(0.0) - F.lit(math.log(total))
+        total, base = 1 + (best.wrong * math.expm1(confidence) / total if best.wrong else 0.0), base / total
     return spark.createDataFrame(model, MODEL)
 
 

@@ -110,7 +110,104 @@ scored AS (SELECT row_id, label, filter_id, block,
   + (CASE WHEN kind = 1 THEN -1 ELSE 1 END) * len(replace(replace(substr(concatenated, start + block // 2 + 1, block // 2), '0', ''), 'U', '')) AS score FROM probes, masks)"""
 
 
-def _ext_fields() -> str:
+CAPTURED = """docs AS (SELECT doc_id AS i, coalesce(lang, 'none') || '-' || (doc_id // 500) AS name, sha256(coalesce(text, '')) AS sha, md5(coalesce(text, '')) AS md FROM documents),
+captured AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY i) - 1 AS packet, '02:' || regexp_replace(lower(lpad(to_hex(i), 10, '0')), '(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5') AS mac FROM docs)"""
+
+
+def _high_first(h: str) -> str:
+    """Bits of hex text, the most significant of each byte first."""
+    return f"array_to_string(list_transform(range(0, len({h}) // 2), lambda q: right('00000000' || bin(CAST('0x' || substr({h}, (2 * q + 1)::BIGINT, 2) AS BIGINT)), 8)), '')"
+
+
+def _ht_bits(h: str) -> str:
+    """The bits of an HT element in hex, the bytes of each group turned round; null if it is too short."""
+    from framewright.operators.decode import HT_GROUPS
+
+    parts, at = [], 0
+    for size, _ in HT_GROUPS:
+        parts += [f"substr({h}, {2 * (at + size - 1 - i) + 1}, 2)" for i in range(size)]
+        at += size
+    return f"CASE WHEN len({h}) >= {2 * at} THEN {_high_first('(' + ' || '.join(parts) + ')')} END"
+
+
+def _number(bits: str) -> str:
+    """Bit text of up to 62 digits as a whole number."""
+    return f"list_sum(list_transform(range(0, len({bits})), lambda i: CASE WHEN substr({bits}, (i + 1)::BIGINT, 1) = '1' THEN 1::BIGINT << (len({bits}) - 1 - i)::INTEGER ELSE 0 END))"
+
+
+def _ht_fields(bits: str = "bits") -> str:
+    from framewright.operators.decode import HT_GROUPS
+
+    out, at = [], 1
+    for name, width in (f for _, fields in HT_GROUPS for f in fields):
+        if width < 63:
+            value = f"({_number(f'substr({bits}, {at}, {width})')})::VARCHAR"
+        else:
+            value = f"(({_number(f'substr({bits}, {at}, {width - 32})')})::HUGEINT * 4294967296 + ({_number(f'substr({bits}, {at + width - 32}, 32)')})::HUGEINT)::VARCHAR"
+        out.append(f'CASE WHEN {bits} IS NOT NULL THEN {value} END AS "{name}"')
+        at += width
+    return ", ".join(out)
+
+
+def _binary_columns() -> str:
+    """The 30 columns of the binary table for the made captures."""
+    filled = {"ssid": ("ssid", 0, 32, "lower(hex(encode(md)))"), "supported_rates": ("sup_rates", 1, 4, "'02040b16'"), "dsss_parameter": ("dsss", 3, 1, "lpad(to_hex(i % 11 + 1), 2, '0')"),
+              "ht_cap": ("ht_cap", 45, 26, "substr(sha, 1, 52)"), "ext_cap": ("ext_cap", 127, 9, "substr(sha, 47, 18)"), "vst": ("vst", 221, 16, "sha || 'dd10' || md"), "ext_tags": ("ext_tags", 255, 7, "'23' || substr(md, 1, 12)")}
+    out = ["mac"]
+    for name, (suffix, kind, size, h) in filled.items():
+        out += [f"'{kind:08b}' AS e_id_{suffix}", f"'{size:08b}' AS len_{suffix}", f"{_high_first(f'({h})')} AS {name}"]
+    out += [f"'' AS {p}{s}" for s in ("ext_sup_rates", "vht_cap") for p in ("e_id_", "len_", "")]
+    return ", ".join([*out, f"{_high_first('substr(md, 25, 8)')} AS frame_check_seq"])
+
+
+def _boosted(length: int = 40) -> str:
+    """All rounds of boosting unrolled, until the filters run out: a table ``model``."""
+    rounds = 3 * (length // 8 + length // 16)
+    out = f"""WITH {PROBES}, {MASKS}, {FIRST_SUMS},
+pairs AS (SELECT row_number() OVER () AS pair, a.row_id AS item1, b.row_id AS item2, CASE WHEN a.label = b.label THEN 1 ELSE -1 END AS y FROM probes a JOIN probes b ON b.row_id BETWEEN a.row_id + 1 AND a.row_id + 3),
+scored2 AS MATERIALIZED (SELECT * FROM scored),
+sides AS MATERIALIZED (SELECT pair, y, s.filter_id, s.block AS width, least(s.score, z.score) AS lo, greatest(s.score, z.score) AS hi FROM pairs JOIN scored2 s ON s.row_id = item1 JOIN scored2 z ON z.row_id = item2 AND z.filter_id = s.filter_id),
+told AS MATERIALIZED (SELECT pair, y, filter_id, unnest(range(greatest(lo, 1), least(hi - 1, width) + 1)) AS threshold FROM sides WHERE lo < hi),
+every AS MATERIALIZED (SELECT filter_id, block AS width, unnest(range(1, block + 1)) AS threshold FROM masks),
+w_1 AS MATERIALIZED (SELECT pair, y, 1.0::DOUBLE AS w FROM pairs)"""
+    chosen = []
+    for r in range(1, rounds + 1):
+        chosen.append(f"best_{r}")
+        used = "".join(f" AND filter_id <> (SELECT filter_id FROM best_{k})" for k in range(1, r))
+        out += f""",
+err_{r} AS (SELECT filter_id, threshold, sum(t.y * w) AS yw FROM told t JOIN w_{r} USING (pair) GROUP BY filter_id, threshold),
+best_{r} AS MATERIALIZED (SELECT {r} AS round, filter_id, threshold, width, CASE WHEN e > 0 THEN e ELSE 1e-20 END AS e FROM (
+  SELECT filter_id, threshold, width, ((SELECT sum(w) FROM w_{r} WHERE y = -1) + coalesce(yw, 0)) / (SELECT sum(w) FROM w_{r}) AS e FROM every LEFT JOIN err_{r} USING (filter_id, threshold) WHERE true{used})
+  ORDER BY round(e, 12), width, threshold, filter_id LIMIT 1),
+w_{r + 1} AS MATERIALIZED (SELECT w.pair, w.y, w / (SELECT sum(w) FROM w_{r}) * CASE WHEN w.y = 1 AND t.pair IS NOT NULL THEN (SELECT (1 - e) / e FROM best_{r}) ELSE 1 END AS w
+  FROM w_{r} w LEFT JOIN (SELECT told.pair FROM told JOIN best_{r} USING (filter_id, threshold)) t USING (pair))"""
+    united = " UNION ALL ".join(f"SELECT * FROM {c}" for c in chosen)
+    return out + f""",
+model AS (SELECT round::INTEGER AS round, filter_id::INTEGER AS filter_id, Bitmask, start, block, threshold::INTEGER AS threshold, width::INTEGER AS width, e AS min_error, ln((1 - e) / e) AS confidence
+  FROM ({united}) JOIN masks USING (filter_id))"""
+
+
+def _dense(kept: str, eps: str, least: str) -> str:
+    """Density clusters of the parts' byte sums within combinations of their types: CTEs ``put`` and ``agree``."""
+    g = "comb, length, eps, least"
+    return f"""raw AS (SELECT p_partkey AS row_id, p_type AS label, ({_byte_sum("hex(encode(p_name))")})::DOUBLE AS x, ({_byte_sum("hex(encode(p_brand))")})::DOUBLE AS y FROM part),
+probes AS (SELECT row_id, label, (x - x0) / (x1 - x0) AS a, (y - y0) / (y1 - y0) AS b FROM raw, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM raw)),
+{COMBS},
+kept AS ({kept}),
+points AS (SELECT {g}, row_id, label, a, b FROM kept JOIN probes ON list_contains(members, label), (SELECT unnest({eps}) AS eps) e, (SELECT unnest({least}) AS least) m),
+spots AS (SELECT {g}, a, b, count(*) AS n, min(row_id) AS spot FROM points GROUP BY ALL),
+l AS (SELECT s.comb, s.length, s.eps, s.least, s.spot AS spot, o.spot AS other, o.n AS n2 FROM spots s JOIN spots o ON s.comb = o.comb AND s.eps = o.eps AND s.least = o.least AND abs(s.a - o.a) + abs(s.b - o.b) <= s.eps),
+core AS (SELECT {g}, spot FROM l GROUP BY ALL HAVING sum(n2) >= least),
+inner_ AS (SELECT l.comb, l.eps, l.least, l.spot, l.other FROM l JOIN core c ON c.comb = l.comb AND c.eps = l.eps AND c.least = l.least AND c.spot = l.spot JOIN core k ON k.comb = l.comb AND k.eps = l.eps AND k.least = l.least AND k.spot = l.other),
+reach AS (SELECT comb, eps, least, spot, spot AS other FROM core UNION SELECT r.comb, r.eps, r.least, r.spot, i.other FROM reach r JOIN inner_ i ON i.comb = r.comb AND i.eps = r.eps AND i.least = r.least AND i.spot = r.other),
+root AS (SELECT comb, eps, least, spot, min(other) AS root FROM reach GROUP BY ALL),
+border AS (SELECT l.comb, l.eps, l.least, l.spot, min(root) AS root FROM l JOIN root r ON r.comb = l.comb AND r.eps = l.eps AND r.least = l.least AND r.spot = l.other GROUP BY ALL),
+put AS (SELECT p.comb, p.length, p.eps, p.least, p.label, coalesce(r.root, d.root, -1) AS cluster FROM points p JOIN spots s ON s.comb = p.comb AND s.eps = p.eps AND s.least = p.least AND s.a = p.a AND s.b = p.b
+  LEFT JOIN root r ON r.comb = s.comb AND r.eps = s.eps AND r.least = s.least AND r.spot = s.spot LEFT JOIN border d ON d.comb = s.comb AND d.eps = s.eps AND d.least = s.least AND d.spot = s.spot),
+{_agree("put", g)}"""
+
+
+def _ext_fields(bits: str = "bits") -> str:
     from framewright.operators.decode import EXTENDED_CAPABILITIES
 
     where: dict[str, list[int]] = {}
@@ -118,8 +215,8 @@ def _ext_fields() -> str:
         where.setdefault(name, []).append(at)
     parts = []
     for name, at in list(where.items())[:72]:
-        bit = " || ".join(f"CASE WHEN len(bits) > {i} THEN substr(bits, {i + 1}, 1) ELSE '0' END" for i in at)
-        parts.append(f"CASE WHEN len(bits) > {at[0]} THEN {bit} END AS \"{name}\"")
+        bit = " || ".join(f"CASE WHEN len({bits}) > {i} THEN substr({bits}, {i + 1}, 1) ELSE '0' END" for i in at)
+        parts.append(f"CASE WHEN len({bits}) > {at[0]} THEN {bit} END AS \"{name}\"")
     return ", ".join(parts)
 
 
@@ -142,7 +239,7 @@ _VALUES = ("h", "c", "v", "ari", "v")
 
 ORACLE_SQL: dict[str, str] = {
     "device_distribution": f"WITH {PROBES} SELECT label, count(*) AS n_rows, count(DISTINCT concatenated) AS n_distinct FROM probes GROUP BY label",
-    "non_randomizing_labels": "SELECT user_id AS label FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = 1",
+    "non_randomizing_labels": "SELECT l_orderkey AS label FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1",
     "clean_filter": "SELECT event_id, event_type AS mac FROM events WHERE event_type IS DISTINCT FROM 'click'",
     "pad_concat": """SELECT p_partkey, rpad(coalesce(p_name, ''), a, 'U') || rpad(coalesce(p_brand, ''), b, 'U') || rpad(coalesce(p_type, ''), c, 'U') AS concatenated
 FROM part, (SELECT max(length(coalesce(p_name, 'nan')))::INTEGER AS a, max(length(coalesce(p_brand, 'nan')))::INTEGER AS b, max(length(coalesce(p_type, 'nan')))::INTEGER AS c FROM part)""",
@@ -193,17 +290,17 @@ SELECT round(sum(a), 8) AS auc FROM (SELECT (x - lag(x) OVER (ORDER BY k)) * (y
 FROM (SELECT item_id, h, h || 'f' AS hf, h || ';00' AS hj, h || '00' AS hs FROM (SELECT item_id, lower(hex(encode(text))) AS h FROM benchmark))""",
     "min_max_features": """SELECT p_partkey, round((p_size - a) / (b - a), 10) AS p_size, round((p_retailprice - c) / (e - c), 10) AS p_retailprice
 FROM part, (SELECT min(p_size)::DOUBLE AS a, max(p_size)::DOUBLE AS b, min(p_retailprice)::DOUBLE AS c, max(p_retailprice)::DOUBLE AS e FROM part)""",
-    "byte_sum_features": f"""WITH h AS (SELECT item_id, hex(encode(substr(text, 1, 20))) AS x, hex(encode(substr(text, 21, 30))) AS y FROM benchmark),
+    "byte_sum_features": f"""WITH h AS (SELECT item_id, hex(encode(substr(text, 1, len(text) // 2))) AS x, hex(encode(substr(text, len(text) // 2 + 1))) AS y FROM benchmark),
 s AS (SELECT item_id, ({_byte_sum('x')})::DOUBLE AS x, ({_byte_sum('y')})::DOUBLE AS y FROM h)
 SELECT item_id AS row_id, round((x - x0) / (x1 - x0), 10) AS a, round((y - y0) / (y1 - y0), 10) AS b FROM s, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM s)""",
-    "manhattan_pairs": """SELECT a.vec_id AS item1, b.vec_id AS item2, round(abs(a.embedding[1]::DOUBLE - b.embedding[1]::DOUBLE) + abs(a.embedding[2]::DOUBLE - b.embedding[2]::DOUBLE) + abs(a.embedding[3]::DOUBLE - b.embedding[3]::DOUBLE), 6) AS d
+    "manhattan_pairs": """SELECT a.vec_id AS item1, b.vec_id AS item2, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))), 6) AS d
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 3""",
     "groupby_cluster": f"WITH {PROBES} SELECT row_id, (dense_rank() OVER (ORDER BY concatenated) - 1)::INTEGER AS cluster FROM probes",
     "cluster_majority": f"""WITH {PROBES}, c AS (SELECT label, dense_rank() OVER (ORDER BY concatenated) - 1 AS cluster FROM probes)
 SELECT cluster::INTEGER AS cluster, label AS predicted FROM (SELECT cluster, label, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS r FROM (SELECT cluster, label, count(*) AS n FROM c GROUP BY 1, 2)) WHERE r = 1""",
     "dbscan_equality": f"WITH {EQUAL} SELECT row_id, cluster::INTEGER AS cluster FROM assigned",
-    "dbscan_manhattan": """WITH RECURSIVE p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON abs(a.x - b.x) + abs(a.y - b.y) <= 0.02),
+    "dbscan_manhattan": """WITH RECURSIVE p AS (SELECT vec_id, embedding AS x FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON list_sum(list_transform(range(1, 65), lambda i: abs(a.x[i]::DOUBLE - b.x[i]::DOUBLE))) <= 7.2),
 core AS (SELECT a FROM l GROUP BY a HAVING count(*) >= 4),
 e AS (SELECT l.a, l.b FROM l JOIN core c ON c.a = l.a JOIN core k ON k.a = l.b),
 reach AS (SELECT a, a AS b FROM core UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
@@ -236,8 +333,26 @@ t AS (SELECT s.filter_id, s.block AS width, y, s.score AS sa, z.score AS sb, unn
 SELECT filter_id::INTEGER AS filter_id, threshold::INTEGER AS threshold, width::INTEGER AS width,
 round(avg((CASE WHEN (sa > threshold) = (sb > threshold) THEN 1 ELSE -1 END <> y)::INTEGER), 10) AS err FROM t GROUP BY filter_id, threshold, width""",
     "combination_members": f"WITH {PROBES}, {COMBS} SELECT length::INTEGER AS length, count(*) AS n FROM combs JOIN probes ON list_contains(members, label) GROUP BY 1",
-    "ext_cap_bits": f"SELECT item_id, {_bits('h')} AS bits FROM (SELECT item_id, hex(encode(substr(text, 1, 10))) AS h FROM benchmark)",
+    "ext_cap_bits": f"SELECT item_id, {_bits('h')} AS bits FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark)",
     "ext_cap_fields": f"SELECT item_id, {_ext_fields()} FROM (SELECT item_id, {_bits('h')} AS bits FROM (SELECT item_id, hex(encode(substr(text, 1, 9))) AS h FROM benchmark))",
+    "ht_cap_fields": f"SELECT item_id, {_ht_fields()} FROM (SELECT item_id, {_ht_bits('h')} AS bits FROM (SELECT item_id, hex(encode(substr(text, 1, 26))) AS h FROM benchmark))",
+    "boost_model": f"{_boosted()} SELECT round, filter_id, Bitmask AS filter, threshold, width, round(min_error, 8) AS min_error, round(confidence, 6) AS confidence FROM model",
+    "model_text": f"""{_boosted()} SELECT '0[' || start || '] ' || translate(substr(Bitmask, start + 1, block), '1N', 'xo') || ' 0[' || (40 - start - block) || ']' AS best_filter_fancy, Bitmask AS best_filter,
+threshold AS best_threshold, CASE WHEN min_error < 1e-10 THEN '0' ELSE printf('%.2e', min_error) END AS min_error, CASE WHEN confidence > 40 THEN 'inf' ELSE printf('%.2f', confidence) END AS confidence FROM model""",
+    "sums_grid": f"""WITH RECURSIVE {_dense("SELECT * FROM combs WHERE length IN (SELECT length FROM (SELECT length, row_number() OVER (ORDER BY length) AS t FROM (SELECT DISTINCT length FROM combs)) WHERE t % 2 = 1)", "[1e-5, 1e-2]", "[2, 6]")}
+SELECT length::INTEGER AS length, eps::DOUBLE AS eps, least AS min_samples, count(*) AS n_combinations, round(avg(v), 8) AS v_measure FROM agree GROUP BY ALL""",
+    "sums_on_combinations": f"""WITH RECURSIVE {_dense("SELECT * FROM combs", "[1e-2]", "[2]")}
+SELECT length::INTEGER AS length, round(v, 8) AS v_measure, round(ari, 8) AS ari, round((SELECT avg((cluster = -1)::INTEGER) FROM put WHERE put.comb = agree.comb), 8) AS noise_ratio,
+(SELECT count(DISTINCT cluster) FROM put WHERE put.comb = agree.comb AND cluster <> -1) AS n_clusters FROM agree""",
+    "capture_hex": f"""WITH {CAPTURED} SELECT packet, (1000 + i) || '.' || lpad((i % 1000000)::VARCHAR, 6, '0') AS "Timestamp", mac AS "MAC Address", (i % 13 + 1)::VARCHAR AS "Channel", (i % 11 + 1)::VARCHAR AS "DS Channel",
+substr(sha, 1, 52) AS "HT Capabilities", substr(sha, 47, 18) AS "Extended Capabilities", sha || ';' || md AS "Vendor Specific Tags", md AS "SSID", '02040b16' AS "Supported Rates", '' AS "Extended Supported Rates",
+'' AS "VHT Capabilities", substr(md, 1, 12) AS "HE Capabilities", '183' AS "Length", name AS "Label" FROM captured""",
+    "capture_binary": f"WITH {CAPTURED} SELECT packet, {_binary_columns()}, name AS label FROM captured",
+    "capture_dissected": f"""WITH {CAPTURED}, shaped AS (SELECT *, {_ht_bits("upper(substr(sha, 1, 52))")} AS ht, {_bits("upper(substr(sha, 47, 18))")} AS ext FROM captured)
+SELECT packet, 1000 + i + (i % 1000000) / 1e6::DOUBLE AS "Timestamp", mac AS "MAC Address", (i % 13 + 1)::INTEGER AS "Channel", (i % 11 + 1)::INTEGER AS "DS Channel", (16 * i % 65536) / 16.0::DOUBLE AS "SN",
+sha AS "Vendor Specific Tags", md AS "SSID", NULL::VARCHAR AS "VHT Capabilities", '23' || substr(md, 1, 12) AS "HE Capabilities", 183 AS "Length", name AS "Label",
+1.0::DOUBLE AS "Supported Rates 1", 2.0::DOUBLE AS "Supported Rates 2", 5.5::DOUBLE AS "Supported Rates 3", 11.0::DOUBLE AS "Supported Rates 4", {", ".join(f'NULL::DOUBLE AS "Supported Rates {k}"' for k in range(5, 9))},
+{", ".join(f'NULL::DOUBLE AS "Extended Supported Rates {k}"' for k in range(1, 9))}, {_ht_fields("ht")}, {_ext_fields("ext")} FROM shaped""",
     "channels": """SELECT f::INTEGER AS freq, CASE WHEN f BETWEEN 2412 AND 2472 AND (f - 2412) % 5 = 0 THEN (1 + (f - 2412) // 5)::VARCHAR WHEN f = 2484 THEN '14' ELSE f::VARCHAR END AS channel,
 trunc((f - 2407) / 5)::INTEGER AS number FROM range(2400, 5200) r(f)""",
     "capture_types": "SELECT * FROM (VALUES (1, 'pcap'), (2, 'pcap'), (3, 'pcapng'), (4, NULL), (5, NULL)) v(id, type)",

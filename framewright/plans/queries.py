@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from framewright.functions import ascii_sum, bit_fingerprint, char_fingerprint, hamming, hamming_text, hex_to_binary, manhattan, u_to_zero, weighted_hamming
 from framewright.operators import cluster, decode, evaluate, prep, sampling, training
+from framewright.plans import captures
 from framewright.sources import pcap
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàâçèéêëîïôöüßñ"
+VECTOR_EPS = 7.2
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -32,9 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, label, concatenated, source."""
-    low = F.lower("text")
-    symbols = [F.when(F.length("text") < 200, "U").when(F.instr(low, c) > 0, "1").otherwise("0") for c in ALPHABET]
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("label"), F.concat(*symbols).alias("concatenated"), "source")
+
+    def symbols(low):
+        return F.concat(*(F.when(F.instr(low, c) > 0, "1").otherwise("0") for c in ALPHABET))
+
+    # the lambda binds the lower-cased text, so that it is made once and not for each letter
+    known = F.transform(F.array(F.lower("text")), symbols)[0]
+    text = F.when(F.length("text") < 200, "U" * len(ALPHABET)).otherwise(known)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("label"), text.alias("concatenated"), "source")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +67,7 @@ def device_distribution(spark, d):
 
 @query
 def non_randomizing_labels(spark, d):
-    return prep.non_randomizing(table(spark, d, "events").select(F.col("user_id").alias("label"), F.col("event_type").alias("mac")))
+    return prep.non_randomizing(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("label"), F.col("l_returnflag").alias("mac")))
 
 
 @query
@@ -263,16 +270,20 @@ def min_max_features(spark, d):
 
 @query
 def byte_sum_features(spark, d):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.lit("x").alias("Label"), F.hex(F.encode(F.substring("text", 1, 20), "UTF-8")).alias("a"), F.hex(F.encode(F.substring("text", 21, 30), "UTF-8")).alias("b"))
+    """Both halves of every text as features."""
+    half = F.expr("length(text) div 2").cast("int")
+    rest = F.substring(F.col("text"), half + 1, F.length("text"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.lit("x").alias("Label"), F.hex(F.encode(F.substring(F.col("text"), F.lit(1), half), "UTF-8")).alias("a"), F.hex(F.encode(rest, "UTF-8")).alias("b"))
     return evaluate.byte_sum_features(b, ["a", "b"]).select("row_id", F.round("a", 10).alias("a"), F.round("b", 10).alias("b"))
 
 
 @query
 def manhattan_pairs(spark, d):
-    v = vectors(spark, d).select("row_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(3)))
+    """Each vector and the third after it, over all dimensions."""
+    v = vectors(spark, d).select("row_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(64)))
     pairs = v.select(F.col("row_id").alias("item1"), (F.col("row_id") + 3).alias("item2"))
-    met = evaluate.pair_texts(pairs, v, ["x0", "x1", "x2"])
-    return met.select("item1", "item2", F.round(manhattan([(F.col(f"x{i} 1"), F.col(f"x{i} 2")) for i in range(3)]), 6).alias("d"))
+    met = evaluate.pair_texts(pairs, v, [f"x{i}" for i in range(64)])
+    return met.select("item1", "item2", F.round(manhattan([(F.col(f"x{i} 1"), F.col(f"x{i} 2")) for i in range(64)]), 6).alias("d"))
 
 
 @query
@@ -292,8 +303,35 @@ def dbscan_equality(spark, d):
 
 @query
 def dbscan_manhattan(spark, d):
-    v = vectors(spark, d).select("row_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(2)))
-    return cluster.dbscan(v, ["x0", "x1"], 0.02, 4).select("row_id", "cluster")
+    """Density clusters of all vectors over all dimensions."""
+    v = vectors(spark, d).select("row_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(64)))
+    return cluster.dbscan(v, [f"x{i}" for i in range(64)], VECTOR_EPS, 4).select("row_id", "cluster")
+
+
+def sums(spark, d):
+    """Scaled byte sums of parts, the numeric features of the density grid: row_id, label, a, b."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_type").alias("Label"), F.hex(F.encode("p_name", "UTF-8")).alias("a"), F.hex(F.encode("p_brand", "UTF-8")).alias("b"))
+    return evaluate.byte_sum_features(p, ["a", "b"]).withColumnRenamed("Label", "label")
+
+
+def _sum_labels(spark, d):
+    return [r[0] for r in sums(spark, d).select("label").distinct().collect()]
+
+
+@query
+def sums_grid(spark, d):
+    """The density grid over byte sums: every other length of the combinations of part types."""
+    combs = cluster.every_other_length(sampling.combinations(spark, _sum_labels(spark, d)))
+    m = cluster.grid_metrics(sums(spark, d), ["a", "b"], combs, density=True)
+    return m.select("length", "eps", "min_samples", "n_combinations", F.round("v_measure", 8).alias("v_measure"))
+
+
+@query
+def sums_on_combinations(spark, d):
+    """Density clusters within every combination of part types, and what they are worth."""
+    combs = sampling.combinations(spark, _sum_labels(spark, d))
+    m = cluster.test_combinations(sums(spark, d), ["a", "b"], combs, 2, eps=1e-2)
+    return m.select("length", *(F.round(c, 8).alias(c) for c in ("v_measure", "ari", "noise_ratio")), "n_clusters")
 
 
 def _assigned(spark, d):
@@ -362,9 +400,14 @@ def boost_round1(spark, d):
     return errors.select("filter_id", "threshold", "width", F.round("err", 10).alias("err"))
 
 
+def _model(spark, d):
+    return training.boost(probes(spark, d), _hash_pairs(spark, d))
+
+
 @query
 def boost_model(spark, d):
-    return training.boost(probes(spark, d), _hash_pairs(spark, d), rounds=6)
+    """Boosting until the filters run out."""
+    return _model(spark, d).select("round", "filter_id", "filter", "threshold", "width", F.round("min_error", 8).alias("min_error"), F.round("confidence", 6).alias("confidence"))
 
 
 @query
@@ -375,7 +418,7 @@ def combination_members(spark, d):
 
 @query
 def ext_cap_bits(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.hex(F.encode(F.substring("text", 1, 10), "UTF-8")).alias("h"))
+    b = table(spark, d, "benchmark").select("item_id", F.hex(F.encode("text", "UTF-8")).alias("h"))
     return b.select("item_id", hex_to_binary(F.col("h")).alias("bits"))
 
 
@@ -409,8 +452,23 @@ def probe_count_window(spark, d):
 
 @query
 def model_text(spark, d):
-    rows = [(1, 0, "00NN1100", 2, 4, 0.125, 1.9459), (2, 1, "11110000", 1, 4, 1e-20, 46.0517)]
-    return training.model_text(spark.createDataFrame(rows, training.MODEL))
+    """The boosted model as exported."""
+    return training.model_text(_model(spark, d))
+
+
+@query
+def capture_hex(spark, d):
+    return decode.hex_table(captures.probes(table(spark, d, "documents"))).drop("path")
+
+
+@query
+def capture_binary(spark, d):
+    return decode.binary_table(captures.probes(table(spark, d, "documents"))).drop("path")
+
+
+@query
+def capture_dissected(spark, d):
+    return decode.dissected_table(captures.probes(table(spark, d, "documents"))).drop("path")
 
 
 @query

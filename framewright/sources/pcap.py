@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 PCAP_MAGIC = {b"\xa1\xb2\xc3\xd4": (">", 6), b"\xd4\xc3\xb2\xa1": ("<", 6), b"\xa1\xb2\x3c\x4d": (">", 9), b"\x4d\x3c\xb2\xa1": ("<", 9)}
 PCAPNG_MAGIC = b"\x0a\x0d\x0d\x0a"
 RADIOTAP, PLAIN = 127, 105
+CUT = -1  # in place of a link type: the record is cut off
 #: Alignment and size of the radiotap fields up to the channel.
 RADIOTAP_FIELDS = ((8, 8), (1, 1), (1, 1), (2, 4))
 
@@ -34,7 +35,10 @@ def file_type(content: Column) -> Column:
 
 
 def records(data: bytes) -> Iterator[tuple[int, Decimal, bytes]]:
-    """(link type, seconds, frame) of every record; a record that is cut off ends the file."""
+    """(link type, seconds, frame) of every record.
+
+    A record that is cut off ends the file: it comes as link type ``CUT`` with what there is of it.
+    """
     if data[:4] in PCAP_MAGIC:
         order, digits = PCAP_MAGIC[data[:4]]
         (link,) = struct.unpack_from(order + "I", data, 20)
@@ -42,6 +46,7 @@ def records(data: bytes) -> Iterator[tuple[int, Decimal, bytes]]:
         while at + 16 <= len(data):
             seconds, part, size, _ = struct.unpack_from(order + "IIII", data, at)
             if at + 16 + size > len(data):
+                yield CUT, Decimal(seconds) + Decimal(part).scaleb(-digits), data[at + 16 :]
                 return
             yield link & 0xFFFF, Decimal(seconds) + Decimal(part).scaleb(-digits), data[at + 16 : at + 16 + size]
             at += 16 + size
@@ -57,6 +62,7 @@ def _pcapng(data: bytes) -> Iterator[tuple[int, Decimal, bytes]]:
             interfaces = []
         kind, size = struct.unpack_from(order + "II", data, at)
         if size < 12 or at + size > len(data):
+            yield CUT, Decimal(0), data[at:]
             return
         body = data[at + 8 : at + size - 4]
         if kind == 1:
@@ -66,6 +72,13 @@ def _pcapng(data: bytes) -> Iterator[tuple[int, Decimal, bytes]]:
             number, high, low, caught, _ = struct.unpack_from(order + "IIIII", body)
             link, unit = interfaces[number] if number < len(interfaces) else (0, Decimal("0.000001"))
             yield link, Decimal((high << 32) | low) * unit, body[20 : 20 + caught]
+        elif kind == 3 and len(body) >= 4:  # simple packet: first interface, no time
+            (original,) = struct.unpack_from(order + "I", body)
+            yield interfaces[0][0] if interfaces else 0, Decimal(0), body[4 : 4 + original]
+        elif kind == 2 and len(body) >= 20:  # obsolete packet block
+            number, _, high, low, caught, _ = struct.unpack_from(order + "HHIIII", body)
+            link, unit = interfaces[number] if number < len(interfaces) else (0, Decimal("0.000001"))
+            yield link, Decimal((high << 32) | low) * unit, body[20 : 20 + caught]
         at += size
 
 
@@ -105,6 +118,8 @@ def dissect(link: int, frame: bytes) -> dict:
     if link == RADIOTAP:
         (start,) = struct.unpack_from("<H", frame, 2)
         out["radiotap_len"], out["freq"] = start, radiotap_channel(frame)
+    elif link == CUT:
+        raise ValueError("record cut off")
     elif link != PLAIN:
         raise ValueError(f"link type {link}")
     body = frame[start:]
@@ -156,7 +171,11 @@ def read_packets(spark: SparkSession, folder: str, dataset: str = "", glob: str
     dissected have a reason in ``bad``.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
-    files = (reader.option("recursiveFileLookup", "true") if recursive else reader).load(folder)
+    return packets_of((reader.option("recursiveFileLookup", "true") if recursive else reader).load(folder), dataset)
+
+
+def packets_of(files: DataFrame, dataset: str = "") -> DataFrame:
+    """The same from a table of captures (path, content)."""
     packets = files.select("path", "content").mapInArrow(_read, PACKETS)
     label = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return packets.select(F.lit(dataset).alias("dataset"), F.url_decode(label).alias("label"), "*")
