@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from framewright.functions.bits import ascii_sum
 from framewright.functions.distances import manhattan
+from framewright.operators.number import running
+from framewright.runtime import materialize
+
+FEW = 1_000_000  # rows of a few numbers that one task may order
 
 
 def pair_texts(pairs: DataFrame, probes: DataFrame, columns: Sequence[str], id_col: str = "row_id") -> DataFrame:
@@ -19,6 +23,11 @@ def pair_texts(pairs: DataFrame, probes: DataFrame, columns: Sequence[str], id_c
     return pairs
 
 
+def items_of(pairs: DataFrame) -> DataFrame:
+    """item: the distinct items of both sides."""
+    return pairs.select(F.col("item1").alias("item")).union(pairs.select("item2")).distinct()
+
+
 def once_per_text(df: DataFrame, text: str, name: str, value) -> DataFrame:
     """``name`` for every row, computed once for each distinct text."""
     done = df.select(text).distinct().withColumn(name, value)
@@ -62,22 +71,31 @@ def pair_manhattan(pairs: DataFrame, hex_table: DataFrame, columns: Sequence[str
     return met.withColumn("d", manhattan([(F.col(f"{c} 1"), F.col(f"{c} 2")) for c in columns]))
 
 
-def roc(df: DataFrame, d: str = "d", y: str = "equality", groups: Sequence[str] = (), drop_intermediate: bool = True) -> DataFrame:
+def roc(df: DataFrame, d: str = "d", y: str = "equality", groups: Sequence[str] = (), drop_intermediate: bool = True, few: int = FEW) -> DataFrame:
     """groups, d, tp, fp, fpr, tpr, tau: the curve of -d against y = 1, without its start at (0, 0).
 
     Points whose step equals the step after it are dropped, as the usual curve
-    does. With one class only the curve is empty. Rows reaching the window are
-    distinct distances.
+    does. With one class only the curve is empty. A curve of more than ``few``
+    distinct distances is added up in ranges, so it need not fit one task; a
+    curve for each of several groups is a task each.
     """
-    counted = df.filter(F.col(d).isNotNull()).groupBy(*groups, F.col(d).alias("d")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("q"))
-    by = Window.partitionBy(*groups)
-    order = by.orderBy("d")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    points = counted.withColumns({"tp": F.sum("p").over(run), "fp": F.sum("q").over(run), "all_p": F.sum("p").over(by), "all_q": F.sum("q").over(by)}).filter("all_p > 0 and all_q > 0")
+    some = lambda c, name: F.sum(F.when(c, 1).otherwise(0)).alias(name)
+    counted = df.filter(F.col(d).isNotNull()).groupBy(*groups, F.col(d).alias("d")).agg(some(F.col(y) == 1, "p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("q"))
+    counted = materialize(counted, "roc")
+    if groups or counted.count() <= few:
+        by = Window.partitionBy(*groups)
+        order = by.orderBy("d")
+        run = order.rowsBetween(Window.unboundedPreceding, 0)
+        points = counted.withColumns({"tp": F.sum("p").over(run), "fp": F.sum("q").over(run), "all_p": F.sum("p").over(by), "all_q": F.sum("q").over(by)})
+        points = points.withColumns({"first": F.lag("d").over(order).isNull(), "p2": F.lead("p").over(order), "q2": F.lead("q").over(order)})
+    else:
+        points = materialize(running(counted, ["d"], {"tp": "p", "fp": "q"}, "at"), "roc-points")
+        after = points.select((F.col("at") - 1).alias("at"), F.col("p").alias("p2"), F.col("q").alias("q2"))
+        total = counted.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q")).first()
+        points = points.join(after, "at", "left").withColumns({"first": F.col("at") == 0, "all_p": F.lit(total.all_p), "all_q": F.lit(total.all_q)})
+    points = points.filter("all_p > 0 and all_q > 0")
     if drop_intermediate:
-        first, last = F.lag("d").over(order).isNull(), F.lead("d").over(order).isNull()
-        turns = (F.col("p") != F.lead("p").over(order)) | (F.col("q") != F.lead("q").over(order))
-        points = points.withColumn("__keep", first | last | turns).filter("__keep")
+        points = points.filter(F.col("first") | F.col("p2").isNull() | (F.col("p") != F.col("p2")) | (F.col("q") != F.col("q2")))
     return points.select(*groups, "d", "tp", "fp", (F.col("fp") / F.col("all_q")).alias("fpr"), (F.col("tp") / F.col("all_p")).alias("tpr"), F.col("d").cast("double").alias("tau"))
 
 
@@ -121,5 +139,8 @@ def auc_interpolated(curve: DataFrame, points: int = 100, groups: Sequence[str]
 
 
 def series_summary(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
-    """count, mean, sample deviation and quartiles of a series, for lines with bands and for boxes."""
+    """count, mean, sample deviation and quartiles of a series, for lines with bands and for boxes.
+
+    A series has a value for each combination and cycle, thousands at most, so its quartiles are exact.
+    """
     return df.groupBy(*groups).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"), F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.75).alias("q3"))

@@ -8,6 +8,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.number import numbered
+from framewright.runtime import materialize
+
 
 def order_key(seed: int, *parts: Column | str) -> Column:
     """Text that orders rows at random but always alike."""
@@ -19,27 +22,31 @@ def ratio_sample(rows: DataFrame, draws: DataFrame, seed: int = 42) -> DataFrame
     """draw, label, row_id, pos: ``n`` rows of a label for each draw, in the ratio of its values.
 
     ``rows`` has row_id, label, value; ``draws`` has draw, label, n. Largest
-    remainders settle rounding (ties by value). A value gives its first rows in
-    hashed order, or, where it has too few, hashed choices with repetition.
-    ``pos`` numbers the rows of a draw from 1 in hashed order.
+    remainders settle rounding (ties by value). The rows are put in one order
+    (label, value, hash of the id) once; a draw takes as many rows of a value as
+    it needs from there on where its own hash points, round to the first, or,
+    where the value has too few, hashed choices with repetition. So the picks,
+    whose number the draws set, meet rows by position, whatever the share of a
+    value. ``pos`` numbers the rows of a draw from 1 in hashed order.
     """
     rows = rows.withColumn("value", F.coalesce("value", F.lit("∅")))
-    counts = rows.groupBy("label", "value").agg(F.count(F.lit(1)).alias("m"))
-    totals = rows.groupBy("label").agg(F.count(F.lit(1)).alias("total"))
+    placed = materialize(numbered(rows, ["label", "value", order_key(seed, "row_id"), "row_id"], "at"), "sample-order")
+    counts = placed.groupBy("label", "value").agg(F.count(F.lit(1)).alias("m"), F.min("at").alias("first"))
+    counts = materialize(counts, "sample-counts")
+    totals = counts.groupBy("label").agg(F.sum("m").alias("total"))
     share = draws.join(totals, "label").join(counts, "label")
     exact = F.col("m") * F.col("n")
     share = share.withColumns({"k": F.floor(exact / F.col("total")).cast("long"), "left": exact % F.col("total")})
     per_draw = Window.partitionBy("draw", "label")
     share = share.withColumn("missing", F.col("n") - F.sum("k").over(per_draw))
     rank = F.row_number().over(per_draw.orderBy(F.desc("left"), "value"))
-    share = share.withColumn("k", F.col("k") + F.when(rank <= F.col("missing"), 1).otherwise(0)).filter("k > 0").select("draw", "label", "value", "m", "k")
-    joined = rows.join(share, ["label", "value"])
-    within = Window.partitionBy("draw", "label", "value").orderBy(order_key(seed, "draw", "row_id"), "row_id")
-    ranked = joined.withColumn("rn", F.row_number().over(within))
-    few = share.filter("k > m").select("draw", "label", "value", "m", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy"))
-    pick = F.conv(F.substring(order_key(seed, "draw", "label", "value", "copy"), 1, 8), 16, 10).cast("long") % F.col("m") + 1
-    repeated = few.select("draw", "label", "value", "copy", pick.alias("rn")).join(ranked.select("draw", "label", "value", "rn", "row_id"), ["draw", "label", "value", "rn"])
-    chosen = ranked.filter("k <= m and rn <= k").select("draw", "label", "row_id", F.lit(0).cast("long").alias("copy")).unionByName(repeated.select("draw", "label", "row_id", F.col("copy").cast("long").alias("copy")))
+    share = share.withColumn("k", F.col("k") + F.when(rank <= F.col("missing"), 1).otherwise(0)).filter("k > 0")
+    hashed = lambda *parts: F.conv(F.substring(order_key(seed, *parts), 1, 8), 16, 10).cast("long")
+    picks = share.select("draw", "label", "value", "m", "first", "k", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("i"))
+    turn = F.when(F.col("k") <= F.col("m"), hashed("draw", "label", "value") + F.col("i")).otherwise(hashed("draw", "label", "value", "i"))
+    copy = F.when(F.col("k") <= F.col("m"), 0).otherwise(F.col("i")).cast("long")
+    picks = picks.select("draw", (F.col("first") + turn % F.col("m")).alias("at"), copy.alias("copy"))
+    chosen = picks.join(placed.select("at", "label", "row_id"), "at").select("draw", "label", "row_id", "copy")
     pos = F.row_number().over(Window.partitionBy("draw", "label").orderBy(order_key(seed, "draw", "row_id", "copy"), "row_id", "copy"))
     return chosen.withColumn("pos", pos)
 

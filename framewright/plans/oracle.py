@@ -50,12 +50,12 @@ totals AS (SELECT label, count(*) AS total FROM probes GROUP BY ALL),
 share AS (SELECT draw, label, value, m, (m * n) // total AS k0, (m * n) % total AS remainder, n FROM draws JOIN totals USING (label) JOIN counts USING (label)),
 ranked AS (SELECT *, n - sum(k0) OVER (PARTITION BY draw, label) AS missing, row_number() OVER (PARTITION BY draw, label ORDER BY remainder DESC, value) AS r FROM share),
 alloc AS (SELECT draw, label, value, m, k0 + CASE WHEN r <= missing THEN 1 ELSE 0 END AS k FROM ranked),
-numbered AS (SELECT draw, a.label, value, row_id, m, k, row_number() OVER (PARTITION BY draw, a.label, value ORDER BY md5('42:' || draw || ':' || row_id), row_id) AS rn
-  FROM alloc a JOIN probes p ON p.label = a.label AND p.concatenated = a.value WHERE k > 0),
-repeats AS (SELECT draw, label, value, copy, CAST('0x' || substr(md5('42:' || draw || ':' || label || ':' || value || ':' || copy), 1, 8) AS BIGINT) % m + 1 AS rn
-  FROM (SELECT draw, label, value, m, unnest(range(1, k + 1)) AS copy FROM alloc WHERE k > m)),
-picked AS (SELECT draw, label, row_id, 0 AS copy FROM numbered WHERE k <= m AND rn <= k
-  UNION ALL SELECT r.draw, r.label, n.row_id, r.copy FROM repeats r JOIN numbered n USING (draw, label, value, rn)),
+numbered AS (SELECT label, concatenated AS value, row_id, row_number() OVER (PARTITION BY label, concatenated ORDER BY md5('42:' || row_id), row_id) - 1 AS rn FROM probes),
+picks AS (SELECT draw, label, value, m, k, unnest(range(1, k + 1)) AS i FROM alloc WHERE k > 0),
+turns AS (SELECT draw, label, value, CASE WHEN k <= m THEN 0 ELSE i END AS copy,
+  CASE WHEN k <= m THEN CAST('0x' || substr(md5('42:' || draw || ':' || label || ':' || value), 1, 8) AS BIGINT) + i
+  ELSE CAST('0x' || substr(md5('42:' || draw || ':' || label || ':' || value || ':' || i), 1, 8) AS BIGINT) END % m AS rn FROM picks),
+picked AS (SELECT draw, label, row_id, copy FROM turns JOIN numbered USING (label, value, rn)),
 chosen AS (SELECT draw, label, row_id, row_number() OVER (PARTITION BY draw, label ORDER BY md5('42:' || draw || ':' || row_id || ':' || copy), row_id, copy) AS pos FROM picked)"""
 
 
@@ -353,6 +353,28 @@ SELECT packet, 1000 + i + (i % 1000000) / 1e6::DOUBLE AS "Timestamp", mac AS "MA
 sha AS "Vendor Specific Tags", md AS "SSID", NULL::VARCHAR AS "VHT Capabilities", '23' || substr(md, 1, 12) AS "HE Capabilities", 183 AS "Length", name AS "Label",
 1.0::DOUBLE AS "Supported Rates 1", 2.0::DOUBLE AS "Supported Rates 2", 5.5::DOUBLE AS "Supported Rates 3", 11.0::DOUBLE AS "Supported Rates 4", {", ".join(f'NULL::DOUBLE AS "Supported Rates {k}"' for k in range(5, 9))},
 {", ".join(f'NULL::DOUBLE AS "Extended Supported Rates {k}"' for k in range(1, 9))}, {_ht_fields("ht")}, {_ext_fields("ext")} FROM shaped""",
+    "roc_real": """WITH near AS (SELECT list_sum(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS x, CASE WHEN a.label = b.label THEN 1 ELSE -1 END AS equality
+  FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 7),
+bins AS (SELECT round(x, 6) AS d, count(*) FILTER (equality = 1) AS p, count(*) FILTER (equality <> 1) AS q FROM near GROUP BY 1),
+cum AS (SELECT d, p, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER () AS np, sum(q) OVER () AS nq, lag(d) OVER w AS before, lead(d) OVER w AS after, lead(p) OVER w AS p2, lead(q) OVER w AS q2 FROM bins WINDOW w AS (ORDER BY d))
+SELECT d, tp::BIGINT AS tp, fp::BIGINT AS fp, round(fp / nq, 10) AS fpr, round(tp / np, 10) AS tpr FROM cum WHERE before IS NULL OR after IS NULL OR p <> p2 OR q <> q2""",
+    "roc_one_class": f"WITH {SIGNS} SELECT count(*) AS pairs, 0::BIGINT AS points FROM dist WHERE equality = 1",
+    "sums_pair_distance": f"""WITH raw AS (SELECT p_partkey AS i, ({_byte_sum("hex(encode(p_name))")})::DOUBLE AS x, ({_byte_sum("hex(encode(p_brand))")})::DOUBLE AS y FROM part),
+met AS (SELECT a.i AS item1, b.i AS item2, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM raw a JOIN raw b ON b.i BETWEEN a.i + 1 AND a.i + 3),
+e AS (SELECT min(x1) AS a1, max(x1) AS b1, min(y1) AS c1, max(y1) AS d1, min(x2) AS a2, max(x2) AS b2, min(y2) AS c2, max(y2) AS d2 FROM met)
+SELECT item1, item2, round(abs((x1 - a1) / (b1 - a1) - (x2 - a2) / (b2 - a2)) + abs((y1 - c1) / (d1 - c1) - (y2 - c2) / (d2 - c2)), 9) AS apart,
+round(abs(x1 - x2) / (greatest(b1, b2) - least(a1, a2)) + abs(y1 - y2) / (greatest(d1, d2) - least(c1, c2)), 9) AS together FROM met, e""",
+    "role_rows": """SELECT role, count(*) AS n FROM documents JOIN (SELECT source, CASE WHEN (position - 6 + n) % n < 6 THEN 'test' WHEN (position - 6 + n) % n < 12 THEN 'val' ELSE 'train' END AS role
+FROM (SELECT source, row_number() OVER (ORDER BY source) - 1 AS position, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents))) USING (source) GROUP BY role""",
+    "positions_view": f"""WITH {SUITABLE}, o AS (SELECT pos, u, row_number() OVER (ORDER BY u DESC, pos) AS r FROM suit),
+t AS (SELECT greatest(0.0, 1 - 0.001 * ceil(round((1 - u) / 0.001, 9))) AS threshold FROM o WHERE r = 8) SELECT pos::INTEGER AS "Index" FROM o, t WHERE u >= threshold""",
+    "auc_by_method": f"""WITH {CURVE} SELECT 'signs' AS method, (SELECT round(sum(area), 8) FROM (SELECT (fpr - lag(fpr) OVER w) * (tpr + lag(tpr) OVER w) / 2 AS area FROM curve WINDOW w AS (ORDER BY fpr, tpr))) AS auc""",
+    "unique_items": "SELECT DISTINCT item FROM (SELECT vec_id AS item FROM embeddings WHERE vec_id + 3 IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id FROM embeddings WHERE vec_id - 3 IN (SELECT vec_id FROM embeddings))",
+    "fingerprint_halves": f"""WITH {PROBES}, f AS (SELECT row_id, replace(concatenated, 'U', '0') AS fp FROM probes)
+SELECT row_id, (SELECT sum(CASE WHEN substr(fp, i, 1) = '1' THEN 1 << (20 - i) ELSE 0 END) FROM range(1, 21) r(i))::DOUBLE AS x, (SELECT sum(CASE WHEN substr(fp, 20 + i, 1) = '1' THEN 1 << (20 - i) ELSE 0 END) FROM range(1, 21) r(i))::DOUBLE AS y FROM f""",
+    "read_model": f"""{_boosted()} SELECT Bitmask AS best_filter, threshold, CASE WHEN confidence > 40 THEN 1e6 ELSE printf('%.2f', confidence)::DOUBLE END AS confidence FROM model""",
+    "concatenated_probes": f"""WITH {CAPTURED} SELECT name AS label, packet, lpad({_high_first("lpad(to_hex(i % 11 + 1), 2, '0')")}, 8, '0') || '00011010' || {_high_first("substr(sha, 1, 52)")} || '00001001' || {_high_first("substr(sha, 47, 18)")}
+|| '00010000' || rpad({_high_first("(sha || 'dd10' || md)")}, 1336, 'U') AS concatenated FROM captured""",
     "channels": """SELECT f::INTEGER AS freq, CASE WHEN f BETWEEN 2412 AND 2472 AND (f - 2412) % 5 = 0 THEN (1 + (f - 2412) // 5)::VARCHAR WHEN f = 2484 THEN '14' ELSE f::VARCHAR END AS channel,
 trunc((f - 2407) / 5)::INTEGER AS number FROM range(2400, 5200) r(f)""",
     "capture_types": "SELECT * FROM (VALUES (1, 'pcap'), (2, 'pcap'), (3, 'pcapng'), (4, NULL), (5, NULL)) v(id, type)",

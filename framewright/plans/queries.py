@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import ascii_sum, bit_fingerprint, char_fingerprint, hamming, hamming_text, hex_to_binary, manhattan, u_to_zero, weighted_hamming
 from framewright.operators import cluster, decode, evaluate, prep, sampling, training
-from framewright.plans import captures
+from framewright.plans import captures, workflow
 from framewright.sources import pcap
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàâçèéêëîïôöüßñ"
@@ -255,6 +255,83 @@ def auc_interpolated(spark, d):
     return evaluate.auc_interpolated(_curve(spark, d)).select(F.round("auc", 8).alias("auc"))
 
 
+@query
+def roc_real(spark, d):
+    """The curve of real-valued distances, added up in ranges."""
+    v = vectors(spark, d)
+    a = v.select(F.col("label").alias("l1"), F.col("embedding").alias("x1"), F.explode(F.sequence(F.col("row_id") + 1, F.col("row_id") + 7)).alias("item2"))
+    b = v.select(F.col("row_id").alias("item2"), F.col("label").alias("l2"), F.col("embedding").alias("x2"))
+    apart = F.aggregate(F.zip_with("x1", "x2", lambda p, q: F.abs(p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    met = a.join(b, "item2").select(F.round(apart, 6).alias("d"), F.when(F.col("l1") == F.col("l2"), 1).otherwise(-1).alias("equality"))
+    return evaluate.roc(met, few=0).select("d", "tp", "fp", F.round("fpr", 10).alias("fpr"), F.round("tpr", 10).alias("tpr"))
+
+
+@query
+def roc_one_class(spark, d):
+    """Pairs of one class only have no curve: their number, and that of its points."""
+    pairs = hamming_pairs(spark, d).filter("equality = 1")
+    points = evaluate.roc(pairs).agg(F.count(F.lit(1)).alias("points"))
+    return pairs.agg(F.count(F.lit(1)).alias("pairs")).crossJoin(points)  # one row each
+
+
+@query
+def sums_pair_distance(spark, d):
+    """Distances of byte sums, the sides of the pairs scaled apart and together."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.hex(F.encode("p_name", "UTF-8")).alias("a"), F.hex(F.encode("p_brand", "UTF-8")).alias("b"))
+    pairs = p.select(F.col("row_id").alias("item1"), F.explode(F.sequence(F.col("row_id") + 1, F.col("row_id") + 3)).alias("item2"))
+    apart, together = (evaluate.pair_manhattan(pairs, p, ["a", "b"], joint=j).select("item1", "item2", F.round("d", 9).alias(n)) for j, n in ((False, "apart"), (True, "together")))
+    return apart.join(together, ["item1", "item2"])
+
+
+@query
+def role_rows(spark, d):
+    """Rows of the labels of each role."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    roles = sampling.rotated_split(docs, 1, 6, 6, 6, label="source").withColumnRenamed("source", "label")
+    parts = [workflow.of_role(docs, roles, r, "source").select(F.lit(r).alias("role")) for r in ("train", "val", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def positions_view(spark, d):
+    """All positions that pass the threshold for eight bits."""
+    return training.training_view(probes(spark, d), 8)[2]
+
+
+@query
+def auc_by_method(spark, d):
+    """Areas of several curves in one table."""
+    found = workflow.compare_auc({"signs": _curve(spark, d)})
+    return found.select("method", F.round("auc", 8).alias("auc"))
+
+
+@query
+def unique_items(spark, d):
+    """The distinct items of both sides of pairs."""
+    v = vectors(spark, d).select("row_id")
+    pairs = v.select(F.col("row_id").alias("item1"), (F.col("row_id") + 3).alias("item2")).join(v.select(F.col("row_id").alias("item2")), "item2")
+    return evaluate.items_of(pairs).select(F.col("item"))
+
+
+@query
+def fingerprint_halves(spark, d):
+    """The two halves of the fingerprints as numbers, unmoved."""
+    return cluster.projection(prep.zero_twin(probes(spark, d)), "concatenated", 40, jitter=0.0).select("row_id", "x", "y")
+
+
+@query
+def read_model(spark, d):
+    """The exported model read back as numbers."""
+    return training.read_model(training.model_text(_model(spark, d))).select("best_filter", "threshold", "confidence")
+
+
+@query
+def concatenated_probes(spark, d):
+    """The concatenated text of every captured probe."""
+    binary = decode.binary_table(captures.probes(table(spark, d, "documents")))
+    return prep.concatenate(binary, key=("packet",))
+
+
 @query
 def ascii_sums(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.lower(F.hex(F.encode("text", "UTF-8"))).alias("h"))

@@ -42,6 +42,21 @@ def parse_captures(spark: SparkSession, datasets: Mapping[str, str]) -> dict[str
     return {name: materialize(view(numbered).join(key, ["path", "packet"]).drop("path", "packet"), name) for name, view in (("hex", decode.hex_table), ("binary", decode.binary_table), ("dissected", decode.dissected_table))}
 
 
+def parse_configured(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Every dataset of an INI file parsed and written where its section says.
+
+    A section has ``raw_path`` (the captures) and ``hex_path``, ``binary_path`` and
+    ``dissected_path``, a Parquet folder each; a path that is missing is not written.
+    """
+    config = read_config(path)
+    found = parse_captures(spark, {name: section["raw_path"] for name, section in config.items()})
+    for name, section in config.items():
+        for kind, df in found.items():
+            if f"{kind}_path" in section:
+                tables.write(df.filter(F.col("dataset") == name), section[f"{kind}_path"])
+    return found
+
+
 def preprocess(binary: DataFrame) -> dict[str, DataFrame]:
     """binary_u, binary_0 and filters from the binary table."""
     texts = materialize(prep.concatenate(binary), "interim")
@@ -66,6 +81,7 @@ class Cycle:
     models: dict[str, DataFrame] = field(default_factory=dict)
     curves: dict[str, DataFrame] = field(default_factory=dict)
     taus: dict[str, DataFrame] = field(default_factory=dict)
+    grids: dict[str, DataFrame] = field(default_factory=dict)
     tests: dict[str, DataFrame] = field(default_factory=dict)
 
 
@@ -88,7 +104,10 @@ def with_positions(probes_0: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def run_cycle(tables_: Mapping[str, DataFrame], turn: int = 0, n_test: int = 20, n_val: int = 20, pairs_per_label: int = 1000, rounds: int = 64, bits: Sequence[int] = BITS, per_size: int = 10, seed: int = 42) -> Cycle:
-    """Train, validate and test the three methods on one rotation of the devices."""
+    """Train, validate and test the three methods on one rotation of the devices.
+
+    Boosted bits and positions cluster by equal fingerprints, byte sums by density.
+    """
     u, zero, hexes = tables_["binary_u"], tables_["binary_0"], tables_["hex"]
     roles = materialize(sampling.rotated_split(u, turn, n_test, n_val, n_test, seed), "roles")
     out = Cycle(roles)
@@ -119,11 +138,14 @@ def run_cycle(tables_: Mapping[str, DataFrame], turn: int = 0, n_test: int = 20,
         _clusterings(out, f"boost_{n}", keyed, roles, combs)
     for n in bits:
         _clusterings(out, f"positions_{n}", with_positions(zero, out.models[f"positions_{n}"]).withColumnRenamed("fp", "key"), roles, combs)
+    for n in (2, 3):
+        _sum_clusterings(out, f"sums_{n}", hexes, columns[-n:], roles, combs)
     return out
 
 
 def _clusterings(out: Cycle, name: str, keyed: DataFrame, roles: DataFrame, combs: Mapping[str, DataFrame]) -> None:
-    grid = cluster.grid_metrics(of_role(keyed, roles, "val"), "key", cluster.every_other_length(combs["val"]))
+    grid = materialize(cluster.grid_metrics(of_role(keyed, roles, "val"), "key", cluster.every_other_length(combs["val"])), "grid")
+    out.grids[name] = grid
     best = cluster.grid_best(grid).first()
     test = of_role(keyed, roles, "test")
     out.tests[f"{name}_groups"] = cluster.test_combinations(test, "key", combs["test"], None)
@@ -131,12 +153,42 @@ def _clusterings(out: Cycle, name: str, keyed: DataFrame, roles: DataFrame, comb
         out.tests[f"{name}_dbscan"] = cluster.test_combinations(test, "key", combs["test"], best.min_samples)
 
 
-def save_cycle(out: Cycle, folder: str, turn: int) -> None:
-    """Every table of a cycle as Parquet under ``cycle=<turn>``."""
-    tables.write(out.roles, f"{folder}/cycle={turn}/roles")
-    for kind in ("models", "curves", "taus", "tests"):
-        for name, df in getattr(out, kind).items():
-            tables.write(df, f"{folder}/cycle={turn}/{kind}/{name}")
+def _sum_clusterings(out: Cycle, name: str, hexes: DataFrame, columns: Sequence[str], roles: DataFrame, combs: Mapping[str, DataFrame]) -> None:
+    """Density clusters of byte sums, scaled over the rows of a role; equal sums without a density test."""
+    scaled = {role: evaluate.byte_sum_features(of_role(hexes, roles, role), columns, label="label") for role in ("val", "test")}
+    grid = materialize(cluster.grid_metrics(scaled["val"], columns, cluster.every_other_length(combs["val"]), density=True), "grid")
+    out.grids[name] = grid
+    best = cluster.grid_best(grid).first()
+    out.tests[f"{name}_groups"] = cluster.test_combinations(scaled["test"], columns, combs["test"], None)
+    if best is not None:
+        out.tests[f"{name}_dbscan"] = cluster.test_combinations(scaled["test"], columns, combs["test"], best.min_samples, eps=best.eps)
+
+
+def save_cycle(out: Cycle, folder: str, turn: int, reset: bool = False) -> list[str]:
+    """Every table of a cycle as Parquet under ``cycle=<turn>``, and the labels of each role as text.
+
+    What is there already stays unless ``reset``, so a cycle that broke off goes
+    on where it was. Returns the paths written.
+    """
+    spark, base, written = out.roles.sparkSession, f"{folder}/cycle={turn}", []
+    parts = {"roles": out.roles} | {f"{kind}/{name}": df for kind in ("models", "curves", "taus", "grids", "tests") for name, df in getattr(out, kind).items()}
+    for path, df in parts.items():
+        if reset or not tables.written(spark, f"{base}/{path}"):
+            tables.write(df, f"{base}/{path}")
+            written.append(path)
+    if "roles" in written:  # a line a device
+        lines = out.roles.select(F.concat_ws("\t", F.upper("role"), "label").alias("value")).orderBy("value").coalesce(1)
+        lines.write.mode("overwrite").text(f"{base}/labels")
+    return written
+
+
+def load_cycle(spark: SparkSession, folder: str, turn: int, names: Mapping[str, Sequence[str]]) -> Cycle:
+    """A saved cycle; ``names`` has the tables of each kind, those not there are left out."""
+    base = f"{folder}/cycle={turn}"
+    out = Cycle(spark.read.parquet(f"{base}/roles"))
+    for kind, own in names.items():
+        getattr(out, kind).update({n: spark.read.parquet(f"{base}/{kind}/{n}") for n in own if tables.written(spark, f"{base}/{kind}/{n}")})
+    return out
 
 
 def compare_auc(curves: Mapping[str, DataFrame]) -> DataFrame:

@@ -208,3 +208,40 @@ def merge_captures(contents: list[bytes]) -> bytes:
     if any(c[:4] != contents[0][:4] or c[20:24] != contents[0][20:24] for c in contents):
         raise ValueError("captures differ in byte order, time unit or link type")
     return contents[0] + b"".join(c[24:] for c in contents[1:])
+
+
+def merge_folders(spark: SparkSession, root: str, out: str) -> DataFrame:
+    """One capture for each sub-folder of ``root`` whose files are of one type, written to ``out``: device, path, bytes.
+
+    Files are copied from stream to stream in the JVM, through any store that
+    Spark reads. Files of an unknown type are left out, folders that mix types
+    refused.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = []
+    # the list of files is as long as the devices; their bytes stay in the store
+    for r in capture_folders(spark, root).filter("mergeable").orderBy("device").collect():
+        target = f"{out}/{r.device}.{r.types[0]}"
+        where = jvm.org.apache.hadoop.fs.Path(target)
+        sink = where.getFileSystem(conf).create(where, True)
+        try:
+            first = None
+            for path in r["files"]:
+                source = jvm.org.apache.hadoop.fs.Path(path)
+                stream = source.getFileSystem(conf).open(source)
+                try:
+                    if r.types[0] == "pcap":
+                        head = bytes(stream.readNBytes(24))
+                        if first is None:
+                            sink.write(head)
+                            first = head
+                        elif head[:4] != first[:4] or head[20:24] != first[20:24]:
+                            raise ValueError(f"{path} differs in byte order, time unit or link type")
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, sink, 65536, False)
+                finally:
+                    stream.close()
+        finally:
+            sink.close()
+        done.append((r.device, target, where.getFileSystem(conf).getFileStatus(where).getLen()))
+    return spark.createDataFrame(done, "device string, path string, bytes long")

@@ -22,8 +22,10 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], recursive:
     rows = (reader.option("recursiveFileLookup", True) if recursive else reader).csv(path)
     rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__seq"))
     if one_per_name:
+        # a row a file: the rows themselves are not shuffled
         name = F.regexp_extract("file", "([^/]+)$", 1)
-        rows = rows.withColumn("__last", F.max("file").over(Window.partitionBy(name))).filter("file = __last").drop("__last")
+        last = rows.select("file").distinct().groupBy(name).agg(F.max("file").alias("file")).select("file")
+        rows = rows.join(last, "file", "left_semi").select(*rows.columns)
     return with_row_id(rows, "file", "__block", "__seq").drop("__block", "__seq")
 
 
@@ -34,6 +36,12 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if fs.exists(where) else spark.createDataFrame([], schema)
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to the end here."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Parquet, replacing what is there."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)

@@ -1,5 +1,6 @@
 import os
 import random
+import struct
 
 import pytest
 from captures import ALL, DS, EXT, HT, RATES, VENDOR_A, element, frame, pcap, pcapng
@@ -81,6 +82,9 @@ def test_folders_and_merging(spark, tmp_path):
             (tmp_path / device / name).write_bytes(data)
     rows = {r.device: r for r in source.capture_folders(spark, f"file://{tmp_path}").collect()}
     assert rows["a"].mergeable and len(rows["a"].files) == 2 and not rows["b"].mergeable and "c" not in rows
+    merged = source.merge_folders(spark, f"file://{tmp_path}", f"file://{tmp_path}/out").collect()
+    assert [(r.device, r.bytes) for r in merged] == [("a", os.path.getsize(tmp_path / "out" / "a.pcap"))]
+    assert len(list(source.records((tmp_path / "out" / "a.pcap").read_bytes()))) == 2
     one, two = pcap([frame(MAC, ALL)]), pcap([frame(MAC, [])])
     assert len(list(source.records(source.merge_captures([one, two])))) == 2
     with pytest.raises(ValueError):
@@ -104,7 +108,7 @@ def test_workflow(spark, tmp_path):
     assert joined.filter("label <> other").count() == 0 and joined.count() == 60
 
 
-def test_cycle(spark):
+def test_cycle(spark, tmp_path):
     rng = random.Random(1)
     base = {f"d{i}": "".join(rng.choice("01") for _ in range(32)) for i in range(6)}
     rows = [(i, d, "".join(c if rng.random() > 0.1 else rng.choice("01U") for c in base[d])) for i, d in enumerate(list(base) * 10)]
@@ -116,6 +120,37 @@ def test_cycle(spark):
     areas = {r.method: r.auc_resampled for r in workflow.compare_auc({k: v for k, v in out.curves.items() if k.startswith("sums")}).collect()}
     assert set(areas) == {"sums_2", "sums_3"} and all(0 <= a <= 1 for a in areas.values())
     assert out.tests["positions_2_groups"].count() == 1
+    assert {"sums_2_groups", "sums_2_dbscan", "sums_3_groups", "sums_3_dbscan"} <= set(out.tests) and out.grids["sums_3"].count() == 4
+    assert out.tests["sums_3_dbscan"].filter("noise_ratio between 0 and 1").count() == 1
+    small = workflow.Cycle(out.roles, taus={"sums_2": out.taus["sums_2"]})
+    assert workflow.save_cycle(small, f"file://{tmp_path}", 0) == ["roles", "taus/sums_2"] and workflow.save_cycle(small, f"file://{tmp_path}", 0) == []
+    again = workflow.load_cycle(spark, f"file://{tmp_path}", 0, {"taus": ["sums_2", "sums_3"]})
+    assert again.roles.count() == out.roles.count() and list(again.taus) == ["sums_2"]
+    labels = [r.value for r in spark.read.text(f"file://{tmp_path}/cycle=0/labels").collect()]
+    assert len(labels) == 6 and sum(x.startswith("TEST") for x in labels) == 2
+
+
+def test_configured(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "d1.pcap").write_bytes(pcap([frame(MAC, ALL), frame(MAC, [DS])]))
+    (tmp_path / "c.ini").write_text(f"[home]\nraw_path = file://{tmp_path}/raw\nhex_path = file://{tmp_path}/hex\nbinary_path = file://{tmp_path}/binary\n")
+    workflow.parse_configured(spark, str(tmp_path / "c.ini"))
+    assert spark.read.parquet(f"file://{tmp_path}/hex").count() == 2 and spark.read.parquet(f"file://{tmp_path}/binary").count() == 2
+
+
+def test_cut_and_simple_records():
+    whole = pcap([frame(MAC, ALL), frame(MAC, ALL)])
+    assert [link for link, _, _ in source.records(whole[:-5])] == [127, source.CUT]
+    with pytest.raises(ValueError, match="cut off"):
+        source.dissect(source.CUT, b"")
+    data = frame(MAC, ALL)
+    body = struct.pack("<I", len(data)) + data + b"\0" * (-len(data) % 4)
+    simple = struct.pack("<II", 3, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+    old = struct.pack("<HHIIII", 0, 0, 0, 7, len(data), len(data)) + data + b"\0" * (-len(data) % 4)
+    obsolete = struct.pack("<II", 2, len(old) + 12) + old + struct.pack("<I", len(old) + 12)
+    found = list(source.records(pcapng([]) + simple + obsolete))
+    assert [(link, f) for link, _, f in found] == [(127, data)] * 2 and float(found[1][1]) == 7e-6
+    assert [link for link, _, _ in source.records((pcapng([]) + simple)[:-3])] == [source.CUT]
 
 
 def F_label(df):
