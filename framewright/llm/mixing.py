@@ -53,7 +53,7 @@ WORD = r"\p{L}{4,}"
 
 def words_of(text: Column) -> Column:
     """Words of four letters or more, in lower case."""
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def topic_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", terms: int = TERMS) -> dict[str, list[tuple[str, float]]]:
@@ -223,7 +223,7 @@ WITH base AS MATERIALIZED (
 ),
 langs AS MATERIALIZED (SELECT lang, CASE WHEN count(*) * {POOL} >= (SELECT count(*) FROM base) THEN lang ELSE '' END AS pool, count(*) AS size FROM base GROUP BY lang),
 pools AS MATERIALIZED (SELECT pool, sum(size)::DOUBLE AS size FROM langs GROUP BY pool),
-words AS MATERIALIZED (SELECT r, lang, lower(unnest(regexp_extract_all(body, '{WORD}'))) AS term FROM base),
+words AS MATERIALIZED (SELECT r, lang, unnest(regexp_extract_all(lower(body), '{WORD}')) AS term FROM base),
 held AS MATERIALIZED (SELECT r, pool, term, count(*) AS c FROM words JOIN langs USING (lang) GROUP BY r, pool, term),
 terms AS MATERIALIZED (SELECT pool, term, ln(size / n) AS w, row_number() OVER (PARTITION BY pool ORDER BY n DESC, term) AS k
   FROM (SELECT pool, term, count(*) AS n FROM held GROUP BY pool, term) JOIN pools USING (pool) WHERE 2 * n <= size AND n > 1),
