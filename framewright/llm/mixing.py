@@ -4,8 +4,8 @@ Token counts are summed into cells (source, language, topic). Raking scales the
 cells until their margins meet the targets of all three dimensions, and every
 document of a cell then has one inclusion probability. All of it is DataFrame
 operations: the cells are never collected, margins are partial aggregates, and
-every sweep is a small table in the shared folder, so the plan of a sweep does
-not contain the sweeps before it.
+what sweeps leave is a small table in the shared folder, so a plan does not
+contain all the sweeps before it.
 
 Topics. A table with a column ``topic`` has its own. Otherwise topics are led by
 terms: of the words of four letters or more of a language, the ``TERMS`` that most
@@ -18,9 +18,9 @@ those that hold it). Languages under a hundredth of the documents share one pool
 Targets default to tempered shares: a value with token share ``s`` is aimed at
 ``s ** power``, rescaled to one. ``targets`` may name shares for some values of
 a dimension instead; values it does not name keep their tempered share, and all
-are rescaled. At least ``SWEEPS`` sweeps run, and then more until no cell moves
-by ``TOLERANCE``; if ``MOST`` do not get there (margins that contradict each
-other), a warning says by how much. The budget is a share of all tokens:
+are rescaled. Sweeps run by the ``SWEEPS`` until no cell moves by ``TOLERANCE``;
+if ``MOST`` do not get there (margins that contradict each other), a warning says
+by how much. Up to ``FEW`` cells are swept in one task, more in joins. The budget is a share of all tokens:
 probabilities are ``min(1, k * factor)`` with ``k`` solved so that the expected
 tokens meet it; where a cell is full, its margins fall short, see :func:`margins`.
 
@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.runtime import materialize
@@ -44,6 +44,7 @@ from framewright.runtime import materialize
 DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 SWEEPS, MOST, TOLERANCE = 12, 60, 1e-5
+FEW = 100_000  # cells that one task sweeps
 SOLVE = 40
 TERMS = 6
 POOL = 100  # a language has terms of its own from 1/POOL of the documents on, so at most POOL languages do
@@ -149,19 +150,33 @@ def sweep(cells: DataFrame) -> DataFrame:
     return materialize(before.withColumn("moved", F.abs(F.col("factor") / F.col("before") - 1)).drop("before"), "mix-sweep")
 
 
+def sweeps_at_once(cells: DataFrame, times: int) -> DataFrame:
+    """The same ``times`` over in one task, for cells that are known to be few."""
+    cells = cells.coalesce(1)
+    for _ in range(times):
+        cells = cells.withColumn("before", F.col("factor"))
+        for d in DIMENSIONS:
+            s = F.sum(F.col("t") * F.col("factor")).over(Window.partitionBy(d))
+            cells = cells.withColumn("s", s).withColumn("factor", F.col("factor") * F.col(f"aim_{d}") / F.col("s"))
+    return materialize(cells.withColumn("moved", F.abs(F.col("factor") / F.col("before") - 1)).drop("before", "s"), "mix-sweep")
+
+
 def rake(rows: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """source, lang, topic, t (tokens), factor and the aims of the raked cells."""
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("t")).filter("t > 0"), "mix-cells")
     cells = aimed(cells, powers, targets)
-    for done in range(1, MOST + 1):
-        cells = sweep(cells)
-        if done < sweeps:
-            continue
+    few = cells.count() <= FEW
+    for done in range(sweeps, MOST + 1, sweeps):
+        if few:
+            cells = sweeps_at_once(cells, sweeps)
+        else:
+            for _ in range(sweeps):
+                cells = sweep(cells)
         moved = cells.agg(F.max("moved")).first()[0] or 0.0
         if moved <= TOLERANCE:
             break
     else:
-        warnings.warn(f"raking did not settle: factors still move by {moved:.2g} after {MOST} sweeps", stacklevel=2)
+        warnings.warn(f"raking did not settle: factors still move by {moved:.2g} after {done} sweeps", stacklevel=2)
     return cells
 
 

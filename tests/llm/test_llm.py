@@ -663,6 +663,9 @@ def test_mixing_by_hand(spark):
     for x in got:
         assert abs(x.factor - factor.get((x.source, x.lang, x.topic), 0)) < 1e-3
     assert abs(sum(x.n_tokens * x.probability for x in got) / total - 0.4) < 1e-3
+    cells = mixing.aimed(mixing.described(df).groupBy(*mixing.DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("t")).filter("t > 0"), mixing.POWERS, None)
+    one, many = (sorted(tuple(r) for r in c.select(*mixing.DIMENSIONS, F.round("factor", 9)).collect()) for c in (mixing.sweeps_at_once(cells, 2), mixing.sweep(mixing.sweep(cells))))
+    assert one == many
     own = mixing.mix(df.withColumn("topic", F.col("source"))).collect()
     assert all(x.topic == x.source for x in own)
     fitted = mixing.probabilities(mixing.rake(mixing.described(df)), 0.05)  # no cell is full: every margin is met
