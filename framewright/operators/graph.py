@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.runtime import materialize
+from framewright.runtime import materialize, release
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -27,6 +27,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         roots = after.select("b").distinct()
         inner = after.join(roots.select(F.col("b").alias("r")), F.col("a") == F.col("r"), "left_semi")
         done = inner.isEmpty() and after.count() == after.select("a").distinct().count()
+        release(edges, large)
         edges = after
         if done:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

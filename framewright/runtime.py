@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,21 +36,34 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame over the files.
 
-    The files are removed when the driver's Python ends.
+    The files are removed when the driver's Python ends, or by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framewright/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables that :func:`materialize` made and nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path in _written:
+            _remove(_written.pop(path), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone at exit
             return
 
