@@ -39,7 +39,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.runtime import materialize
+from framewright.runtime import materialize, release
 
 DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
@@ -164,14 +164,13 @@ def sweeps_at_once(cells: DataFrame, times: int) -> DataFrame:
 def rake(rows: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """source, lang, topic, t (tokens), factor and the aims of the raked cells."""
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("t")).filter("t > 0"), "mix-cells")
-    cells = aimed(cells, powers, targets)
+    counted, cells = cells, aimed(cells, powers, targets)
+    release(counted)
     few = cells.count() <= FEW
     for done in range(sweeps, MOST + 1, sweeps):
-        if few:
-            cells = sweeps_at_once(cells, sweeps)
-        else:
-            for _ in range(sweeps):
-                cells = sweep(cells)
+        for _ in range(1 if few else sweeps):
+            before, cells = cells, sweeps_at_once(cells, sweeps) if few else sweep(cells)
+            release(before)
         moved = cells.agg(F.max("moved")).first()[0] or 0.0
         if moved <= TOLERANCE:
             break

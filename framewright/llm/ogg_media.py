@@ -16,10 +16,13 @@ samples cannot say: the length before padding.
 The checksum is that of zlib with all bits mirrored, so both byte translation
 and division run in C.
 
+:func:`media_column` reads every stored file back, byte for byte as made, in the
+task that made it; the files themselves leave it only ``with_media``.
+
 Defined results: null text is empty and padded to one unit of 64 zero bytes; a
 damaged page, a missing page or a packet without an end raises ``OggError``.
-Equal texts give equal files (serials and granules depend on the text alone). An
-empty table gives an empty result; other columns are ignored.
+Equal texts give equal files (serials and granules depend on the text alone), so
+rows that repeat give equal rows. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.llm.linear import Linear, fit_logistic, folds_of, logit
-from framewright.runtime import materialize
+from framewright.runtime import materialize, release
 
 LABELLED = 6000
 PER_ROUND = 500
@@ -218,6 +218,7 @@ def surest(table: DataFrame, known: DataFrame, models: tuple[Linear, Linear], wa
             if reached >= per_round:
                 break
         out.append([] if cut is None else [r.row for r in own.filter(F.floor(F.col("sure") * BINS) >= cut).orderBy(F.desc("sure"), F.xxhash64("row")).limit(per_round).collect()])
+    release(scored)
     return out
 
 
@@ -230,7 +231,7 @@ def fit_on(table: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds
     rows = sorted({(r.h, r.y, bytes(r.a), bytes(r.b)) for r in rows})  # rows that repeat teach once
     teaching = Teaching(_matrix([r[2] for r in rows], WIDTHS[0]), _matrix([r[3] for r in rows], WIDTHS[1]), np.array([r[1] for r in rows]))
     models, log = (teaching.fit(0), teaching.fit(1)), []
-    out = materialize(table.select("id", "row").join(known, "id", "left_semi").select("row"), "quality-known")
+    labelled_rows = out = materialize(table.select("id", "row").join(known, "id", "left_semi").select("row"), "quality-known")
     for _ in range(rounds if len(rows) and 0 < teaching.y.mean() < 1 else 0):
         wanted = [(view, label) for view in (0, 1) for label in teaching.may_teach(view)]
         if not wanted:
@@ -245,12 +246,16 @@ def fit_on(table: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds
             teaching.add(r.view, _matrix([r["b" if r.view == 0 else "a"]], WIDTHS[1 - r.view]), r.label)
         out = out.unionByName(lesson.select("row"))
         models = (teaching.fit(0), teaching.fit(1))
+    release(labelled_rows)
     return teaching.finish(models, log)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, **options) -> CoTrained:
     """The co-trained model; documents and labels meet on ``doc_id`` (``id_col``)."""
-    return fit_on(feature_table(docs, options.get("id_col", "doc_id")), labels, **options)
+    table = feature_table(docs, options.get("id_col", "doc_id"))
+    model = fit_on(table, labels, **options)
+    release(table)
+    return model
 
 
 def _scored(batch_ids, score: np.ndarray, threshold: float, names: list[str]) -> pa.RecordBatch:

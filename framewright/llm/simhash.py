@@ -55,7 +55,7 @@ from pyspark.sql import types as T
 
 from framewright.llm._rows import drop_rows, join_groups, mark_of
 from framewright.operators.graph import components
-from framewright.runtime import materialize
+from framewright.runtime import materialize, release
 
 SEED = 42
 PIVOTS = 24  # spread reference fingerprints
@@ -256,8 +256,10 @@ def link_forest(fps: DataFrame, radius: int = 4, cap: int = 16384) -> DataFrame:
         found.append(materialize(dealt.mapInArrow(_bucket_edges(radius), "u long, v long").distinct(), "simhash-edges"))
         crowded = shared.filter(F.col("count") > cap)
         if finest or crowded.isEmpty():
+            release(table, shared)
             return reduce(DataFrame.unionByName, found)
         fps = materialize(rows.join(crowded.select("tab", "key"), ["tab", "key"], "left_semi").select("fp").distinct(), "simhash-crowded")
+        release(table, shared)
         blocks = min(blocks + 4, radius + FINEST)
 
 

@@ -16,8 +16,10 @@ block, so any store that Spark can write will do. ``start`` orders the blocks.
 Defined results: null text is an empty document (its end id alone). Ids sort
 ascending with nulls first; rows with equal ids sort by text. An empty table
 writes no blocks. A document longer than a block is cut into segments; memory
-is bounded by the block size and the longest text. Columns other than the id
-and the text are ignored.
+is bounded by the block size and the longest text. Ids are held in 16 bits: a
+vocabulary of more than 65,536 ids is refused. A text is encoded piece by piece
+only with a tokenizer that lower-cases and drops white space (tried when it is
+loaded), whole with any other. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -192,6 +194,10 @@ class ChunkEncoder:
         self.known = Recent(entries)
         self.longest = longest
         model = json.loads(definition)["model"]
+        if max(model["vocab"].values(), default=0) >= 1 << 16:
+            raise ValueError("ids of more than 16 bits")
+        alone = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.in_pieces = alone("Ab  cD\n Ef,") == [x for piece in ("ab", "cd", "ef", ",") for x in alone(piece)]
         suffix = model.get("end_of_word_suffix")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)]] = True
@@ -231,7 +237,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         # str.split() cuts at these four, the tokenizer does not
-        whole = [any(c in t for c in "\x1c\x1d\x1e\x1f") if t else False for t in texts]
+        whole = [not self.in_pieces or any(c in t for c in "\x1c\x1d\x1e\x1f") if t else False for t in texts]
         split = [[] if w or not t else chunks_of(t) for t, w in zip(texts, whole, strict=True)]
         long = self._learn(set().union(*split))
         young = self.known.young

@@ -358,6 +358,32 @@ def test_media_query(spark):
     assert got[0].feature == got[1].feature
 
 
+def test_no_rows_and_repeated_ids(spark):
+    """Empty tables give empty results; rows of one id each get the result of their own text."""
+    path8, path4 = tokenizers.path("word_bpe_49k.json"), tokenizers.path("byte_bpe_50k.json")
+    none, twice = docs(spark, []), docs(spark, ["One text", "another", "One text", None], [7, 7, 7, None])
+    assert ogg_media.media_column(none).count() == 0
+    media = ogg_media.media_column(twice).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in media) == [(0, 0), (7, 7), (7, 8), (7, 8)]
+    blocks, freq = token_output.write_blocks(token_output.materialize(token_output.token_table(none, path8, 1), "t"))
+    assert token_output.read_blocks(blocks, freq).count() == 0
+    blocks, freq = token_output.write_blocks(token_output.materialize(token_output.token_table(twice, path8, 1), "t"))
+    got = sorted((r.start, r.doc, r.n) for r in token_output.read_blocks(blocks, freq).collect())
+    assert [d for _, d, _ in got] == [None, 7, 7, 7] and [n for _, _, n in got] == [1, 3, 3, 2] and [s for s, _, _ in got] == [0, 1, 4, 7]
+    bpe = bpe_stream.bpe_round_trip(twice, path4, with_ids=True).collect()
+    assert sorted((r.doc_id or 0, r.decoded) for r in bpe) == [(0, ""), (7, "One text"), (7, "One text"), (7, "another")]
+
+
+def test_whole_texts_for_other_tokenizers():
+    with open(tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        cased = token_output.ChunkEncoder(f.read())
+    with open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        plain = token_output.ChunkEncoder(f.read())
+    assert plain.in_pieces and not cased.in_pieces
+    text = "Some TEXT,  with case\nand space"
+    assert np.frombuffer(cased.encode([text])[0], "<u2").tolist() == cased.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # 7
 
 
