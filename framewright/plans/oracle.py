@@ -267,6 +267,12 @@ FROM (SELECT source, row_number() OVER (ORDER BY source) - 1 AS position, count(
     "share_split": """SELECT source, CASE WHEN position < round_even(n * 0.35, 0) THEN 'test' WHEN position < 2 * round_even(n * 0.35, 0) THEN 'val' ELSE 'train' END AS role
 FROM (SELECT source, row_number() OVER (ORDER BY source) - 1 AS position, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents))""",
     "label_combinations": f"WITH {PROBES}, {COMBS} SELECT length::INTEGER AS length, array_to_string(members, ',') AS combination FROM combs",
+    "sampled_combinations": f"""WITH {PROBES}, labels AS (SELECT DISTINCT label FROM probes),
+ranked AS (SELECT m, turn, label, row_number() OVER (PARTITION BY m, turn ORDER BY md5('42:' || m || ':' || turn || ':' || label)) AS r
+  FROM labels, (SELECT unnest(range(2, 1 + (SELECT count(*) FROM labels))) AS m) s, range(0, 200) t(turn)),
+made AS (SELECT m, turn, string_agg(label, ',' ORDER BY label) AS c FROM ranked WHERE r <= m GROUP BY m, turn),
+firsts AS (SELECT m, c, row_number() OVER (PARTITION BY m ORDER BY min(turn)) AS k FROM made GROUP BY m, c)
+SELECT m::INTEGER AS length, c AS combination FROM firsts WHERE k <= 3""",
     "default_label": "SELECT event_id AS row_id, CASE WHEN event_id % 3 = 0 OR event_type IS NULL THEN event_id::VARCHAR ELSE event_type END AS label FROM events",
     "hamming_pairs": f"WITH {SIGNS} SELECT item1, item2, equality, d::INTEGER AS d FROM dist",
     "hamming_weighted": f"""WITH {SIGNS} SELECT item1, item2, round(coalesce(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN s1[i] <> s2[i] THEN 1.0 + (i - 1) % 4 ELSE 0.0 END)), 0)::DOUBLE / 160 * 64, 9) AS d FROM near""",

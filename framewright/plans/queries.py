@@ -186,6 +186,12 @@ def label_combinations(spark, d):
     return sampling.combinations(spark, _labels(spark, d)).select("length", F.array_join("combination", ",").alias("combination"))
 
 
+@query
+def sampled_combinations(spark, d):
+    """Combinations where there are more of a size than wanted."""
+    return sampling.combinations(spark, _labels(spark, d), per_size=3).select("length", F.array_join("combination", ",").alias("combination"))
+
+
 @query
 def balanced_label_combinations(spark, d):
     return sampling.balanced_combinations(spark, _labels(spark, d), 3).select("comb_id", "length", F.array_join("combination", ",").alias("combination"))

@@ -231,3 +231,44 @@ def test_csv_and_logs(spark, tmp_path):
     rows = tables.read_model_log(spark, f"file://{tmp_path}/log.txt").collect()
     assert [(r.round, r.filter, r.threshold, r.confidence) for r in rows] == [(1, "0011", 2, 1.1)]
     assert tables.read_or_empty(spark, f"file://{tmp_path}/none", "a int").count() == 0
+
+
+def test_figures(spark):
+    import xml.etree.ElementTree as ET
+
+    from framewright.plans import figures
+
+    pairs = spark.createDataFrame([(d, 1 if d < 3 else -1) for d in range(6)] * 2, "d int, equality int")
+    curve = evaluate.roc(pairs)
+    summary = spark.createDataFrame([("a", 2, 0.5, 0.1), ("a", 3, 0.6, None), ("b", 2, 0.4, 0.0)], "method string, length int, mean double, deviation double")
+    points = spark.createDataFrame([(0.0, 0.0, -1), (1.0, 2.0, 0), (1.0, 2.0, 0), (1.0, 2.0, 1)], "x double, y double, cluster int")
+    model = spark.createDataFrame([(1, 0, "00NN1100", 2, 4, 0.1, 2.0)], training.MODEL)
+    drawn = {
+        "lines": figures.roc_figure({"one <&": curve}), "bars": figures.area_figure(spark.createDataFrame([("m", 0.75)], "method string, auc double")),
+        "metric": figures.metric_figure(summary), "clusters": figures.cluster_figure(points), "none": figures.cluster_figure(points.limit(0)), "filters": figures.filter_figure(model),
+    }
+    tags = {k: [x.tag.rpartition("}")[2] for x in ET.fromstring(v).iter()] for k, v in drawn.items()}
+    assert tags["lines"].count("polyline") == 1 and tags["bars"].count("rect") == 1 and tags["metric"].count("polygon") == 2
+    assert tags["clusters"].count("rect") == 2 and tags["none"].count("rect") == 0 and tags["filters"].count("rect") == 4
+
+
+def test_running_sums(spark):
+    from framewright.operators.number import running
+
+    rng = random.Random(3)
+    rows = [(rng.random(), rng.randrange(5)) for _ in range(500)]
+    got = running(spark.createDataFrame(rows, "x double, v long"), ["x"], {"s": "v"}, "at").orderBy("at").collect()
+    total = 0
+    for i, (r, (x, v)) in enumerate(zip(got, sorted(rows))):
+        total += v
+        assert (r.at, r.x, r.s) == (i, x, total)
+
+
+def test_balanced_combinations(spark):
+    """Every size gets its share, no combination twice, and labels are used evenly."""
+    rows = sampling.balanced_combinations(spark, list("abcdef"), 4).collect()
+    for k in range(1, 7):
+        own = [tuple(r.combination) for r in rows if r.length == k]
+        assert len(own) == len(set(own)) == min(4, math.comb(6, k)) and all(list(c) == sorted(set(c)) and len(c) == k for c in own)
+        used = [sum(x in c for c in own) for x in "abcdef"]
+        assert max(used) - min(used) <= 2
