@@ -13,13 +13,16 @@ any two sets that link share:
 * *Keys.* Sets that link share at least ``ceil(at * n)`` shingles, so in any
   common order of all shingles their first ``n - ceil(at * n) + 1`` have one in
   common; those are the keys of a set. The order puts shingles that are common
-  in a sample of the sets last: the sample decides cost only, no order loses a pair.
+  in a sample of the sets last: the sample decides cost only, no order loses a
+  pair. Of buckets that hold the same sets one stays.
 * *Leaders.* In the bucket of a key every set meets the one of least hash, so
   large groups come together by a number of pairs in proportion.
 * *The rest.* Pairs of a bucket that are not yet in one group meet if their sizes
   and the counts of their shingles in ``BINS`` bins allow the threshold (the
   counts of sets that link differ by at most ``(1 - at) / (1 + at)`` of both
-  sizes). Buckets over ``cap`` are cut into parts, every pair of parts a task.
+  sizes). Of the buckets that a pair shares it meets in the one of least key, as
+  far as the least keys of both tell. Buckets over ``cap`` are cut into parts,
+  every pair of parts a task.
 * *Verifying.* Each pair that met is settled by its whole sets.
 
 Defined results: null text has no words; texts without words are one group; fewer
@@ -44,10 +47,11 @@ from pyspark.sql import types as T
 from framewright.llm._rows import drop_rows, join_groups, mark_of
 from framewright.llm.simhash import LOWERED, SEED, link_forest, majority
 from framewright.operators.graph import components
-from framewright.runtime import materialize
+from framewright.runtime import materialize, release
 
 AT = Fraction(4, 5)
 BINS = 512
+LEAST = 8
 SMALL = 500_000  # rows of two or three numbers that may be broadcast, some 10 MB
 SAMPLE, COMMON, MOST_COMMON = 8000, 4, 20000
 
@@ -141,6 +145,13 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return rare.unionByName(often).filter("a <> b").select("key", "node", F.col("leader.node").alias("leader")).distinct()
 
 
+def distinct_buckets(met: DataFrame) -> DataFrame:
+    """``met`` with one key for all buckets that hold the same sets: documents that share a passage share all its keys."""
+    mixed = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("c"), mixed(1).alias("x"), mixed(2).alias("y"))
+    return met.join(buckets.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def proposed(rows: DataFrame, radius: int) -> DataFrame:
     """u, v: sets whose fingerprints are equal or joined in the forest of links."""
     named = materialize(rows.groupBy("fp").agg(F.min("node").alias("first")), "near-fps")
@@ -188,22 +199,25 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, at: Fra
 
 
 def _meetings(at: Fraction):
-    def pairs(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, bins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(key: int, nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, bins: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.argsort(sizes, kind="stable")
-        nodes, roots, sizes, bins = nodes[order], roots[order], sizes[order], bins[order]
+        nodes, roots, sizes, bins, least = nodes[order], roots[order], sizes[order], bins[order], least[order]
         last = np.searchsorted(sizes, sizes * at.denominator // at.numerator, "right")
         for i in range(len(nodes) - 1):
             to = np.arange(i + 1, last[i])
             to = to[roots[to] != roots[i]]
+            mine = least[i][least[i] < key]
+            if len(to) and len(mine):  # a pair with a smaller key in common meets there
+                to = to[~np.isin(least[to], mine).any(axis=1)]
             if len(to):
                 apart = np.abs(bins[to].astype(np.int16) - bins[i]).sum(axis=1)
                 to = to[apart * (at.denominator + at.numerator) <= (sizes[to] + sizes[i]) * (at.denominator - at.numerator)]
                 yield np.minimum(nodes[to], nodes[i]), np.maximum(nodes[to], nodes[i])
 
     def settle(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, task, nodes, roots, sizes, bins = rows
+        key, task = rows[:2]
         cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (task[1:] != task[:-1])) + 1, [len(key)]])
-        met = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in pairs(nodes[a:b], roots[a:b], sizes[a:b], bins[a:b])]
+        met = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in pairs(key[a], *(c[a:b] for c in rows[2:]))]
         sides = [np.concatenate([p[s] for p in met]) if met else np.zeros(0, np.int64) for s in (0, 1)]
         return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()) for s in sides], ["u", "v"])
 
@@ -213,7 +227,9 @@ def _meetings(at: Fraction):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy() for i in range(5)] + [np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BINS)]
+            now = [batch.column(i).to_numpy() for i in range(5)]
+            now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BINS))
+            now.append(batch.column(6).flatten().to_numpy().reshape(-1, LEAST))
             if held is not None:
                 now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
             new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
@@ -227,9 +243,18 @@ def _meetings(at: Fraction):
     return run
 
 
+def least_keys(rows: DataFrame) -> DataFrame:
+    """node, least: the ``LEAST`` smallest keys of each node, filled up with the largest number."""
+    fill = F.array_repeat(F.lit((1 << 63) - 1), LEAST)
+    keys = F.concat(F.array_sort(F.collect_set("key")), fill)
+    return rows.groupBy("node").agg(F.slice(keys, 1, LEAST).alias("least"))
+
+
 def link_groups(docs: DataFrame, rows: DataFrame, k: int, at: Fraction = AT, cap: int = 512, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """node, root: the group of every node of ``rows`` (:func:`described`) that links to another."""
-    met = materialize(shared_keys(rows), "near-met")
+    every = materialize(shared_keys(rows), "near-keys")
+    met = materialize(distinct_buckets(every), "near-met")
+    release(every)
     sets = materialize(rows.select("node", "n", "bins").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "near-bins")
     led = met.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
     first = verified(possible(ordered(proposed(rows, radius).unionByName(led)), sets, at), docs, rows, k, at, id_col, text_col)
@@ -240,8 +265,10 @@ def link_groups(docs: DataFrame, rows: DataFrame, k: int, at: Fraction = AT, cap
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     one = F.array(F.lit(0))
     many = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("part")) * F.col("parts") + F.greatest(j, F.col("part")))
-    tasks = rooted.join(live, "key").withColumn("part", part).join(sets, "node")
-    tasks = tasks.select("key", F.explode(F.when(F.col("parts") == 1, one).otherwise(many)).alias("task"), "node", "root", "n", "bins")
+    open_ = materialize(rooted.join(live, "key"), "near-open")
+    known = materialize(sets.join(least_keys(open_), "node"), "near-known")
+    tasks = open_.withColumn("part", part).join(known, "node")
+    tasks = tasks.select("key", F.explode(F.when(F.col("parts") == 1, one).otherwise(many)).alias("task"), "node", "root", "n", "bins", "least")
     found = tasks.repartition("key", "task").sortWithinPartitions("key", "task").mapInArrow(_meetings(at), "u long, v long").distinct()
     return components(first.unionByName(verified(found, docs, rows, k, at, id_col, text_col)))
 

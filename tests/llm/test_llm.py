@@ -699,16 +699,43 @@ def test_mixing_by_hand(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Every stage against plain Python on what its predecessor kept, and run() against the stages."""
+    from tokenizers import Tokenizer
+
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     df, labels = labelled(spark, 120)
     rows = df.collect()
     plain = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in rows] + [(1000 + i, rows[i].text.upper() if i % 4 else rows[i].text, "en", "s1", rows[i].n_chars) for i in range(1, 20)]
+    plain += [(2000 + i, rows[i].text.replace(" ", " zz ", 1) if i % 2 else rows[i].text + " and one more end", "en", "s2", len(rows[i].text)) for i in range(30, 50) if i % 4]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("text", "lang", "source")), T.StructField("n_chars", T.LongType())])
     spark.createDataFrame(plain, schema).write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     text = {r[0]: r[1] for r in plain}
-    assert all("###" not in text[i] for i in got)
-    assert len({text[i].translate(LOW) for i in got}) == len(got) and len(got) > 50
+    docs_, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs_, str(tmp_path))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs_.columns
+        out.write.parquet(f"{tmp_path}/{name}.parquet")
+        docs_ = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        kept.append({r.doc_id for r in docs_.collect()})
+    good, exact, near, mixed, encoded = kept
+    assert all("###" not in text[i] for i in good) and {i for i in text if i < 120 and "###" not in text[i]} <= good
+    low = {i: text[i].translate(LOW) for i in good}
+    assert exact == {i for i in good if i == max(j for j in good if low[j] == low[i])}
+    sets = {i: set(shingle_join.shingles(text[i], 5).tolist()) for i in exact}
+    root = {i: i for i in exact}
+    for _ in exact:
+        for i in exact:
+            for j in exact:
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert near == set(root.values()) and len(near) < len(exact)
+    drawn = mixing.mix(spark.read.parquet(f"{tmp_path}/simhash_near_dedup.parquet"), budget=corpus_pipeline.MIX_BUDGET).collect()
+    assert mixed == {r.doc_id for r in drawn if int(hashlib.md5(f"42:{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52 < r.probability} and encoded == mixed
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    library = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    assert set(got) == mixed and len(got) > 40
     for i, r in got.items():
-        assert r.decoded_sha256 == hashlib.sha256(text[i].encode()).hexdigest()
+        ids = np.array(library.encode(text[i], add_special_tokens=False).ids, "<u4")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text[i].encode()).hexdigest())
