@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def equality_dbscan(points: DataFrame, key: str, min_samples: int | str, groups:
     return points.join(big, [*groups, key], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
-def neighbours(spots: DataFrame, eps: Column, groups: Sequence[str]) -> DataFrame:
+def neighbours(spots: DataFrame, eps: Column, groups: Sequence[str], dimensions: int) -> DataFrame:
     """groups, spot, other, n2: spots (__spot, __x, __n) within ``eps`` of each other by the Manhattan distance, themselves too.
 
     The sum of all coordinates, and the sum with every other sign turned, move
@@ -74,7 +75,8 @@ def neighbours(spots: DataFrame, eps: Column, groups: Sequence[str]) -> DataFram
     shifts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in itertools.product((-1, 0, 1), repeat=2))))
     a = cells.withColumn("s", shifts).select(*groups, (F.col("c0") + F.col("s.i")).alias("c0"), (F.col("c1") + F.col("s.j")).alias("c1"), F.col("__spot").alias("spot"), F.col("__x").alias("x1"))
     b = cells.select(*groups, "c0", "c1", F.col("__spot").alias("other"), F.col("__x").alias("x2"), F.col("__n").alias("n2"))
-    apart = add(F.zip_with("x1", "x2", lambda p, q: F.abs(p - q)))
+    # a term a dimension: unlike a lambda over both arrays it is compiled
+    apart = reduce(Column.__add__, (F.abs(F.get("x1", F.lit(i)) - F.get("x2", F.lit(i))) for i in range(dimensions)), F.lit(0.0))
     return a.join(b, [*groups, "c0", "c1"]).filter(apart <= eps).select(*groups, "spot", "other", "n2")
 
 
@@ -90,7 +92,7 @@ def dbscan(points: DataFrame, columns: Sequence[str], eps: float | str, min_samp
     many = F.sum(weight) if weight else F.count(F.lit(1))
     spots = points.groupBy(*groups, *columns).agg(many.alias("__n"), F.min(id_col).alias("__spot"))
     spots = materialize(spots.withColumn("__x", F.array(*(F.col(c).cast("double") for c in columns))), "dbscan-spots")
-    links = materialize(neighbours(spots, _least(eps, groups), groups), "dbscan-links")
+    links = materialize(neighbours(spots, _least(eps, groups), groups, len(columns)), "dbscan-links")
     degrees = links.groupBy(*groups, "spot").agg(F.sum("n2").alias("degree"))
     core = materialize(degrees.filter(F.col("degree") >= _least(min_samples, groups)).select(*groups, "spot"), "dbscan-core")
     other = core.withColumnRenamed("spot", "other")

@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.runtime import materialize
+from framewright.runtime import materialize, release
 
 
 def _ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """``df`` in ranges of the order (``__part``), each with its rows numbered (``__inner``)."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    read = materialize(df, "unordered")  # finding the ranges reads it twice
+    spread = read.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     spread = spread.withColumns({"__part": F.shiftrightunsigned("__at", 33), "__inner": F.col("__at").bitwiseAND((1 << 33) - 1)})
-    return materialize(spread.drop("__at"), "ranged")
+    spread = materialize(spread.drop("__at"), "ranged")
+    release(read)
+    return spread
 
 
 def _shifts(spread: DataFrame, sums: dict[str, Column]) -> DataFrame:
