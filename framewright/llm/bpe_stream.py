@@ -197,7 +197,7 @@ class StreamEncoder:
 
     OPEN = 8  # characters of an unfinished piece that are sure not to be part of a contraction
 
-    def __init__(self, table: MergeTable, entries: int = 200_000, longest: int = 32, slice_chars: int = 1 << 16):
+    def __init__(self, table: MergeTable, entries: int = 100_000, longest: int = 32, slice_chars: int = 1 << 16):
         self.table, self.entries, self.longest, self.slice_chars = table, entries, longest, slice_chars
         self.fast = self._compiled()
         self.exact = None

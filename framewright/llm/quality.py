@@ -174,12 +174,19 @@ class Teaching:
         return CoTrained(models, calibration, combine, log, right)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few hundred rows, so that a worker holds few texts as Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def feature_table(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, row (a number of its own for each row), a and b (both views as 32-bit numbers)."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             both = [features(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
             sides = [pa.array([x[side].astype("<f4").tobytes() for x in both], pa.binary()) for side in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides], schema.names)
@@ -199,7 +206,7 @@ def surest(table: DataFrame, known: DataFrame, models: tuple[Linear, Linear], wa
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             margins = [m.margin(_matrix(batch.column(1 + i).to_pylist(), WIDTHS[i])) for i, m in enumerate(models)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m) for m in margins)], ["row", "m0", "m1"])
 
@@ -273,7 +280,7 @@ def score_table(table: DataFrame, model: CoTrained, id_col: str = "doc_id", thre
     schema = T.StructType([T.StructField(id_col, table.schema["id"].dataType), *(T.StructField(n, T.DoubleType()) for n in ("text_score", "metadata_score", "quality_score")), T.StructField("keep", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             both = (_matrix(batch.column(1 + i).to_pylist(), WIDTHS[i]) for i in (0, 1))
             yield _scored(batch.column(0), _scores(model, *both), threshold, schema.names)
 
@@ -291,13 +298,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     at = [docs.columns.index(c) for c in ("text", "source", "lang", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                both = [features(*row) for row in zip(*(part.column(i).to_pylist() for i in at), strict=True)]
-                # as stored: the same numbers decide here and in the scored table
-                a, b = (np.array([x[side] for x in both], "<f4").astype(np.float64).reshape(len(both), WIDTHS[side]) for side in (0, 1))
-                yield part.filter(pa.array(_scores(model, a, b)[:, 2] >= threshold))
+        for part in sliced(batches):
+            both = [features(*row) for row in zip(*(part.column(i).to_pylist() for i in at), strict=True)]
+            # as stored: the same numbers decide here and in the scored table
+            a, b = (np.array([x[side] for x in both], "<f4").astype(np.float64).reshape(len(both), WIDTHS[side]) for side in (0, 1))
+            yield part.filter(pa.array(_scores(model, a, b)[:, 2] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
