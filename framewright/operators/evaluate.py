@@ -64,8 +64,14 @@ def pair_manhattan(pairs: DataFrame, hex_table: DataFrame, columns: Sequence[str
     met = pair_texts(pairs, sums_of(hex_table, columns, strip), columns)
     names = [f"{c} {s}" for s in (1, 2) for c in columns]
     if joint:
-        ends = met.agg(*(F.min(F.least(f"{c} 1", f"{c} 2")).cast("double").alias(f"lo{i}") for i, c in enumerate(columns)), *(F.max(F.greatest(f"{c} 1", f"{c} 2")).cast("double").alias(f"hi{i}") for i, c in enumerate(columns))).first()
-        met = met.withColumns({f"{c} {s}": F.when(F.lit((ends[f"hi{i}"] or 0) > (ends[f"lo{i}"] or 0)), (F.col(f"{c} {s}") - F.lit(ends[f"lo{i}"])) / F.lit((ends[f"hi{i}"] or 0) - (ends[f"lo{i}"] or 0))).otherwise(0.0) for i, c in enumerate(columns) for s in (1, 2)})
+        low = [F.min(F.least(f"{c} 1", f"{c} 2")).cast("double").alias(f"lo{i}") for i, c in enumerate(columns)]
+        high = [F.max(F.greatest(f"{c} 1", f"{c} 2")).cast("double").alias(f"hi{i}") for i, c in enumerate(columns)]
+        ends, scaled = met.agg(*low, *high).first(), {}
+        for i, c in enumerate(columns):
+            start, width = ends[f"lo{i}"] or 0.0, (ends[f"hi{i}"] or 0.0) - (ends[f"lo{i}"] or 0.0)
+            for s in (1, 2):
+                scaled[f"{c} {s}"] = (F.col(f"{c} {s}") - F.lit(start)) / F.lit(width) if width > 0 else F.lit(0.0)
+        met = met.withColumns(scaled)
     else:
         met = min_max(met, names)
     return met.withColumn("d", manhattan([(F.col(f"{c} 1"), F.col(f"{c} 2")) for c in columns]))

@@ -93,12 +93,15 @@ def balanced_pairs(df: DataFrame, per_label: int = 1000, seed: int = 42, label:
     drawn = drawn.withColumn("kind", kind)
     halves = drawn.filter("kind = 'same'").withColumn("at", (F.col("pos") - 1) % p)
     first, second = halves.filter(F.col("pos") <= p), halves.filter(F.col("pos") > p)
-    within = first.select("label", "at", F.col("row_id").alias("item1")).join(second.select("label", "at", F.col("row_id").alias("item2")), ["label", "at"]).select("item1", "item2", F.col("label").alias("device1"), F.col("label").alias("device2"), F.lit(1).alias("equality"))
+    side = lambda df, name: df.select("label", "at", F.col("row_id").alias(name))
+    within = side(first, "item1").join(side(second, "item2"), ["label", "at"])
+    within = within.select("item1", "item2", F.col("label").alias("device1"), F.col("label").alias("device2"), F.lit(1).alias("equality"))
     owner = F.element_at(F.split("draw", r"\|"), 2)
     sides = drawn.filter("kind = 'right'").select(owner.alias("owner"), F.col("label").alias("device2"), F.col("row_id").alias("item2"), "pos")
     turn = F.row_number().over(Window.partitionBy("owner").orderBy(order_key(seed, "owner", "device2", "item2", "pos"), "device2", "item2", "pos"))
     sides = sides.withColumn("at", turn)
-    across = drawn.filter("kind = 'left'").select(F.col("label").alias("owner"), F.col("pos").alias("at"), F.col("row_id").alias("item1")).join(sides, ["owner", "at"]).select("item1", "item2", F.col("owner").alias("device1"), "device2", F.lit(-1).alias("equality"))
+    own = drawn.filter("kind = 'left'").select(F.col("label").alias("owner"), F.col("pos").alias("at"), F.col("row_id").alias("item1"))
+    across = own.join(sides, ["owner", "at"]).select("item1", "item2", F.col("owner").alias("device1"), "device2", F.lit(-1).alias("equality"))
     return within.unionByName(across)
 
 

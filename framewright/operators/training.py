@@ -195,7 +195,8 @@ def model_text(model: DataFrame) -> DataFrame:
 
     error = F.when(F.col("min_error") < 1e-10, "0").otherwise(F.format_string("%.2e", "min_error"))
     confidence = F.when(F.col("confidence") > 40, "inf").otherwise(F.format_string("%.2f", "confidence"))
-    return model.select(filter_label(F.col("filter")).alias("best_filter_fancy"), F.col("filter").alias("best_filter"), F.col("threshold").alias("best_threshold"), error.alias("min_error"), confidence.alias("confidence"))
+    columns = {"best_filter_fancy": filter_label(F.col("filter")), "best_filter": F.col("filter"), "best_threshold": F.col("threshold"), "min_error": error, "confidence": confidence}
+    return model.select(*(c.alias(name) for name, c in columns.items()))
 
 
 def read_model(text: DataFrame) -> DataFrame:

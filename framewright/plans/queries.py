@@ -341,7 +341,9 @@ def concatenated_probes(spark, d):
 @query
 def ascii_sums(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.lower(F.hex(F.encode("text", "UTF-8"))).alias("h"))
-    return b.select("item_id", ascii_sum(F.col("h")).alias("s"), ascii_sum(F.concat("h", F.lit("f"))).alias("odd"), ascii_sum(F.concat("h", F.lit(";00"))).alias("joined"), ascii_sum(F.concat("h", F.lit(";00")), ";").alias("stripped"))
+    joined = F.concat("h", F.lit(";00"))
+    sums = {"s": ascii_sum(F.col("h")), "odd": ascii_sum(F.concat("h", F.lit("f"))), "joined": ascii_sum(joined), "stripped": ascii_sum(joined, ";")}
+    return b.select("item_id", *(c.alias(name) for name, c in sums.items()))
 
 
 @query
@@ -356,7 +358,9 @@ def byte_sum_features(spark, d):
     """Both halves of every text as features."""
     half = F.expr("length(text) div 2").cast("int")
     rest = F.substring(F.col("text"), half + 1, F.length("text"))
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.lit("x").alias("Label"), F.hex(F.encode(F.substring(F.col("text"), F.lit(1), half), "UTF-8")).alias("a"), F.hex(F.encode(rest, "UTF-8")).alias("b"))
+    halves = {"a": F.substring(F.col("text"), F.lit(1), half), "b": rest}
+    hexes = (F.hex(F.encode(c, "UTF-8")).alias(name) for name, c in halves.items())
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.lit("x").alias("Label"), *hexes)
     return evaluate.byte_sum_features(b, ["a", "b"]).select("row_id", F.round("a", 10).alias("a"), F.round("b", 10).alias("b"))
 
 
@@ -393,7 +397,8 @@ def dbscan_manhattan(spark, d):
 
 def sums(spark, d):
     """Scaled byte sums of parts, the numeric features of the density grid: row_id, label, a, b."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_type").alias("Label"), F.hex(F.encode("p_name", "UTF-8")).alias("a"), F.hex(F.encode("p_brand", "UTF-8")).alias("b"))
+    hexes = (F.hex(F.encode(c, "UTF-8")).alias(name) for name, c in (("a", "p_name"), ("b", "p_brand")))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_type").alias("Label"), *hexes)
     return evaluate.byte_sum_features(p, ["a", "b"]).withColumnRenamed("Label", "label")
 
 
@@ -467,12 +472,19 @@ def one_shot_comparison(spark, d):
 
 @query
 def metric_by_length(spark, d):
-    return evaluate.series_summary(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").cast("double").alias("x")), "x", ["l_returnflag", "l_linestatus"]).select("l_returnflag", "l_linestatus", "n", *(F.round(c, 6).alias(c) for c in ("mean", "deviation", "q1", "median", "q3")))
+    keys = ["l_returnflag", "l_linestatus"]
+    lines = table(spark, d, "lineitem").select(*keys, F.col("l_quantity").cast("double").alias("x"))
+    summary = evaluate.series_summary(lines, "x", keys)
+    return summary.select(*keys, "n", *(F.round(c, 6).alias(c) for c in ("mean", "deviation", "q1", "median", "q3")))
 
 
 def _hash_pairs(spark, d):
     p = probes(spark, d)
-    return p.select(F.col("row_id").alias("item1"), F.explode(F.sequence(F.col("row_id") + 1, F.col("row_id") + 3)).alias("item2"), F.col("label").alias("device1")).join(p.select(F.col("row_id").alias("item2"), F.col("label").alias("device2")), "item2").select("item1", "item2", "device1", "device2", F.when(F.col("device1") == F.col("device2"), 1).otherwise(-1).alias("equality"))
+    after = F.explode(F.sequence(F.col("row_id") + 1, F.col("row_id") + 3))
+    first = p.select(F.col("row_id").alias("item1"), after.alias("item2"), F.col("label").alias("device1"))
+    second = p.select(F.col("row_id").alias("item2"), F.col("label").alias("device2"))
+    same = F.when(F.col("device1") == F.col("device2"), 1).otherwise(-1)
+    return first.join(second, "item2").select("item1", "item2", "device1", "device2", same.alias("equality"))
 
 
 @query

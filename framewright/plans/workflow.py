@@ -39,7 +39,8 @@ def parse_captures(spark: SparkSession, datasets: Mapping[str, str]) -> dict[str
         raise ValueError("no dataset")
     numbered = prep.with_row_id(pcap.probe_requests(packets), "path", "packet")
     key = numbered.select("path", "packet", "row_id", "dataset")
-    return {name: materialize(view(numbered).join(key, ["path", "packet"]).drop("path", "packet"), name) for name, view in (("hex", decode.hex_table), ("binary", decode.binary_table), ("dissected", decode.dissected_table))}
+    views = {"hex": decode.hex_table, "binary": decode.binary_table, "dissected": decode.dissected_table}
+    return {name: materialize(view(numbered).join(key, ["path", "packet"]).drop("path", "packet"), name) for name, view in views.items()}
 
 
 def parse_configured(spark: SparkSession, path: str) -> dict[str, DataFrame]:
