@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.runtime import materialize
+
 HOT_SHARE, SALTS = 1000, 64
+FEW = 100_000  # rows of an id and a digest, some 10 MB
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
@@ -33,8 +36,12 @@ def mark_of(text: Column) -> Column:
 
 
 def drop_rows(docs: DataFrame, lost: DataFrame, repeated: bool, id_col: str, mark: Column) -> DataFrame:
-    """``docs`` without the rows that ``lost`` (id, mark) names, null ids too; if ``repeated``, rows equal in both once."""
-    lost = lost.select(F.col("id").alias("__lost_id"), F.col("mark").alias("__lost_mark")).distinct()
+    """``docs`` without the rows that ``lost`` (id, mark) names, null ids too; if ``repeated``, rows equal in both once.
+
+    Up to ``FEW`` lost rows are broadcast, so the texts stay where they are; more meet them in a join.
+    """
+    lost = materialize(lost.select(F.col("id").alias("__lost_id"), F.col("mark").alias("__lost_mark")).distinct(), "lost")
+    lost = F.broadcast(lost) if lost.count() <= FEW else lost
     marked = docs.withColumn("__row_mark", mark)
     kept = marked.join(lost, (F.col("__row_mark") == F.col("__lost_mark")) & F.col(id_col).eqNullSafe(F.col("__lost_id")), "left_anti")
     return (kept.dropDuplicates([id_col, "__row_mark"]) if repeated else kept).drop("__row_mark")
