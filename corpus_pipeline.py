@@ -26,7 +26,10 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (0.8 of their five-word shingles in common) the row with the smallest id stays."""
+    """Of each group of near-duplicates (0.8 of their five-word shingles in common) the row with the smallest id stays.
+
+    The pivot distance tables of the SimHash operator propose pairs, whole shingle sets settle and complete them.
+    """
     return shingle_join.keep_first(docs, k=5)
 
 
@@ -50,7 +53,7 @@ STAGES = [
     ("bpe_encoding", bpe_stage),
 ]
 
-#: A fitted classifier and fingerprints stand in the way of SQL; tests compare with plain Python.
+#: A fitted classifier and shingle hashes stand in the way of SQL; tests compare every stage with plain Python.
 ORACLE_SQL = None
 
 
