@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import bpe_stream, exact_dedup, mixing, quality, shingle_join
-from framewright.runtime import materialize
+from framewright.runtime import few_rows_a_batch, materialize
 
 MIX_BUDGET = 0.9
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
+    few_rows_a_batch(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -30,6 +31,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The pivot distance tables of the SimHash operator propose pairs, whole shingle sets settle and complete them.
     """
+    few_rows_a_batch(spark)
     return shingle_join.keep_first(docs, k=5)
 
 
@@ -42,6 +44,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and decoded texts."""
     import public_tokenizers
 
+    few_rows_a_batch(spark)
     return bpe_stream.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

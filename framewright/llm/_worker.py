@@ -16,6 +16,11 @@ def once_per_worker(key: Any, make: Callable[[], Any]) -> Any:
     return _kept[kind][1]
 
 
+def forget() -> None:
+    """Lets go what other operators keep in this process: a worker goes on to the next stage with it."""
+    _kept.clear()
+
+
 class Recent:
     """A bounded store of two generations: what is in use moves to the young one.
 

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.llm._worker import forget
 from framewright.llm.linear import Linear, fit_logistic, folds_of, logit
 from framewright.runtime import materialize, release
 
@@ -186,6 +187,7 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in sliced(batches):
             both = [features(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
             sides = [pa.array([x[side].astype("<f4").tobytes() for x in both], pa.binary()) for side in (0, 1)]
@@ -298,6 +300,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     at = [docs.columns.index(c) for c in ("text", "source", "lang", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in sliced(batches):
             both = [features(*row) for row in zip(*(part.column(i).to_pylist() for i in at), strict=True)]
             # as stored: the same numbers decide here and in the scored table

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.llm._rows import drop_rows, join_groups, mark_of
+from framewright.llm._worker import forget
 from framewright.llm.simhash import LOWERED, SEED, link_forest, majority
 from framewright.operators.graph import components
 from framewright.runtime import materialize, release
@@ -120,6 +121,7 @@ def described(docs: DataFrame, k: int, at: Fraction, common: list[int], id_col:
         return own[order[rank[order] == 0]], own[order[rank[order] > 0]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for first in range(0, whole.num_rows, 1024):
                 batch = whole.slice(first, 1024)

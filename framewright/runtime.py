@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def few_rows_a_batch(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python ``rows`` at a time at most: a batch is held by the executor and by its worker, read and written."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame over the files.
 

@@ -7,12 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm import _rows, bpe_stream, exact_dedup, html_extract, linear, mixing, ogg_media, quality, secret_scan, shingle_join, simhash, token_output, toxicity
+from framewright.llm import _rows, _worker, bpe_stream, exact_dedup, html_extract, linear, mixing, ogg_media, quality, secret_scan, shingle_join, simhash, token_output, toxicity
 
 tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -698,6 +699,23 @@ def test_mixing_by_hand(spark):
     assert all(abs(m.aim - m.got) < 1e-4 for m in mixing.margins(fitted).collect())
 
 
+def test_pipeline_batches(spark):
+    """After a stage that takes texts to Python, batches are small; what an operator keeps in a worker goes when asked."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    corpus_pipeline.bpe_stage(spark, docs(spark), "")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    got = [r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 5000 and max(got) <= 1000
+    assert _worker.once_per_worker(("kept", 1), dict) is _worker.once_per_worker(("kept", 1), dict)
+    _worker.forget()
+    assert not _worker._kept
+
+
 def test_pipeline(spark, tmp_path):
     """Every stage against plain Python on what its predecessor kept, and run() against the stages."""
     from tokenizers import Tokenizer
