@@ -19,7 +19,8 @@ writes no blocks. A document longer than a block is cut into segments; memory
 is bounded by the block size and the longest text. Ids are held in 16 bits: a
 vocabulary of more than 65,536 ids is refused. A text is encoded piece by piece
 only with a tokenizer that lower-cases and drops white space (tried when it is
-loaded), whole with any other. Columns other than the id and the text are ignored.
+loaded), whole with any other. Of texts in ASCII and the letters from À to ÿ the
+library is given every distinct piece, of others what stands between white space. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,13 +144,22 @@ def decode_block(words: bytes, n: int, lanes: int, checkpoints, tables: Tables,
 # --- tokenising ------------------------------------------------------------
 
 
-#: Latin-1 letters, space, line feed, comma and full stop.
-PLAIN = bytes(b for b in range(256) if chr(b).isalpha() or chr(b) in " \n,.")
-
-
 #: Deletes Latin-1 letters.
 LATIN = {b: None for b in range(256) if chr(b).isalpha()}
 
+#: What stands before the model in a definition whose pieces :func:`plain_pieces` finds.
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}, BYTES]}
+
+#: Bytes of plain text: ASCII, and the letters from À to ÿ, whose second bytes then follow 0xC3 alone.
+SPACES = b"\t\n\v\f\r "
+PLAIN = bytes({*range(0x80), 0xC3, *range(0x80, 0xC0)} - {0x97, 0xB7})  # 0xC3 before these two: × and ÷
+SPACE, LETTER, DIGIT, MARK = range(4)
+KINDS = bytes(SPACE if b in SPACES else DIGIT if chr(b) in "0123456789" else MARK if b < 0x80 and not chr(b).isalpha() else LETTER for b in range(256))
+LOWER = bytes(b + 32 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" or 0x80 <= b <= 0x9E else b for b in range(256))
+
 
 def little_endian(values: array) -> bytes:
     if sys.byteorder == "big":
@@ -156,22 +167,46 @@ def little_endian(values: array) -> bytes:
     return values.tobytes()
 
 
-def chunks_of(text: str) -> list[str]:
-    """The text cut at white space; in plain prose marks stand apart from words in lower case.
+def all_bytes(values: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of all values, of texts in UTF-8, and where each begins and the last ends; null is empty."""
+    held = values.cast(pa.large_binary()).fill_null(b"")
+    if not len(held):
+        return b"", np.zeros(1, np.int64)
+    _, offsets, data = held.buffers()
+    cuts = np.frombuffer(offsets, np.int64)[held.offset : held.offset + len(held) + 1]
+    return (data.slice(int(cuts[0]), int(cuts[-1] - cuts[0])).to_pybytes() if cuts[-1] > cuts[0] else b""), cuts - cuts[0]
 
-    Plain prose has Latin-1 letters only, every mark ends a word, and white space
-    follows it. There the cut before a mark is one the tokenizer makes as well.
+
+def plain_pieces(raw: bytes, cuts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of plain texts that ``WORDS`` finds in lower case, and how many end with each text or before.
+
+    A piece is a run of bytes of one kind, a digit by itself, or one of the endings
+    behind an apostrophe that no other mark stands before.
     """
-    try:
-        raw = text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text.split()
-    if raw.translate(None, PLAIN) or raw[:1] in b",.":
-        return text.split()
-    for mark in (b",", b"."):
-        if raw.count(mark) != raw.count(mark + b" ") + raw.count(mark + b"\n") + raw.endswith(mark) or raw.count(b" " + mark) or raw.count(b"\n" + mark):
-            return text.split()
-    return text.lower().replace(",", " ,").replace(".", " .").split()
+    n, starts = len(raw), cuts[:-1]
+    kind = np.frombuffer(raw.translate(KINDS), np.uint8)
+    first = np.zeros(n + 3, bool)
+    first[cuts] = True
+    edge = kind == DIGIT
+    edge[1:] |= kind[1:] != kind[:-1]
+    edge[starts[starts < n]] = True
+    if b"'" in raw:
+        low = np.frombuffer(raw.translate(LOWER) + bytes(3), np.uint8)
+        at = np.flatnonzero(low == ord("'"))
+        at = at[edge[at] & ~first[at + 1]]
+        one, two = low[at + 1], low[at + 2]
+        short = np.isin(one, list(b"stmd"))
+        long = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))) & ~first[at + 2]
+        edge[at[short | long] + 1] = False
+        behind = np.concatenate([at[short] + 2, at[long] + 3])
+        behind = behind[behind < n]
+        edge[behind[kind[behind] == LETTER]] = True
+    edges = np.flatnonzero(edge)
+    solid = kind[edges] != SPACE
+    offsets = np.concatenate([[0], np.cumsum(np.diff(edges, append=n)[solid])]).astype(np.int32)
+    body = raw.translate(LOWER, SPACES)
+    pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+    return pieces, np.searchsorted(edges[solid], cuts[1:])
 
 
 class ChunkEncoder:
@@ -180,8 +215,10 @@ class ChunkEncoder:
     A chunk is what stands between white space. Tokenizers whose pre-tokenizer
     drops white space, lower-cases and parts letters from other symbols never
     join across either, so the ids of a text are those of its chunks in order,
-    and those of ``Word,`` are those of ``word`` and of ``,``. The store of
-    chunks is bounded (see :class:`Recent`).
+    and those of ``Word,`` are those of ``word`` and of ``,``. Of plain texts the
+    pieces themselves are found (see :func:`plain_pieces`), all texts at a time, if
+    the definition says what stands in ``NORMALIZER`` and ``PRE_TOKENIZER``. The
+    store of chunks and pieces is bounded (see :class:`Recent`).
     """
 
     def __init__(self, definition: str, entries: int = 300_000, longest: int = 48):
@@ -193,17 +230,20 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.known = Recent(entries)
         self.longest = longest
-        model = json.loads(definition)["model"]
+        parsed = json.loads(definition)
+        model = parsed["model"]
         if max(model["vocab"].values(), default=0) >= 1 << 16:
             raise ValueError("ids of more than 16 bits")
         alone = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.in_pieces = alone("Ab  cD\n Ef,") == [x for piece in ("ab", "cd", "ef", ",") for x in alone(piece)]
+        added = all(t["content"].startswith("<|") for t in parsed["added_tokens"])
+        self.by_kind = added and parsed["normalizer"] == NORMALIZER and parsed["pre_tokenizer"] == PRE_TOKENIZER
         suffix = model.get("end_of_word_suffix")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)]] = True
 
     def _word_ids(self, words: list[str], at_once: int = 500) -> list[bytes]:
-        """Ids of words of Latin-1 letters: encoded in long texts, cut where a word's last token ends."""
+        """Ids of words of Latin-1 letters, or of pieces: encoded in long texts, cut where a word's last token ends."""
         texts = [" ".join(words[i : i + at_once]) for i in range(0, len(words), at_once)]
         ids = array("H", [x for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids])
         stops = (np.flatnonzero(self.ends[np.frombuffer(ids, np.uint16)]) + 1) * 2
@@ -238,7 +278,7 @@ class ChunkEncoder:
         """Little-endian 16-bit ids of each text."""
         # str.split() cuts at these four, the tokenizer does not
         whole = [not self.in_pieces or any(c in t for c in "\x1c\x1d\x1e\x1f") if t else False for t in texts]
-        split = [[] if w or not t else chunks_of(t) for t, w in zip(texts, whole, strict=True)]
+        split = [[] if w or not t else t.split() for t, w in zip(texts, whole, strict=True)]
         long = self._learn(set().union(*split))
         young = self.known.young
         out = []
@@ -252,6 +292,50 @@ class ChunkEncoder:
                 out.append(b"".join([young[c] if c in young else long[c] for c in chunks]))
         return out
 
+    def _piece_ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces; all but long ones are kept for later texts."""
+        new = [p.decode() for p in self.known.missing(set(pieces))]
+        ids = {w.encode(): i for w, i in zip(new, self._word_ids(new), strict=True)}
+        young = self.known.young
+        young.update((p, i) for p, i in ids.items() if len(p) <= self.longest)
+        return [young[p] if p in young else ids[p] for p in pieces]
+
+    def encode_column(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """16-bit ids of all texts, each with ``end`` behind it, and how many there are of each."""
+        raw, cuts = all_bytes(texts)
+        closing, extra = np.zeros(len(texts), np.int64), [end]  # what comes behind the pieces of a text: one of extra
+        if not self.by_kind or raw.translate(None, PLAIN) or b"<|" in raw:
+            single = [raw[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist())]
+            other = [i for i, t in enumerate(single) if not self.by_kind or t.translate(None, PLAIN) or b"<|" in t]
+            closing[other] = np.arange(1, len(other) + 1)
+            extra += [x + end for x in self.encode([single[i].decode() for i in other])]
+            for i in other:
+                single[i] = b""
+            raw, cuts = b"".join(single), np.concatenate([[0], np.cumsum([len(t) for t in single])]).astype(np.int64)
+        pieces, stops = plain_pieces(raw, cuts)
+        coded = pieces.dictionary_encode()
+        held = self._piece_ids(coded.dictionary.to_pylist())
+        closing += len(held)
+        held += extra
+        sizes = np.array([len(x) // 2 for x in held], np.int64)
+        order = np.insert(coded.indices.to_numpy(), stops, closing)
+        n = sizes[order]
+        done = np.cumsum(n)
+        where = np.repeat((np.cumsum(sizes) - sizes)[order] - (done - n), n)
+        where += np.arange(len(where))
+        return np.frombuffer(b"".join(held), "<u2")[where], np.diff(done[stops + np.arange(len(stops))], prepend=0)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most`` bytes in a column of texts, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
 
 def _schema(id_type) -> T.StructType:
     return T.StructType([T.StructField("doc", id_type), T.StructField("shard", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -268,13 +352,12 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
         encoder = once_per_worker(("chunks", zlib.crc32(text.encode())), lambda: ChunkEncoder(text))
         shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
-                n = np.array([len(x) // 2 for x in ids], np.int64)
-                starts = start + np.concatenate([[0], np.cumsum(n)[:-1]])
-                start += int(n.sum())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(starts.astype(np.int64)), pa.array(n), pa.array(ids, pa.binary())], ["doc", "shard", "start", "n", "ids"])
+            for part in slices(batch, 1):
+                ids, n = encoder.encode_column(part.column(1), end)
+                stops = np.concatenate([[0], np.cumsum(n)])
+                kept = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(2 * stops), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(start + stops[:-1]), pa.array(n), kept], ["doc", "shard", "start", "n", "ids"])
+                start += int(stops[-1])
 
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"))
     ordered = rows.repartitionByRange("doc").sortWithinPartitions("doc", "body")
@@ -284,8 +367,9 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for ids in batch.column(0):
-            total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=1 << 16)
+        ids = np.frombuffer(all_bytes(batch.column(0))[0], "<u2")
+        for at in range(0, len(ids), 1 << 20):
+            total += np.bincount(ids[at : at + (1 << 20)], minlength=1 << 16)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 

@@ -330,6 +330,35 @@ def test_token_blocks(spark):
         start += len(ids)
 
 
+def test_pieces_of_columns():
+    """Columns of texts give the ids of the library, which is asked once for a piece whatever stands beside it."""
+    with open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = token_output.ChunkEncoder(f.read())
+    assert encoder.by_kind
+    rng = random.Random(8)
+    plain = ["'", "'", "s", "t", "RE", "ve", "Ll", "m", "d", "e", "9", "0", " ", "  ", "\n", "\x0b", "\x1c", ",", "-", "É", "ß", "ÿ", "Word", "<", "|", "</w>", "\0", "_"]
+    odd = [*plain, "<|endoftext|>", "²", "\x85", "\xa0", "×", "÷", "ª", "µ", "·", "”", "日", "\u0301", "İ", "Σ"]
+    texts = [*TEXTS, *("".join(rng.choices(marks, k=rng.randrange(12))) for marks in (plain, odd) for _ in range(3000))]
+    rng.shuffle(texts)
+    end = np.array([1], "<u2").tobytes()
+    for size in (1, 50, len(texts)):
+        for at in range(0, len(texts), size) if size > 1 else range(400):
+            part = texts[at : at + size]
+            ids, n = encoder.encode_column(pa.array(["before", *part, "behind"], pa.string()).slice(1, len(part)), end)
+            assert ids.tolist() == [x for t in part for x in (*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1)]
+            assert n.tolist() == [len(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in part]
+    asked, ask = [], encoder._word_ids
+    encoder._word_ids = lambda words: asked.extend(words) or ask(words)
+    encoder.encode_column(pa.array(["(Zorble) zorble, 7-zorble", "zorble's \"ZORBLE\""]), end)
+    assert asked.count("zorble") == 1 and not any("zorble" in w and w != "zorble" for w in asked)
+
+
+def test_slices_by_bytes():
+    batch = pa.record_batch([pa.array([None, "abc", "", "defgh", "ij", None, "k"])], ["t"])
+    assert [p.column(0).to_pylist() for p in token_output.slices(batch, 0, 4)] == [[None, "abc", ""], ["defgh"], ["ij", None, "k"]]
+    assert sum(p.num_rows for p in token_output.slices(batch.slice(2, 3), 0, 1)) == 3 and not list(token_output.slices(batch.slice(0, 0), 0))
+
+
 # 6
 
 
