@@ -18,9 +18,8 @@ ascending with nulls first; rows with equal ids sort by text. An empty table
 writes no blocks. A document longer than a block is cut into segments; memory
 is bounded by the block size and the longest text. Ids are held in 16 bits: a
 vocabulary of more than 65,536 ids is refused. A text is encoded piece by piece
-only with a tokenizer that lower-cases and drops white space (tried when it is
-loaded), whole with any other. Of texts in ASCII and the letters from À to ÿ the
-library is given every distinct piece, of others what stands between white space. Columns other than the id and the text are ignored.
+only with a tokenizer that normalises and splits as ``NORMALIZER`` and ``PRE_TOKENIZER``
+say, whole with any other. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -144,20 +143,18 @@ def decode_block(words: bytes, n: int, lanes: int, checkpoints, tables: Tables,
 # --- tokenising ------------------------------------------------------------
 
 
-#: Deletes Latin-1 letters.
-LATIN = {b: None for b in range(256) if chr(b).isalpha()}
-
-#: What stands before the model in a definition whose pieces :func:`plain_pieces` finds.
+#: What stands before the model in a definition whose pieces :func:`pieces_of` finds.
 WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}, BYTES]}
 
-#: Bytes of plain text: ASCII, and the letters from À to ÿ, whose second bytes then follow 0xC3 alone.
+#: Bytes of plain chunks: ASCII, and the letters from À to ÿ, whose second bytes then follow 0xC3 alone.
 SPACES = b"\t\n\v\f\r "
 PLAIN = bytes({*range(0x80), 0xC3, *range(0x80, 0xC0)} - {0x97, 0xB7})  # 0xC3 before these two: × and ÷
 SPACE, LETTER, DIGIT, MARK = range(4)
 KINDS = bytes(SPACE if b in SPACES else DIGIT if chr(b) in "0123456789" else MARK if b < 0x80 and not chr(b).isalpha() else LETTER for b in range(256))
+OTHERS = bytes(b not in PLAIN for b in range(256))
 LOWER = bytes(b + 32 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" or 0x80 <= b <= 0x9E else b for b in range(256))
 
 
@@ -177,11 +174,18 @@ def all_bytes(values: pa.Array) -> tuple[bytes, np.ndarray]:
     return (data.slice(int(cuts[0]), int(cuts[-1] - cuts[0])).to_pybytes() if cuts[-1] > cuts[0] else b""), cuts - cuts[0]
 
 
-def plain_pieces(raw: bytes, cuts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The pieces of plain texts that ``WORDS`` finds in lower case, and how many end with each text or before.
+def is_plain(raw: bytes) -> bool:
+    """Whether no other letters or marks are in it, and no added token."""
+    return not raw.translate(None, PLAIN) and b"<|" not in raw
+
+
+def pieces_of(raw: bytes, cuts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts, and how many end with each text or before.
 
-    A piece is a run of bytes of one kind, a digit by itself, or one of the endings
-    behind an apostrophe that no other mark stands before.
+    In chunks of plain bytes they are those that ``WORDS`` finds in lower case: a run of
+    bytes of one kind, a digit by itself, or one of the endings behind an apostrophe that
+    no other mark stands before. A chunk (what stands between ASCII white space) with
+    other bytes, or with what may be an added token, is one piece as it stands.
     """
     n, starts = len(raw), cuts[:-1]
     kind = np.frombuffer(raw.translate(KINDS), np.uint8)
@@ -201,24 +205,32 @@ def plain_pieces(raw: bytes, cuts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         behind = np.concatenate([at[short] + 2, at[long] + 3])
         behind = behind[behind < n]
         edge[behind[kind[behind] == LETTER]] = True
+    body = raw.translate(LOWER, SPACES)
+    if not is_plain(raw):
+        codes = np.frombuffer(raw, np.uint8)
+        other = np.frombuffer(raw.translate(OTHERS), bool).copy()
+        other[:-1] |= (codes[:-1] == ord("<")) & (codes[1:] == ord("|")) & ~first[1:n]
+        solid = kind != SPACE
+        opens = solid & first[:n]
+        opens[1:] |= solid[1:] & ~solid[:-1]
+        chunk = np.cumsum(opens, dtype=np.int32)
+        inside = solid & (np.bincount(chunk[other], minlength=chunk[-1] + 1) > 0)[chunk]
+        edge[inside] = opens[inside]
+        body = np.where(inside, codes, np.frombuffer(raw.translate(LOWER), np.uint8)).tobytes().translate(None, SPACES)
     edges = np.flatnonzero(edge)
     solid = kind[edges] != SPACE
     offsets = np.concatenate([[0], np.cumsum(np.diff(edges, append=n)[solid])]).astype(np.int32)
-    body = raw.translate(LOWER, SPACES)
     pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
     return pieces, np.searchsorted(edges[solid], cuts[1:])
 
 
 class ChunkEncoder:
-    """Ids by the tokenizers library, which encodes every distinct word once.
-
-    A chunk is what stands between white space. Tokenizers whose pre-tokenizer
-    drops white space, lower-cases and parts letters from other symbols never
-    join across either, so the ids of a text are those of its chunks in order,
-    and those of ``Word,`` are those of ``word`` and of ``,``. Of plain texts the
-    pieces themselves are found (see :func:`plain_pieces`), all texts at a time, if
-    the definition says what stands in ``NORMALIZER`` and ``PRE_TOKENIZER``. The
-    store of chunks and pieces is bounded (see :class:`Recent`).
+    """Ids by the tokenizers library, which encodes every distinct piece once.
+
+    The tokenizer that ``NORMALIZER`` and ``PRE_TOKENIZER`` describe never joins across
+    white space or across what :func:`pieces_of` parts, so the ids of a text are
+    those of its pieces in order. Other tokenizers are given whole texts. The store of
+    pieces is bounded (see :class:`Recent`).
     """
 
     def __init__(self, definition: str, entries: int = 300_000, longest: int = 48):
@@ -234,16 +246,14 @@ class ChunkEncoder:
         model = parsed["model"]
         if max(model["vocab"].values(), default=0) >= 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        alone = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.in_pieces = alone("Ab  cD\n Ef,") == [x for piece in ("ab", "cd", "ef", ",") for x in alone(piece)]
-        added = all(t["content"].startswith("<|") for t in parsed["added_tokens"])
-        self.by_kind = added and parsed["normalizer"] == NORMALIZER and parsed["pre_tokenizer"] == PRE_TOKENIZER
+        added = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or any(map(str.isspace, t["content"]))) for t in parsed["added_tokens"])
+        self.in_pieces = added and parsed["normalizer"] == NORMALIZER and parsed["pre_tokenizer"] == PRE_TOKENIZER
         suffix = model.get("end_of_word_suffix")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)]] = True
 
     def _word_ids(self, words: list[str], at_once: int = 500) -> list[bytes]:
-        """Ids of words of Latin-1 letters, or of pieces: encoded in long texts, cut where a word's last token ends."""
+        """Ids of plain pieces: encoded in long texts, cut where a word's last token ends."""
         texts = [" ".join(words[i : i + at_once]) for i in range(0, len(words), at_once)]
         ids = array("H", [x for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids])
         stops = (np.flatnonzero(self.ends[np.frombuffer(ids, np.uint16)]) + 1) * 2
@@ -255,70 +265,31 @@ class ChunkEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [little_endian(array("H", e.ids)) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of all wanted chunks, but for long ones kept for later texts."""
-        new = self.known.missing(wanted)
-        young = self.known.young
-        stems = {}
-        for chunk in new:
-            body, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ",." else (chunk, "")
-            if chunk.isascii() and body.isalpha() and len(chunk) <= self.longest:
-                stems[chunk] = (body.lower(), mark)
-        bare = {s for s, _ in stems.values()} | {m for _, m in stems.values() if m} | (new - stems.keys())
-        bare = list(self.known.missing(bare, turn=False))
-        words = [c for c in bare if c.isalpha() and len(c) <= self.longest and c.translate(LATIN) == ""]
-        rest = list(set(bare).difference(words))
-        ids = dict(zip(words, self._word_ids(words), strict=True)) | dict(zip(rest, self._ids(rest), strict=True))
-        young.update((c, i) for c, i in ids.items() if len(c) <= self.longest)
-        for chunk, (stem, mark) in stems.items():
-            young[chunk] = young[stem] + young[mark] if mark else young[stem]
-        return {c: i for c, i in ids.items() if len(c) > self.longest}
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
-        # str.split() cuts at these four, the tokenizer does not
-        whole = [not self.in_pieces or any(c in t for c in "\x1c\x1d\x1e\x1f") if t else False for t in texts]
-        split = [[] if w or not t else t.split() for t, w in zip(texts, whole, strict=True)]
-        long = self._learn(set().union(*split))
-        young = self.known.young
-        out = []
-        for text, chunks, odd in zip(texts, split, whole, strict=True):
-            if odd:
-                out.append(self._ids([text])[0])
-                continue
-            try:
-                out.append(b"".join(map(young.__getitem__, chunks)))
-            except KeyError:
-                out.append(b"".join([young[c] if c in young else long[c] for c in chunks]))
-        return out
+        """Little-endian 16-bit ids of each text, encoded whole."""
+        return self._ids([t or "" for t in texts])
 
     def _piece_ids(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of distinct pieces; all but long ones are kept for later texts."""
-        new = [p.decode() for p in self.known.missing(set(pieces))]
-        ids = {w.encode(): i for w, i in zip(new, self._word_ids(new), strict=True)}
+        new = self.known.missing(set(pieces))
+        other = [] if is_plain(b" ".join(new)) else [p for p in new if not is_plain(p)]
+        plain = list(new.difference(other))
+        ids = dict(zip(plain, self._word_ids([p.decode() for p in plain]), strict=True)) | dict(zip(other, self._ids([p.decode() for p in other]), strict=True))
         young = self.known.young
         young.update((p, i) for p, i in ids.items() if len(p) <= self.longest)
         return [young[p] if p in young else ids[p] for p in pieces]
 
     def encode_column(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """16-bit ids of all texts, each with ``end`` behind it, and how many there are of each."""
-        raw, cuts = all_bytes(texts)
-        closing, extra = np.zeros(len(texts), np.int64), [end]  # what comes behind the pieces of a text: one of extra
-        if not self.by_kind or raw.translate(None, PLAIN) or b"<|" in raw:
-            single = [raw[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist())]
-            other = [i for i, t in enumerate(single) if not self.by_kind or t.translate(None, PLAIN) or b"<|" in t]
-            closing[other] = np.arange(1, len(other) + 1)
-            extra += [x + end for x in self.encode([single[i].decode() for i in other])]
-            for i in other:
-                single[i] = b""
-            raw, cuts = b"".join(single), np.concatenate([[0], np.cumsum([len(t) for t in single])]).astype(np.int64)
-        pieces, stops = plain_pieces(raw, cuts)
+        if not self.in_pieces:
+            whole = [x + end for x in self.encode(texts.to_pylist())]
+            return np.frombuffer(b"".join(whole), "<u2"), np.array([len(x) // 2 for x in whole], np.int64)
+        pieces, stops = pieces_of(*all_bytes(texts))
         coded = pieces.dictionary_encode()
         held = self._piece_ids(coded.dictionary.to_pylist())
-        closing += len(held)
-        held += extra
+        held.append(end)
         sizes = np.array([len(x) // 2 for x in held], np.int64)
-        order = np.insert(coded.indices.to_numpy(), stops, closing)
+        order = np.insert(coded.indices.to_numpy(), stops, len(held) - 1)
         n = sizes[order]
         done = np.cumsum(n)
         where = np.repeat((np.cumsum(sizes) - sizes)[order] - (done - n), n)

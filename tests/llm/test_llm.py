@@ -334,7 +334,7 @@ def test_pieces_of_columns():
     """Columns of texts give the ids of the library, which is asked once for a piece whatever stands beside it."""
     with open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         encoder = token_output.ChunkEncoder(f.read())
-    assert encoder.by_kind
+    assert encoder.in_pieces
     rng = random.Random(8)
     plain = ["'", "'", "s", "t", "RE", "ve", "Ll", "m", "d", "e", "9", "0", " ", "  ", "\n", "\x0b", "\x1c", ",", "-", "É", "ß", "ÿ", "Word", "<", "|", "</w>", "\0", "_"]
     odd = [*plain, "<|endoftext|>", "²", "\x85", "\xa0", "×", "÷", "ª", "µ", "·", "”", "日", "\u0301", "İ", "Σ"]
@@ -351,6 +351,10 @@ def test_pieces_of_columns():
     encoder._word_ids = lambda words: asked.extend(words) or ask(words)
     encoder.encode_column(pa.array(["(Zorble) zorble, 7-zorble", "zorble's \"ZORBLE\""]), end)
     assert asked.count("zorble") == 1 and not any("zorble" in w and w != "zorble" for w in asked)
+    whole, alone = [], encoder._ids
+    encoder._ids = lambda parts: whole.extend(parts) or alone(parts)
+    encoder.encode_column(pa.array(["Zorble, “zorble” x<|startoftext|>Y (zorble)", None]), end)
+    assert sorted(whole) == ["x<|startoftext|>Y", "“zorble”"]
 
 
 def test_slices_by_bytes():
